@@ -211,7 +211,7 @@ class Views:
 
 
 SQL_VIEWS = f"""
-raw0 AS (
+raw0 AS MATERIALIZED (
   SELECT o.*, c.*, n.*, r.*, s.last_ship,
     o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS open_dt,
     CASE o_orderpriority WHEN '1-URGENT' THEN 180 WHEN '2-HIGH' THEN 365

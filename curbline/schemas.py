@@ -16,7 +16,13 @@ ward STRING, precinct STRING, location_street_name STRING, location_zipcode BIGI
 latitude DOUBLE, longitude DOUBLE, geom_4326 STRING, source STRING,
 _ingested_at TIMESTAMP, _full_text STRING
 """
-CASE_SCHEMA = T.StructType.fromDDL(CASE_DDL)
+_TYPES = {
+    "BIGINT": T.LongType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(),
+    "TIMESTAMP": T.TimestampType(),
+}
+CASE_SCHEMA = T.StructType(
+    [T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in CASE_DDL.split(","))]
+)
 CASE_COLUMNS = CASE_SCHEMA.fieldNames()
 
 # The columns the chat table serves.
