@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbline.functions import clock
 from curbline.functions.labels import norm_none
 from curbline.functions.numeric import ratio, ratio_or_zero
+from curbline.session import cut
 
 # Fixed values.
 SLICES = ["neighborhood", "department", "source"]
@@ -68,6 +69,7 @@ def join_medians(metrics: DataFrame, medians: DataFrame) -> DataFrame:
 
 def bias_alerts(metrics: DataFrame, gap: float = 0.10) -> DataFrame:
     """Slices more than ``gap`` (absolute) below the median of their type."""
+    metrics = cut(metrics)  # a row per slice, read for the medians and the join
     low = F.col("ontime_rate") < F.col("median_ontime_rate") - F.lit(gap)
     return (
         join_medians(metrics, slice_medians(metrics))
@@ -191,7 +193,7 @@ def bias_weights(df: DataFrame, key: str, dims=tuple(MODEL_SLICES)) -> DataFrame
     the rows themselves are read once and joined to small tables.
     """
     labelled = df.select(key, *[norm_none(d).alias(d) for d in dims])
-    combos = labelled.groupBy(*dims).agg(F.count("*").alias("_c"))
+    combos = cut(labelled.groupBy(*dims).agg(F.count("*").alias("_c")))
     product = F.lit(1.0)
     for i, d in enumerate(dims):
         sizes = combos.groupBy(d).agg(F.sum("_c").alias(f"_n{i}"))

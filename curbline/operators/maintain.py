@@ -157,10 +157,12 @@ def append_snapshot(df: DataFrame, path: str, part: str = "snapshot_date") -> No
 
 
 def metrics_schema() -> T.StructType:
-    out = T.StructType()
-    for name, kind in MODEL_METRICS:
-        out.add(name.rstrip("!"), kind, not name.endswith("!"))
-    return out
+    return T.StructType.fromDDL(
+        ", ".join(
+            f"{n.rstrip('!')} {kind}" + (" NOT NULL" if n.endswith("!") else "")
+            for n, kind in MODEL_METRICS
+        )
+    )
 
 
 def append_metrics(row: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from curbline.functions import clock
 from curbline.functions.labels import MISSING_NEIGHBORHOOD, norm_missing, norm_unknown, norm_upper
 from curbline.functions.numeric import half_even, ratio, safe_bool
+from curbline.session import cut
 
 DAILY_KEYS = ["date", "neighborhood", "department", "reason", "source"]
 
@@ -257,6 +258,7 @@ def weekly_history(volume: DataFrame, weeks: int = 52, parity: bool = True) -> D
     ``parity`` drops the last week unless the data run six days past its label;
     otherwise the last week is dropped only when its Monday is not reached.
     """
+    volume = cut(volume)  # a row per day, read three times below
     binned = (
         volume.groupBy(clock.closing_monday("date").alias("week_label"))
         .agg(F.sum("daily_volume").alias("volume"))
@@ -366,6 +368,7 @@ def seasonal_forecast(months: DataFrame, k: int = 6) -> DataFrame:
 
 def forecast(months: DataFrame, k: int = 6) -> DataFrame:
     """Seasonal from twelve months on, trend below; no months, no rows."""
+    months = cut(months)  # a row per month, read by both methods
     n = months.agg(F.count("*")).scalar()
     return (
         seasonal_forecast(months, k).where(n >= 12).withColumn("method", F.lit("seasonal"))
