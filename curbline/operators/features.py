@@ -8,60 +8,66 @@ a running sum, so no pair of cases is ever formed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curbline.functions import clock
 from curbline.functions.numeric import EARTH_RADIUS_M, haversine
+from curbline.session import cut
 
 ID = "case_enquiry_id"
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
+HOT_ROWS = 1_000_000  # a window over this many narrow rows is a small task
+SMALL_ROWS = 100_000  # key tables up to this size are broadcast
 METRES_PER_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180
 
 
-def spans_at(spans: DataFrame, probes: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Count spans with ``start < at < end`` of the probe's key.
+def count_open(
+    line: DataFrame, keys: list[str], carry: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Spans open at each question of a time line.
 
-    spans: keys, start, end (microseconds); probes: keys, carry columns, at.
-    The time line is cut at the hour: each (key, hour) sums its own steps, and
-    the totals of earlier hours are added. A hot key is thus spread over as
-    many tasks as it has hours.
+    line: keys, at (microseconds), d (+1, -1, or 0 for a question), ask, carry.
+    A key's running sum is one window. Keys with more than ``hot_rows`` entries
+    are cut at the hour instead: each (key, hour) sums its own steps and the
+    totals of the earlier hours are added, so a hot key is spread over as many
+    tasks as it has hours. The line is stored once for all its readers.
     """
-    steps = spans.where(F.col("end") > F.col("start") + 1).select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct((F.col("start") + 1).alias("at"), F.lit(1).alias("d")),
-                F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")),
-            )
-        ),
+    line = cut(line.select(*keys, "at", "d", "ask", *carry))
+    hot = cut(line.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"))
+    n_hot = hot.count()
+    if not n_hot:
+        return _running(line, keys).select(*keys, *carry, F.col("n_in").alias("n"))
+
+    marked = hot.withColumn("_hot", F.lit(True))
+    if n_hot <= SMALL_ROWS:
+        marked = F.broadcast(marked)
+    slot = [*keys, "hour"]
+    line = line.join(marked, keys, "left").withColumn(
+        "hour", F.when(F.col("_hot"), F.expr(f"at div {HOUR_US}")).otherwise(-1)
     )
-    blank = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in carry]
-    line = (
-        steps.select(*keys, "at", "d", *blank, F.lit(False).alias("ask"))
-        .unionByName(probes.select(*keys, "at", F.lit(0).alias("d"), *carry, F.lit(True).alias("ask")))
-        .withColumn("hour", F.expr(f"at div {HOUR_US}"))
-    )
-    # RANGE frame: steps at the same instant count, whatever their order
-    inside = W.partitionBy(*keys, "hour").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    local = line.withColumn("n_in", F.sum("d").over(inside)).where("ask")
     before = W.partitionBy(*keys).orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
     earlier = (
-        line.groupBy(*keys, "hour")
+        line.where("_hot")
+        .groupBy(*slot)
         .agg(F.sum("d").alias("d"))
         .withColumn("n_before", F.coalesce(F.sum("d").over(before), F.lit(0)))
         .where("n_before <> 0")
         .drop("d")
     )
-    return local.join(earlier, [*keys, "hour"], "left").select(
+    return _running(line, slot).join(earlier, slot, "left").select(
         *keys, *carry, (F.col("n_in") + F.coalesce("n_before", F.lit(0))).alias("n")
     )
 
 
+def _running(line: DataFrame, by: list[str]) -> DataFrame:
+    # RANGE frame: steps at the same instant count, whatever their order
+    inside = W.partitionBy(*by).orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    return line.withColumn("n_in", F.sum("d").over(inside)).where("ask")
+
+
 def near_places(places: DataFrame, metres: float) -> DataFrame:
     """Pairs of distinct places at most ``metres`` apart, each with itself.
 
@@ -98,6 +104,24 @@ def near_places(places: DataFrame, metres: float) -> DataFrame:
     )
 
 
+def _window_end(days: int) -> Column:
+    return F.col("at") + F.lit(days * DAY_US + 1)
+
+
+def _mark(key: list[Column], at: Column, d: int, id_: Column | None = None) -> Column:
+    """One entry of a time line; a question carries its case id."""
+    case = F.lit(None).cast("bigint") if id_ is None else id_
+    return F.struct(
+        *key, at.alias("at"), F.lit(d).alias("d"), F.lit(id_ is not None).alias("ask"), case.alias(ID)
+    )
+
+
+def _span(key: list[Column], end: Column) -> list[Column]:
+    """Open just after ``at``, close at ``end``; nothing when it ends before."""
+    last = F.greatest(end, F.col("at") + 1)
+    return [_mark(key, F.col("at") + 1, 1), _mark(key, last, -1)]
+
+
 def _pinned(cases: DataFrame) -> DataFrame:
     return cases.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         ID,
@@ -107,35 +131,37 @@ def _pinned(cases: DataFrame) -> DataFrame:
     )
 
 
-def _repeat_parts(cases: DataFrame, days: int, metres: float) -> tuple[DataFrame, DataFrame]:
-    """Spans at each place, and probes sent to every place near their own."""
-    pinned = _pinned(cases)
-    pairs = near_places(pinned.select("lat", "lon").distinct(), metres)
-    spans = pinned.select("lat", "lon", F.col("at").alias("start"), _window_end("at", days).alias("end"))
-    probes = pinned.join(pairs, ["lat", "lon"])
-    return spans, probes
-
-
-def _window_end(at: str, days: int) -> Column:
-    return F.col(at) + F.lit(days * DAY_US + 1)
-
-
 def place_repeats(cases: DataFrame, days: int = 90, metres: float = 30.0) -> DataFrame:
     """Space-time self-join, counted per pair of places: how often a case at
     (lat, lon) had an earlier one at (near_lat, near_lon) within ``days``."""
-    spans, probes = _repeat_parts(cases, days, metres)
-    spans = spans.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
-    hits = spans_at(spans, probes, ["near_lat", "near_lon"], [ID, "lat", "lon"])
+    pinned = _pinned(cases)
+    pairs = near_places(pinned.select("lat", "lon").distinct(), metres)
+    none = F.lit(None).cast("double")
+    here = [F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), none.alias("lat"), none.alias("lon")]
+    there = [F.col(c) for c in ("near_lat", "near_lon", "lat", "lon")]
+    steps = pinned.select(F.inline(F.array(*_span(here, _window_end(days)))))
+    asks = pinned.join(pairs, ["lat", "lon"]).select(
+        F.inline(F.array(_mark(there, F.col("at"), 0, F.col(ID))))
+    )
+    counted = count_open(steps.unionByName(asks), ["near_lat", "near_lon"], ["lat", "lon"])
     return (
-        hits.groupBy("lat", "lon", "near_lat", "near_lon")
+        counted.groupBy("lat", "lon", "near_lat", "near_lon")
         .agg(F.sum("n").alias("n_pairs"))
         .where("n_pairs > 0")
     )
 
 
+# The three counts and the kind of key each belongs to.
+COUNTS = {
+    "neighborhood": "neigh_open_14d",
+    "department": "dept_pressure_30d",
+    "place": "prev_repeat_90d_30m",
+}
+
+
 def workload_counts(
     cases: DataFrame,
-    kinds=("neighborhood", "department", "place"),
+    kinds=tuple(COUNTS),
     open_days: int = 14,
     dept_days: int = 30,
     repeat_days: int = 90,
@@ -146,46 +172,52 @@ def workload_counts(
 
     neighborhood: opened in the 14 days before and still open then; department:
     opened in the 30 days before; place: opened within 30 m in the 90 days
-    before. The case itself and cases of the same instant do not count.
+    before. The case itself and cases of the same instant do not count. Cases
+    with no count at all may be missing.
     """
-    at = F.unix_micros("open_dt").alias("at")
-    spans, probes = [], []
-    if "neighborhood" in kinds:
-        known = cases.where(F.col("neighborhood").isNotNull())
-        name = [F.lit("neighborhood").alias("kind"), F.col("neighborhood").alias("k")]
-        s = known.select(*name, at.alias("start"), F.unix_micros("closed_dt").alias("c"))
-        end = F.least(_window_end("start", open_days), F.col("c"))  # least skips nulls
-        spans.append(s.select("kind", "k", "start", end.alias("end")))
-        probes.append(known.select(*name, at, ID))
+    def key(kind: str, k: Column) -> list[Column]:
+        return [F.lit(kind).alias("kind"), k.alias("k")]
+
+    rows = cases.select(
+        ID, "neighborhood", "department",
+        _place_key(F.col("latitude") + 0.0, F.col("longitude") + 0.0).alias("place"),
+        F.unix_micros("open_dt").alias("at"), F.unix_micros("closed_dt").alias("closed"),
+    )
+    hood, dept, place = (key(k, F.col(k)) for k in COUNTS)
+    entries = []
+    if "neighborhood" in kinds:  # least skips the null of a case still open
+        entries += _span(hood, F.least(_window_end(open_days), F.col("closed")))
+        entries.append(_mark(hood, F.col("at"), 0, F.col(ID)))
     if "department" in kinds:
-        known = cases.where(F.col("department").isNotNull())
-        name = [F.lit("department").alias("kind"), F.col("department").alias("k")]
-        s = known.select(*name, at.alias("start"))
-        spans.append(s.select("kind", "k", "start", _window_end("start", dept_days).alias("end")))
-        probes.append(known.select(*name, at, ID))
+        entries += _span(dept, _window_end(dept_days))
+        entries.append(_mark(dept, F.col("at"), 0, F.col(ID)))
+    if "place" in kinds:
+        entries += _span(place, _window_end(repeat_days))
+    line = rows.select(F.inline(F.array(*entries))).where(F.col("k").isNotNull())
     if "place" in kinds:
-        s, p = _repeat_parts(cases, repeat_days, metres)
-        place = [F.lit("place").alias("kind")]
-        spans.append(s.select(*place, _place_key("lat", "lon"), "start", "end"))
-        probes.append(p.select(*place, _place_key("near_lat", "near_lon"), "at", ID))
-
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    counted = spans_at(union(spans), union(probes), ["kind", "k"], [ID])
-    names = {
-        "neighborhood": "neigh_open_14d",
-        "department": "dept_pressure_30d",
-        "place": "prev_repeat_90d_30m",
-    }
-    return counted.groupBy(ID).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(names[k])
-            for k in kinds
-        ]
+        pinned = _pinned(cases)
+        pairs = near_places(pinned.select("lat", "lon").distinct(), metres).select(
+            "lat", "lon", _place_key(F.col("near_lat"), F.col("near_lon")).alias("k")
+        )
+        asks = pinned.join(pairs, ["lat", "lon"])
+        line = line.unionByName(
+            asks.select(F.inline(F.array(_mark(key("place", F.col("k")), F.col("at"), 0, F.col(ID)))))
+        )
+    return (
+        count_open(line, ["kind", "k"], [ID])
+        .groupBy(ID)
+        .agg(
+            *[
+                F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(COUNTS[k])
+                for k in kinds
+            ]
+        )
     )
 
 
-def _place_key(lat: str, lon: str) -> Column:
-    return F.concat_ws(",", F.col(lat).cast("string"), F.col(lon).cast("string")).alias("k")
+def _place_key(lat: Column, lon: Column) -> Column:
+    """Null when a coordinate is missing."""
+    return F.concat(lat.cast("string"), F.lit(","), lon.cast("string"))
 
 
 def _counted(cases: DataFrame, kind: str, out: str, **settings) -> DataFrame:
@@ -221,9 +253,8 @@ def calendar_features(cases: DataFrame, tz: str = clock.CITY_TZ) -> DataFrame:
 
 def _featured(cases: DataFrame, context: DataFrame) -> DataFrame:
     counts = workload_counts(context)
-    names = ["neigh_open_14d", "prev_repeat_90d_30m", "dept_pressure_30d"]
     return calendar_features(cases.join(counts, ID, "left")).withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in names}
+        {c: F.coalesce(c, F.lit(0)) for c in COUNTS.values()}
     )
 
 
