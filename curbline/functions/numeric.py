@@ -72,7 +72,7 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     p1, p2 = F.radians(_num(lat1)), F.radians(_num(lat2))
     dp, dl = p2 - p1, F.radians(_num(lon2)) - F.radians(_num(lon1))
     a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
 
 
 def _num(c) -> Column:

@@ -37,7 +37,7 @@ def entity_map(c) -> Column:
     """
     raw = F.trim(_col(c))
     as_map = "map<string,string>"
-    first = F.element_at(F.from_json(raw, "array<string>"), 1)
+    first = F.get(F.from_json(raw, "array<string>"), F.lit(0))
     pick = F.when(raw.startswith("{"), F.from_json(raw, as_map)).when(
         raw.startswith("[") & F.ltrim(first).startswith("{"), F.from_json(first, as_map)
     )

@@ -65,7 +65,7 @@ def ref_neighborhoods(features: DataFrame) -> DataFrame:
                 "max_lon": F.array_max(F.transform(points, lambda p: p[0])),
                 "min_lat": F.array_min(F.transform(points, lambda p: p[1])),
                 "max_lat": F.array_max(F.transform(points, lambda p: p[1])),
-                "rings_closed": F.forall("rings", lambda r: F.element_at(r, 1) == F.element_at(r, -1)),
+                "rings_closed": F.forall("rings", lambda r: F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)),
             }
         )
     )

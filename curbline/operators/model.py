@@ -260,16 +260,17 @@ def feature_drift(ref: DataFrame, cur: DataFrame, numeric: list[str], categorica
     if categorical:
         seen = counted(categorical, "string")
         total = seen.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
-        p, q = F.col("r") / F.col("nr"), F.col("c") / F.col("nc")
+        p, q = ratio("r", "nr"), ratio("c", "nc")
         m = (p + q) / 2
 
         def part(x: Column) -> Column:
-            return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+            # null when one side has no rows at all
+            return F.when(x > 0, x * F.log2(F.try_divide(x, m))).when(x == 0, 0.0)
 
         js = F.sum((part(p) + part(q)) / 2)
         parts.append(
             seen.join(total, "feature").groupBy("feature").agg(
-                F.sqrt(F.greatest(js, F.lit(0.0))).alias("distance")
+                F.when(js.isNotNull(), F.sqrt(F.greatest(js, F.lit(0.0)))).alias("distance")
             )
         )
     return reduce(DataFrame.unionByName, parts).withColumn("drifted", F.col("distance") > limit)
@@ -277,9 +278,10 @@ def feature_drift(ref: DataFrame, cur: DataFrame, numeric: list[str], categorica
 
 def drift_summary(drift: DataFrame) -> DataFrame:
     n, bad = F.count("*"), F.count_if("drifted")
+    share = ratio(bad, n)
     return drift.agg(
-        (bad / n).alias("drift_share"), n.alias("n_features"), bad.alias("n_drifted"),
-        (bad / n >= 0.5).alias("dataset_drift"),
+        share.alias("drift_share"), n.alias("n_features"), bad.alias("n_drifted"),
+        (share >= 0.5).alias("dataset_drift"),
     )
 
 
