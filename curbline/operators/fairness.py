@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from curbline.functions import clock
 from curbline.functions.labels import norm_none
@@ -14,6 +15,7 @@ from curbline.session import cut
 SLICES = ["neighborhood", "department", "source"]
 MODEL_SLICES = ["neighborhood", "department", "reason"]
 RATE_METRICS = ["accuracy", "precision", "recall", "f1"]
+MAX_DIM_WEIGHT, MAX_WEIGHT = 3.0, 5.0
 
 
 def unpivot(df: DataFrame, dims: list[str], keep: list[Column], norm=None) -> DataFrame:
@@ -194,13 +196,21 @@ def bias_weights(df: DataFrame, key: str, dims=tuple(MODEL_SLICES)) -> DataFrame
     """
     labelled = df.select(key, *[norm_none(d).alias(d) for d in dims])
     combos = cut(labelled.groupBy(*dims).agg(F.count("*").alias("_c")))
+    sizes = (
+        unpivot(combos, list(dims), [F.col("_c")])
+        .groupBy("slice_type", "slice_group")
+        .agg(F.sum("_c").alias("_n"))
+    )
+    largest = F.max("_n").over(W.partitionBy("slice_type"))  # a row per label
+    weight = F.least(largest / F.col("_n"), F.lit(MAX_DIM_WEIGHT))
+    per_label = cut(sizes.select("slice_type", "slice_group", weight.alias("_w")))
+    raw = combos
     product = F.lit(1.0)
     for i, d in enumerate(dims):
-        sizes = combos.groupBy(d).agg(F.sum("_c").alias(f"_n{i}"))
-        top = sizes.agg(F.max(f"_n{i}")).scalar()
-        combos = combos.join(sizes.withColumn(f"_w{i}", F.least(top / F.col(f"_n{i}"), F.lit(3.0))), d)
+        own = per_label.where(F.col("slice_type") == d)
+        raw = raw.join(own.select(F.col("slice_group").alias(d), F.col("_w").alias(f"_w{i}")), d)
         product = product * F.col(f"_w{i}")
-    raw = combos.select(*dims, "_c", product.alias("_raw"))
+    raw = cut(raw.select(*dims, "_c", product.alias("_raw")))
     mean = raw.agg(F.sum(F.col("_raw") * F.col("_c")) / F.sum("_c")).scalar()
-    weights = raw.select(*dims, F.least(F.col("_raw") / mean, F.lit(5.0)).alias("sample_weight"))
-    return labelled.join(weights, list(dims))
+    capped = F.least(F.col("_raw") / mean, F.lit(MAX_WEIGHT))
+    return labelled.join(raw.select(*dims, capped.alias("sample_weight")), list(dims))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbline.functions import clock
 from curbline.functions.labels import norm_upper
 from curbline.functions.numeric import half_even
+from curbline.session import cut
 
 ALL = "ALL"
 
@@ -120,6 +121,7 @@ def cascade(pairs: DataFrame, neighborhood: str = ALL, reason: str = ALL) -> Dat
     Reasons depend on the neighbourhood, departments on both; a reason that is
     not valid for the neighbourhood counts as ``ALL``.
     """
+    pairs = cut(pairs)  # distinct label combinations, read by every list
     in_hood = slice_filter(pairs, neighborhood=neighborhood)
     valid = F.lit(True) if reason == ALL else in_hood.agg(
         F.coalesce(F.bool_or(F.col("reason") == reason), F.lit(False))

@@ -102,7 +102,7 @@ def upsert_months(
     months = [r[0] for r in touched.collect()]  # at most one value per calendar month
     part = table.where(F.col("part_month").isin(months))
     merged = upsert(part, newest, key, [*cols, "part_month"], order, ("_id", "part_month"))
-    append_snapshot(cut(merged), path, "part_month")
+    append_snapshot(cut(merged).repartitionByRange("part_month", key), path, "part_month")
 
 
 def chat_table(cases: DataFrame) -> DataFrame:

@@ -346,6 +346,15 @@ def _ahead(months: DataFrame, k: int) -> DataFrame:
 
 def trend_forecast(months: DataFrame, k: int = 6) -> DataFrame:
     """Last value plus the last change per step, not below zero."""
+    return _trend(cut(months), k)
+
+
+def seasonal_forecast(months: DataFrame, k: int = 6) -> DataFrame:
+    """Same month of last year, or the last value when it is not known."""
+    return _seasonal(cut(months), k)
+
+
+def _trend(months: DataFrame, k: int) -> DataFrame:
     delta = F.coalesce(F.col("last_volume") - F.col("prev_volume"), F.lit(0))
     value = F.col("last_volume") + delta * F.col("step")
     return _ahead(months, k).select(
@@ -354,8 +363,7 @@ def trend_forecast(months: DataFrame, k: int = 6) -> DataFrame:
     )
 
 
-def seasonal_forecast(months: DataFrame, k: int = 6) -> DataFrame:
-    """Same month of last year, or the last value when it is not known."""
+def _seasonal(months: DataFrame, k: int) -> DataFrame:
     past = months.select(
         F.add_months("month_start", 12).alias("month_start"), F.col("volume").alias("past")
     )
@@ -371,8 +379,8 @@ def forecast(months: DataFrame, k: int = 6) -> DataFrame:
     months = cut(months)  # a row per month, read by both methods
     n = months.agg(F.count("*")).scalar()
     return (
-        seasonal_forecast(months, k).where(n >= 12).withColumn("method", F.lit("seasonal"))
-        .unionByName(trend_forecast(months, k).where(n < 12).withColumn("method", F.lit("trend")))
+        _seasonal(months, k).where(n >= 12).withColumn("method", F.lit("seasonal"))
+        .unionByName(_trend(months, k).where(n < 12).withColumn("method", F.lit("trend")))
     )
 
 

@@ -99,8 +99,10 @@ def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
     curve = ranking.curve_metrics(scored, label, SCORE)
     top = ranking.precision_at(ranked, label, (0.05,))
     rates = fairness.clf_metrics(scored, label, SCORE)
-    one = [curve.select("roc_auc", "pr_auc"), top.select("precision_at_k"), rates]
-    return reduce(lambda a, b: a.join(b, "_one"), [f.withColumn("_one", F.lit(1)) for f in one]).drop("_one")
+    auc = curve.select(F.struct("roc_auc", "pr_auc")).scalar()
+    return rates.withColumn("_c", auc).withColumn(
+        "precision_at_k", top.select("precision_at_k").scalar()
+    ).select("_c.roc_auc", "_c.pr_auc", "precision_at_k", *rates.columns)
 
 
 def fit_candidates(train: DataFrame, validation: DataFrame, weight: str | None = None):
@@ -294,7 +296,9 @@ def health_row(labelled: DataFrame, label: str, score_col: str, drift: DataFrame
         F.sqrt(F.avg(F.pow(clamp01(score_col) - F.col(label), 2))).alias("rmse"),
         F.avg(label).alias("class_balance"),
     ).withColumn("auc", auc)
-    df = base.withColumn("_one", F.lit(1)).join(drift.withColumn("_one", F.lit(1)), "_one", "left")
+    fields = ["drift_share", "n_features", "n_drifted", "dataset_drift"]
+    d = drift.agg(F.max(F.struct(*fields))).scalar()  # one row or none
+    df = base.withColumn("_d", d).select("*", *[F.col(f"_d.{f}") for f in fields])
 
     diff = F.abs(F.col("class_balance") - BASELINE_POS_RATE)
     checks = [

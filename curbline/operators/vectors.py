@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from curbline.session import cut
+
 BLOCK_ROWS = 4096  # vectors per block and queries per slice: bounds one task's work
 
 # Answer bands and texts of the question lookup.
@@ -34,61 +36,107 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 1, threshold: float =
 
     queries: query_id, column, vector; vectors: column, value, vector.
 
-    Exact. A column's vectors are spread over blocks of bounded size and its
-    queries over slices; each (column, block, slice) is one matrix product that
-    returns its own best ``k`` rows per query, and a window merges the blocks.
-    A hot column gets more blocks and slices, not a bigger task. Queries whose
-    column has no vectors give no rows. Ties go to the smaller value.
+    Exact in both forms. A vocabulary of at most one block is broadcast. A
+    larger one is spread over blocks of bounded size and its queries over
+    slices; each (column, block, slice) is one matrix product that returns its
+    own best ``k`` rows per query, and a window merges the blocks. A hot column
+    gets more blocks and slices, not a bigger task. Queries whose column has no
+    vectors give no rows. Ties go to the smaller value.
     """
-    blocks = vectors.groupBy("column").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks")
-    )
-    slices = queries.groupBy("column").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_slices")
-    )
-    plan = blocks.join(slices, "column")  # a row per column
+    n_vectors = vectors.groupBy("column").agg(F.count("*").alias("n_vectors"))
+    n_queries = queries.groupBy("column").agg(F.count("*").alias("n_queries"))
+    plan = cut(n_vectors.join(n_queries, "column"))  # a row per column
+    total = plan.agg(F.sum("n_vectors")).first()[0] or 0
+    if total <= BLOCK_ROWS:
+        return _topk_small(queries, vectors.join(plan.select("column"), "column", "left_semi"), k, threshold)
+
+    sizes = plan.select(
+        F.col("column").alias("_column"),
+        F.ceil(F.col("n_vectors") / BLOCK_ROWS).cast("int").alias("n_blocks"),
+        F.ceil(F.col("n_queries") / BLOCK_ROWS).cast("int").alias("n_slices"),
+    )
+    if plan.count() <= BLOCK_ROWS:
+        sizes = F.broadcast(sizes)
+    keys = ["column", "block", "slice"]
+    own = F.col("column") == F.col("_column")
+    vec = F.col("vector").cast("array<double>").alias("vector")
     q = (
-        queries.join(plan, "column")
+        queries.join(sizes, own)
         .withColumn("slice", F.pmod(F.xxhash64("query_id"), "n_slices").cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("column", "block", "slice", "query_id", F.col("vector").cast("array<double>").alias("vector"))
+        .select(*keys, "query_id", vec)
     )
     v = (
-        vectors.join(plan, "column")
+        vectors.join(sizes, own)
         .withColumn("block", F.pmod(F.xxhash64("value"), "n_blocks").cast("int"))
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)))
-        .select("column", "block", "slice", "value", F.col("vector").cast("array<double>").alias("vector"))
+        .select(*keys, "value", vec)
     )
-    ids, values = queries.schema["query_id"].dataType, vectors.schema["value"].dataType
-    keys = ["column", "block", "slice"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "value": [], "raw": []})
         if left.empty or right.empty:
-            return empty
-        right = right.sort_values("value", kind="stable").reset_index(drop=True)
-        scores = np.vstack(left["vector"].to_numpy()) @ np.vstack(right["vector"].to_numpy()).T
-        n = min(k, scores.shape[1])
-        # stable sort keeps the smaller value first among equal scores
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(left["query_id"].to_numpy(), n),
-                "value": right["value"].to_numpy()[top.ravel()],
-                "raw": np.take_along_axis(scores, top, axis=1).ravel(),
-            }
-        )
+            return pd.DataFrame({"query_id": [], "value": [], "raw": []})
+        values, matrix = _matrix(right)
+        return _best_of(left["query_id"].to_numpy(), np.vstack(left["vector"].to_numpy()), values, matrix, k)
 
-    found = (
-        q.groupBy(*keys)
-        .cogroup(v.groupBy(*keys))
-        .applyInPandas(best, f"query_id {ids.simpleString()}, value {values.simpleString()}, raw double")
-    )
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(best, _found_schema(queries, vectors))
     order = W.partitionBy("query_id").orderBy(F.desc("raw"), F.asc("value"))
-    return (
-        found.withColumn("place", F.row_number().over(order))
-        .where((F.col("place") <= k) & (F.col("raw") >= threshold))
-        .select("query_id", "place", "value", F.round("raw", 4).alias("score"))
+    ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return _finish(ranked, threshold)
+
+
+def _topk_small(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
+    """All vectors fit one block (the caller has counted them): they travel to
+    the queries, which are not shuffled at all."""
+    by_column = {}
+    for name, part in vectors.select("column", "value", F.col("vector").cast("array<double>").alias("vector")).toPandas().groupby("column"):
+        by_column[name] = _matrix(part)
+    shared = queries.sparkSession.sparkContext.broadcast(by_column)
+
+    def best(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("column"):
+                if name not in shared.value:
+                    continue
+                values, matrix = shared.value[name]
+                for at in range(0, len(part), 1024):
+                    some = part.iloc[at : at + 1024]
+                    out = _best_of(some["query_id"].to_numpy(), np.vstack(some["vector"].to_numpy()), values, matrix, k)
+                    n = min(k, len(values))
+                    yield out.assign(place=np.tile(np.arange(1, n + 1, dtype="int32"), len(some)))
+
+    ask = queries.select("query_id", "column", F.col("vector").cast("array<double>").alias("vector"))
+    return _finish(ask.mapInPandas(best, _found_schema(queries, vectors) + ", place int"), threshold)
+
+
+def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    part = part.sort_values("value", kind="stable")
+    return part["value"].to_numpy(), np.vstack(part["vector"].to_numpy())
+
+
+def _best_of(ids, asked, values, matrix, k: int) -> pd.DataFrame:
+    """Best ``k`` per query of one block; a stable sort keeps the smaller value
+    first among equal scores."""
+    scores = asked @ matrix.T
+    n = min(k, len(values))
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+    return pd.DataFrame(
+        {
+            "query_id": np.repeat(ids, n),
+            "value": values[top.ravel()],
+            "raw": np.take_along_axis(scores, top, axis=1).ravel(),
+        }
+    )
+
+
+def _found_schema(queries: DataFrame, vectors: DataFrame) -> str:
+    ids, values = queries.schema["query_id"].dataType, vectors.schema["value"].dataType
+    return f"query_id {ids.simpleString()}, value {values.simpleString()}, raw double"
+
+
+def _finish(ranked: DataFrame, threshold: float) -> DataFrame:
+    return ranked.where(F.col("raw") >= threshold).select(
+        "query_id", "place", "value", F.round("raw", 4).alias("score")
     )
 
 

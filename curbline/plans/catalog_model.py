@@ -617,6 +617,21 @@ def _(v):
     return jobs.current_version(v.spark, versions).select(*CORE)
 
 
+@query("r02_stream_upsert_by_month", _SECOND, f"v1 AS ({_FIRST})")
+def _(v):
+    from curbline.operators.maintain import append_snapshot
+    from curbline.schemas import CASE_SCHEMA
+
+    folder, table, state = (fresh_path(v.spark, n) for n in ("arrivals", "by_month", "state"))
+    append_snapshot(v.target.withColumn("part_month", F.date_format("open_dt", "yyyyMM")), table, "part_month")
+    second = F.col("_ingested_at") == F.lit(SECOND_INGEST).cast("timestamp")
+    for part in (~second, second):
+        arrive(v.staging.where(part), folder)
+        stream = v.spark.readStream.schema(CASE_SCHEMA).json(folder)
+        jobs.upsert_by_month(stream, table, state, order=BATCH_ORDER).awaitTermination()
+    return v.spark.read.parquet(table).select(*CORE)
+
+
 @query("r03_stream_dedup", "SELECT DISTINCT case_enquiry_id FROM staging")
 def _(v):
     from curbline.schemas import CASE_SCHEMA

@@ -100,6 +100,28 @@ def upsert(
     )
 
 
+def upsert_by_month(
+    batches: DataFrame, path: str, state: str, key: str = maintain.KEY,
+    order: tuple[str, ...] = maintain.LATEST,
+) -> StreamingQuery:
+    """Upsert every arriving batch into a table partitioned by ``part_month``,
+    rewriting only the months it touches.
+
+    The upsert of a batch may be repeated without changing the table, so a
+    replay after a failure is safe.
+    """
+
+    def merge(rows: DataFrame, batch_id: int) -> None:
+        maintain.upsert_months(rows.sparkSession, path, rows, key, order)
+
+    return (
+        batches.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def current_version(spark: SparkSession, versions: str) -> DataFrame:
     """The newest version of the target."""
     rows = spark.read.parquet(versions)
