@@ -181,9 +181,15 @@ def fairness_gate(gaps: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def gate_verdict(checked: DataFrame) -> DataFrame:
-    return checked.agg(
-        F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("n_failed")
+def gate_verdict(checked: DataFrame, promotion: DataFrame | None = None) -> DataFrame:
+    """One row: passed when every gap is within its limit and, if the promotion
+    row is given, the metric did not drop too far."""
+    promoted = F.lit(True)
+    if promotion is not None:
+        promoted = F.coalesce(promotion.agg(F.bool_and("promoted")).scalar(), F.lit(True))
+    fine = F.coalesce(F.bool_and("passed"), F.lit(True))
+    return checked.agg(fine.alias("passed"), F.count_if(~F.col("passed")).alias("n_failed")).select(
+        (F.col("passed") & promoted).alias("passed"), "n_failed"
     )
 
 

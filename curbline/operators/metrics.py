@@ -374,9 +374,15 @@ def _seasonal(months: DataFrame, k: int) -> DataFrame:
     )
 
 
-def forecast(months: DataFrame, k: int = 6) -> DataFrame:
-    """Seasonal from twelve months on, trend below; no months, no rows."""
+def forecast(months: DataFrame, k: int = 6, recent: DataFrame | None = None) -> DataFrame:
+    """Seasonal from twelve months on, trend below; no months, no rows.
+
+    ``recent`` months stand in when the long series is empty.
+    """
     months = cut(months)  # a row per month, read by both methods
+    if recent is not None:
+        none = months.agg(F.count("*") == 0).scalar()
+        months = cut(months.unionByName(recent.where(none)))
     n = months.agg(F.count("*")).scalar()
     return (
         _seasonal(months, k).where(n >= 12).withColumn("method", F.lit("seasonal"))

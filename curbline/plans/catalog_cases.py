@@ -243,6 +243,19 @@ def _(v):
     return search(token_index(v.table("documents"), "doc_id", ["text"]), "doc_id", ["The", "and"])
 
 
+@query("v07_case_search", """SELECT case_enquiry_id FROM cases WHERE list_contains(string_split(lower(concat_ws(' ', subject, case_title, location)), ' '), 'machinery')
+    AND list_contains(string_split(lower(concat_ws(' ', subject, case_title, location)), ' '), '1-urgent')""")
+def _(v):
+    index = token_index(v.cases, "case_enquiry_id", ["subject", "case_title", "location"])
+    return search(index, "case_enquiry_id", ["MACHINERY", "1-urgent"])
+
+
+@query("u03_common_columns", "SELECT department, latitude, longitude, neighborhood, open_dt, reason FROM cases")
+def _(v):
+    left, _right = filters.common_features(v.cases, v.scores, {"case_enquiry_id"})
+    return left
+
+
 # --- scalar families --------------------------------------------------------
 
 

@@ -362,12 +362,16 @@ GATE_CTES = curve_sql("(SELECT * FROM scores WHERE open_dt >= TIMESTAMP '2000-01
     "(SELECT * FROM scores WHERE open_dt < TIMESTAMP '2000-01-01')", name="old")
 
 
+def promotion(v):
+    since = F.col("open_dt") >= F.lit("2000-01-01").cast("timestamp")
+    new, old = (ranking.curve_metrics(v.scores.where(c), "label", "priority_score") for c in (since, ~since))
+    return fairness.promotion_gate(new, old, "pr_auc")
+
+
 @query("m05_promotion_gate", """SELECT round(n.pr_auc, 6) AS new_value, round(o.pr_auc, 6) AS base_value, round(n.pr_auc - o.pr_auc, 6) AS delta,
     NOT (n.pr_auc - o.pr_auc < -0.005) AS promoted FROM new n, old o""", GATE_CTES)
 def _(v):
-    since = F.col("open_dt") >= F.lit("2000-01-01").cast("timestamp")
-    new, old = (ranking.curve_metrics(v.scores.where(c), "label", "priority_score") for c in (since, ~since))
-    return rounded(fairness.promotion_gate(new, old, "pr_auc"), "new_value", "base_value", "delta")
+    return rounded(promotion(v), "new_value", "base_value", "delta")
 
 
 GATE_SQL = slices_sql("scores") + ",\n" + gap_sql("sl_m") + """,
@@ -390,6 +394,12 @@ def _(v):
     return fairness.gate_verdict(checked_gaps(v))
 
 
+@query("m06_gate_verdict_with_metric", """SELECT bool_and(coalesce(gap <= gap_limit, true)) AND (SELECT NOT (n.pr_auc - o.pr_auc < -0.005) FROM new n, old o) AS passed,
+    count(*) FILTER (NOT coalesce(gap <= gap_limit, true)) AS n_failed FROM checked""", GATE_SQL.strip() + "," + GATE_CTES)
+def _(v):
+    return fairness.gate_verdict(checked_gaps(v), promotion(v))
+
+
 @query("m09_balance_drift", """SELECT round(avg(label), 6) AS class_balance, round(abs(avg(label) - 0.65), 6) AS balance_diff, abs(avg(label) - 0.65) > 0.10 AS balance_drift FROM scores""")
 def _(v):
     return rounded(model.balance_drift(v.scores, "label"), "class_balance", "balance_diff")
@@ -490,6 +500,11 @@ def _(v):
     return vectors.topk(v.lookups, v.vectors, 1, -1.0).select("query_id", "value", "score")
 
 
+@query("k06_partial_topk", "SELECT query_id, CAST(place AS INTEGER) AS place, value FROM matches WHERE place <= 3 AND raw >= 0.3")
+def _(v):
+    return vectors.topk(v.lookups, v.vectors, 3, 0.3).select("query_id", "place", "value")
+
+
 FAQ_ID = "CASE WHEN label < 5 THEN vec_id {0} 2 ELSE 1000000 + vec_id {0} 4 END"
 FAQ_SQL = f"""
 parts AS (SELECT {FAQ_ID.format('//')} AS id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM unit),

@@ -272,6 +272,11 @@ VOCAB_SQL = """
 official AS (
   SELECT DISTINCT 'type' AS "column", type AS value FROM cases
   UNION SELECT DISTINCT 'department', department FROM cases
+  UNION SELECT DISTINCT 'neighborhood', neighborhood FROM cases
+  UNION SELECT DISTINCT 'case_status', case_status FROM cases
+  UNION SELECT DISTINCT 'on_time', on_time FROM cases
+  UNION SELECT DISTINCT 'reason', reason FROM cases
+  UNION SELECT DISTINCT 'subject', subject FROM cases
   UNION SELECT DISTINCT 'source', source FROM cases),
 synonyms AS (
   SELECT DISTINCT 'type' AS "column", type AS phrase, upper(trim(type)) AS value FROM cases
@@ -286,7 +291,8 @@ vocab AS (
 
 
 def vocabulary(v):
-    official = vocab.official_values(v.cases, ["type", "department", "source"])
+    columns = ["neighborhood", "department", "source", "case_status", "on_time", "reason", "type", "subject"]
+    official = vocab.official_values(v.cases, columns)
     kinds = F.array(
         F.struct(F.lit("type").alias("column"), F.col("type").alias("phrase"), F.upper(F.trim("type")).alias("value")),
         F.struct(F.lit("department").alias("column"), F.lower("department").alias("phrase"), F.col("department").alias("value")),
@@ -332,6 +338,11 @@ def _(v):
     return maintain.latest_per_key(v.staging, order=BATCH_ORDER).select(*CORE)
 
 
+@query("w01_latest_row", f"SELECT {CORE_SQL} FROM (SELECT * FROM cases UNION ALL BY NAME SELECT * FROM staging) {LATEST_SQL}")
+def _(v):
+    return maintain.latest_per_key(v.cases.unionByName(v.staging), order=BATCH_ORDER).select(*CORE)
+
+
 def upsert_sql(target: str, batch: str) -> str:
     take = "(t.case_enquiry_id IS NULL OR (s.case_enquiry_id IS NOT NULL AND (t._ingested_at IS NULL OR s._ingested_at >= t._ingested_at)))"
     picks = [

@@ -49,6 +49,12 @@ def test_forecast_picks_the_method(spark):
     assert [f for _, f, _ in seasonal] == [1, 2, 3, 4, 5, 6] and seasonal[0][2] == "seasonal"
 
 
+def test_forecast_uses_recent_months_only_without_a_long_series(spark):
+    none, short, long = months(spark, [1]).limit(0), months(spark, [3]), months(spark, [8])
+    assert {r.forecast for r in metrics.forecast(none, recent=short).collect()} == {3}
+    assert {r.forecast for r in metrics.forecast(long, recent=short).collect()} == {8}
+
+
 def test_seasonal_falls_back_to_last(spark):
     df = months(spark, [1, 2, 3])
     got = [r.forecast for r in metrics.seasonal_forecast(df).orderBy("month_start").collect()]
