@@ -138,10 +138,9 @@ def place_repeats(cases: DataFrame, days: int = 90, metres: float = 30.0) -> Dat
     pairs = near_places(pinned.select("lat", "lon").distinct(), metres)
     none = F.lit(None).cast("double")
     here = [F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), none.alias("lat"), none.alias("lon")]
-    there = [F.col(c) for c in ("near_lat", "near_lon", "lat", "lon")]
     steps = pinned.select(F.inline(F.array(*_span(here, _window_end(days)))))
     asks = pinned.join(pairs, ["lat", "lon"]).select(
-        F.inline(F.array(_mark(there, F.col("at"), 0, F.col(ID))))
+        "near_lat", "near_lon", "lat", "lon", "at", F.lit(0).alias("d"), F.lit(True).alias("ask"), ID
     )
     counted = count_open(steps.unionByName(asks), ["near_lat", "near_lon"], ["lat", "lon"])
     return (
@@ -201,7 +200,7 @@ def workload_counts(
         )
         asks = pinned.join(pairs, ["lat", "lon"])
         line = line.unionByName(
-            asks.select(F.inline(F.array(_mark(key("place", F.col("k")), F.col("at"), 0, F.col(ID)))))
+            asks.select(*key("place", F.col("k")), "at", F.lit(0).alias("d"), F.lit(True).alias("ask"), ID)
         )
     return (
         count_open(line, ["kind", "k"], [ID])

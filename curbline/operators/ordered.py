@@ -3,8 +3,8 @@
 Rows are range-partitioned on the whole sort order, so one group, or one run
 of ties, may span many partitions. Each partition works on its own rows and
 the partitions are joined by their totals: one small row per (group,
-partition). The ranged rows are checkpointed because both steps must see the
-same partition borders.
+partition). The ranged rows are stored because both steps must see the same
+partition borders.
 """
 
 from __future__ import annotations

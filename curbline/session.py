@@ -33,6 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later branches read the same stored rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the frame as Parquet in the shared folder and read it back.
+
+    Later branches then read the same rows, only the columns they need, with
+    known sizes; a lost executor costs a read, not the work before it.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
