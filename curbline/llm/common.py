@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
+#: A key is hot when it holds more than one row in HOT_SHARE, so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
 
@@ -26,13 +26,13 @@ def total_of(groups: DataFrame, size: str) -> int:
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: list[str]) -> DataFrame:
     """Left join of rows to ``groups`` (one row per key, ``size`` rows each, ``total`` in all).
 
-    Groups above the hot share number fewer than HOT_SHARE by construction and are
+    Groups above the hot share number HOT_SHARE at most, by construction, and are
     broadcast; their rows get a spread key for the shuffle that joins the rest, so
     no key brings more than total / HOT_SHARE rows to one task. ``salt`` names
     columns that differ between the rows of a group. Keys are longs or strings.
     """
     values = [c for c in groups.columns if c != key]
-    at = total // HOT_SHARE
+    at = max(total // HOT_SHARE, 1)
     hot = groups.where(F.col(size) > at).select(
         F.col(key).alias("_hk"), *[F.col(v).alias(f"_hot_{v}") for v in values]
     )
