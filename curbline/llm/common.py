@@ -23,13 +23,15 @@ def total_of(groups: DataFrame, size: str) -> int:
     return groups.agg(F.sum(size)).first()[0] or 0
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: list[str]) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: list[str], merge: bool = False) -> DataFrame:
     """Left join of rows to ``groups`` (one row per key, ``size`` rows each, ``total`` in all).
 
     Groups above the hot share number HOT_SHARE at most, by construction, and are
     broadcast; their rows get a spread key for the shuffle that joins the rest, so
     no key brings more than total / HOT_SHARE rows to one task. ``salt`` names
     columns that differ between the rows of a group. Keys are longs or strings.
+    ``merge`` joins the rest by sorting at every size, for rows too wide for a plan
+    that changes when the groups outgrow a broadcast.
     """
     values = [c for c in groups.columns if c != key]
     at = max(total // HOT_SHARE, 1)
@@ -43,7 +45,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     spread = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(
         "_k", F.when(F.col("_hk").isNotNull(), away).otherwise(F.col(key))
     )
-    return spread.join(cold, F.col("_k") == F.col("_ck"), "left").select(
+    return spread.join(cold.hint("merge") if merge else cold, F.col("_k") == F.col("_ck"), "left").select(
         *rows.columns,
         *[F.when(F.col("_hk").isNotNull(), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values],
     )

@@ -159,7 +159,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", moduli=
     again = texts.select("_text").mapInArrow(
         partial(_print, moduli=moduli, chunk=chunk), "_text string, _h1 bigint, _h2 bigint"
     ).withColumn("_bytes", F.octet_length("_text")).select(_class().alias("_class"), "_text")
-    members = attach(again, sizes.where("_n > 1"), "_class", "_n", total, ["_text"]) if total else again.withColumn("_n", F.lit(None))
+    members = attach(again, sizes.where("_n > 1"), "_class", "_n", total, ["_text"], merge=True) if total else again.withColumn("_n", F.lit(None))
     differ = (
         members.where(F.col("_n").isNotNull())
         .select("_class", "_text")
