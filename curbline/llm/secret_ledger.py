@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, total_of, whole
+from curbline.llm.common import HOT_SHARE, attach, total_of, whole
 from curbline.session import cut, fresh_path
 
 # Kind, pattern, group to measure, least length of that group.
@@ -131,9 +131,13 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
         ).alias("spans"))
         .groupBy("blob")
         .agg(F.array_distinct(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
-        .join(sizes.select(F.col("_blob").alias("blob"), "_n"), "blob")
     )
-    joined = attach(paths, spans.withColumnRenamed("blob", "_blob"), "_blob", "_n", total_of(sizes, "_n"), ["_path", "_blob"])
+    # Blobs with spans, and the hot ones, whose paths must not meet in one task either.
+    total = total_of(sizes, "_n")
+    named = sizes.join(spans, sizes["_blob"] == spans["blob"], "left").where(
+        F.col("spans").isNotNull() | (F.col("_n") > max(total // HOT_SHARE, 1))
+    )
+    joined = attach(paths, named.select("_blob", "_n", "spans"), "_blob", "_n", total, ["_path", "_blob"])
     empty = F.array().cast("array<struct<begin:int,at:bigint,end:int,kind:string>>")
     return joined.select(
         F.col("_path").alias(path),
