@@ -9,7 +9,7 @@ labelled rows, chosen by a hash of the text; the prediction runs over all rows.
 Defined results: a null text, or one without a letter, is UNKNOWN with score 0;
 with no labelled rows every text is; with one language every text with letters
 is that, score 1. Repeated rows get equal predictions; a null id counts as the
-empty text in the held-out test; extra columns stay untouched.
+empty text in the held-out test; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -180,8 +180,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
     return fit(x[order], labels[order])
 
 
-def predict(docs: DataFrame, model: Hierarchy, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Docs with ``lang_pred`` and ``score`` added."""
+def guess_column(model: Hierarchy, text: str = "text", width: int = WIDTH) -> Column:
+    """The prediction as one column: struct of lang and score."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -194,12 +194,15 @@ def predict(docs: DataFrame, model: Hierarchy, text: str = "text", width: int =
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    letters = has_letter(text)
-    guessed = docs.withColumn("_guess", guess(whole(text)))
-    return guessed.withColumns({
-        "lang_pred": F.when(letters, F.col("_guess.lang")).otherwise(UNKNOWN),
-        "score": F.when(letters, F.col("_guess.score")).otherwise(0.0),
-    }).drop("_guess")
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    return F.when(has_letter(text), guess(whole(text))).otherwise(unknown)
+
+
+def predict(docs: DataFrame, model: Hierarchy, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """Docs with ``lang_pred`` and ``score``, which replace columns of those names."""
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    guessed = docs.select(*others, guess_column(model, text, width).alias("__guess"))
+    return guessed.select(*others, F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("score"))
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def _signed_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     texts = docs.join(
-        wanted.withColumnsRenamed({"id": "_w", "h": "_wh"}), (F.col("_h") == F.col("_wh")) & F.col("_id").eqNullSafe(F.col("_w"))
+        wanted.withColumnsRenamed({"id": "_w", "h": "_wh"}).hint("merge"), (F.col("_h") == F.col("_wh")) & F.col("_id").eqNullSafe(F.col("_w"))
     )
     return texts.select("key", "_text").mapInArrow(run, "key bigint, n bigint, members binary, bits binary")
 
@@ -334,7 +334,7 @@ def _across(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), heavy_least: int = HEAVY_LEAST) -> DataFrame:
-    """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` of every row."""
+    """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (its number; null without words) of every row."""
     texts = docs.select(F.col(id).alias("_id"), whole(text).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     survey = cut(_survey(texts, rule))
     rows = survey.where("n IS NOT NULL").select("id", "h", "n", "key")
@@ -394,11 +394,13 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
     least = cut(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n_nodes")))
     named = attach(
         placed, least, "component", "n_nodes", total_of(least, "n_nodes"), ["key"]
-    ).select("key", "size", "component_id")
+    ).select("key", "size", "component_id", "component")
     total = total_of(nodes, "size")
     return attach(full, cut(named), "key", "size", total, ["id", "h"]).select(
-        "id", "h", F.col("n").alias("n_shingles"), "component_id"
-    ).unionByName(rows.where("n = 0").select("id", "h", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+        "id", "h", F.col("n").alias("n_shingles"), "component_id", "component"
+    ).unionByName(rows.where("n = 0").select(
+        "id", "h", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("component")
+    ))
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

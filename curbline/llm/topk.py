@@ -11,7 +11,7 @@ Defined results: components become floor(256 * x), x as double; vectors that are
 null or hold null, NaN or infinity, and rows without id, take no part; vectors of
 unequal length meet in the components both have; an empty vector scores 0; a
 candidate of the query's id is its own row; of several rows with one query id
-the smallest vector asks; scores beyond a long are held at its limits, after ranking.
+the smallest vector asks; scores beyond a long are held at its limits before they are ranked.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def _block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
                     scores += np.multiply.outer(w, v)
                 else:
                     scores[np.ix_(rows, at)] += np.multiply.outer(w, v)
+            if scores.dtype == object:
+                scores = np.clip(scores, _LONG.min, _LONG.max)
             for i, qid in enumerate(asked):
                 others = np.flatnonzero(ids != qid)
                 own = scores[i, others]
@@ -100,11 +102,10 @@ def _block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         last, n = (r[0], n + 1) if r[0] == last else (r[0], 1)
         if n <= k:
             kept.append(r)
-    hold = [max(_LONG.min, min(_LONG.max, int(s))) for _, _, s in kept]
     return pa.table({
         "query_id": pa.array([r[0] for r in kept], pa.int64()),
         "vec_id": pa.array([r[1] for r in kept], pa.int64()),
-        "score": pa.array(hold, pa.int64()),
+        "score": pa.array([int(r[2]) for r in kept], pa.int64()),
     })
 
 
