@@ -43,23 +43,33 @@ def finite(c) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
-def finite_array(c) -> Column:
-    return F.transform(_col(c), finite)
+def finite_value(c: Column, kind: T.DataType) -> Column:
+    """:func:`finite` at any depth of arrays, structs and map values."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: finite_value(x, kind.valueType))
+    fields = F.struct(*[finite_value(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.when(c.isNotNull(), fields)
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_floats(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
-    """Apply :func:`finite` to every float column, also inside arrays."""
-    out = []
-    for f in df.schema.fields:
-        name = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            name = finite(name)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(
-            f.dataType.elementType, (T.DoubleType, T.FloatType)
-        ):
-            name = finite_array(name)
-        out.append(name.alias(f.name))
-    return df.select(*out)
+    """Apply :func:`finite` to every float of every column, nested ones included."""
+    return df.select(*[finite_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def fill_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: white space of any script, and the separators U+001C to U+001F.
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def collapse_space(c) -> Column:
-    return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), _SPACE, " "))
 
 
 def fingerprint(c) -> Column:
@@ -30,6 +34,15 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(_col(c)), r"\s+"), lambda t: t != "")
 
 
+def one_object(c) -> Column:
+    """A JSON object as a map; null when it is broken or text follows its end.
+
+    Read as a list of one: text after the object breaks the list.
+    """
+    listed = F.from_json(F.concat(F.lit("["), _col(c), F.lit("]")), "array<map<string,string>>")
+    return F.when(_col(c).startswith("{") & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+
+
 def entity_map(c) -> Column:
     """Entities from model output: an object, or the first element of a list.
 
@@ -37,10 +50,10 @@ def entity_map(c) -> Column:
     """
     raw = F.trim(_col(c))
     as_map = "map<string,string>"
-    first = F.get(F.from_json(raw, "array<string>"), F.lit(0))
-    pick = F.when(raw.startswith("{"), F.from_json(raw, as_map)).when(
-        raw.startswith("[") & F.ltrim(first).startswith("{"), F.from_json(first, as_map)
-    )
+    # A list, too, is read as the one element of another, so that nothing may follow it.
+    lists = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<array<string>>")
+    first = F.when(F.size(lists) == 1, F.get(F.get(lists, F.lit(0)), F.lit(0)))
+    pick = F.when(raw.startswith("{"), one_object(raw)).when(raw.startswith("["), one_object(F.trim(first)))
     empty = F.from_json(F.lit("{}"), as_map)
     return F.coalesce(F.map_filter(pick, lambda _, v: v.isNotNull()), empty)
 

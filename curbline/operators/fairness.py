@@ -58,19 +58,28 @@ def slice_metrics(cases: DataFrame, as_of, days: int = 30, dims=tuple(SLICES)) -
 
 
 def slice_medians(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("slice_type").agg(
+    """Median rate per slice type, and per snapshot where the frame has dates."""
+    return metrics.groupBy(*_snapshot_keys(metrics)).agg(
         F.percentile_approx("ontime_rate", 0.5, 10000).alias("median_ontime_rate")
     )
 
 
+def _snapshot_keys(metrics: DataFrame) -> list[str]:
+    return [c for c in ("snapshot_date", "slice_type") if c in metrics.columns]
+
+
 def join_medians(metrics: DataFrame, medians: DataFrame) -> DataFrame:
-    return metrics.join(medians, "slice_type").withColumn(
+    return metrics.join(medians, _snapshot_keys(medians)).withColumn(
         "gap_below_median", F.col("median_ontime_rate") - F.col("ontime_rate")
     )
 
 
-def bias_alerts(metrics: DataFrame, gap: float = 0.10) -> DataFrame:
-    """Slices more than ``gap`` (absolute) below the median of their type."""
+def bias_alerts(metrics: DataFrame, gap: float = 0.10, day=None) -> DataFrame:
+    """Slices more than ``gap`` (absolute) below the median of their type and snapshot.
+
+    ``day`` takes one snapshot of a frame that holds several."""
+    if day is not None:
+        metrics = metrics.where(F.col("snapshot_date") == F.lit(day).cast("date"))
     metrics = cut(metrics)  # a row per slice, read for the medians and the join
     low = F.col("ontime_rate") < F.col("median_ontime_rate") - F.lit(gap)
     return (
@@ -147,6 +156,7 @@ def disparities(
         .withColumn("gap", F.col("max_value") - F.col("min_value"))
     )
     big = F.col("gap") >= threshold if inclusive else F.col("gap") > threshold
+    # Fixed value: the warning text.
     text = F.format_string(
         "Potential disparity on slice '%s' for metric '%s': range=%.3f (min=%.3f, max=%.3f)",
         "slice_type", "metric", "gap", "min_value", "max_value",

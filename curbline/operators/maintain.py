@@ -54,11 +54,13 @@ def upsert(
 
     A matched row takes the batch values (all but the key and ``keep``) when its
     own ``_ingested_at`` is null or not newer; older batch rows are ignored;
-    unmatched batch rows are inserted. One join on the key, no second pass.
+    unmatched batch rows are inserted. Target rows without a key match nothing
+    and go round the join, so they do not meet in one task.
     """
     cols = cols or target.columns
     src = latest_per_key(batch, key, order).select(F.struct(*cols).alias("s"), F.lit(True).alias("in_s"))
-    tgt = target.select(F.struct(*cols).alias("t"), F.lit(True).alias("in_t"))
+    keyed = F.col(key).isNotNull()
+    tgt = target.where(keyed).select(F.struct(*cols).alias("t"), F.lit(True).alias("in_t"))
     both = tgt.join(src, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer")
     fresh = F.col("t._ingested_at").isNull() | (F.col("s._ingested_at") >= F.col("t._ingested_at"))
     take = F.col("in_s").isNotNull() & (F.col("in_t").isNull() | fresh)
@@ -68,7 +70,8 @@ def upsert(
             return F.when(F.col("in_t").isNull(), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}"))
         return F.when(take, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}"))
 
-    return both.select(*[pick(c).alias(c) for c in cols])
+    merged = both.select(*[pick(c).alias(c) for c in cols])
+    return merged.unionByName(target.where(~keyed).select(*cols))
 
 
 def refresh(batch: DataFrame, cols: list[str], key: str = KEY, order: tuple[str, ...] = LATEST) -> DataFrame:
@@ -86,9 +89,12 @@ def upsert_months(
     """Upsert into a Parquet table partitioned by ``part_month``, rewriting
     only the months the batch touches.
 
-    A row keeps the month it was inserted under, so no update moves it. The
-    months to rewrite are those of the batch rows and of the target rows they
-    match; the latter are found by reading just the key and the partition.
+    A row keeps the month it was inserted under, so no update moves it; a row
+    inserted without ``open_dt`` stays in the partition of no month. The months
+    to rewrite are those of the batch rows and of the target rows they match; the
+    latter are found by reading just the key and the partition. Repeating a batch
+    gives the same table. The rewrite itself is not atomic: the merged months
+    lie stored in the shared folder until it is over, and readers should wait for it.
     """
     table = spark.read.parquet(path).withColumn("part_month", F.col("part_month").cast("string"))
     cols = [c for c in table.columns if c != "part_month"]
@@ -100,7 +106,8 @@ def upsert_months(
     matched = table.join(newest.select(key), key, "left_semi").select("part_month")
     touched = newest.select("part_month").union(matched).distinct()
     months = [r[0] for r in touched.collect()]  # at most one value per calendar month
-    part = table.where(F.col("part_month").isin(months))
+    dated = F.col("part_month").isin([m for m in months if m is not None])
+    part = table.where(dated | F.col("part_month").isNull()) if None in months else table.where(dated)
     merged = upsert(part, newest, key, [*cols, "part_month"], order, ("_id", "part_month"))
     append_snapshot(cut(merged).repartitionByRange("part_month", key), path, "part_month")
 
@@ -132,6 +139,7 @@ def seed_actions(alerts: DataFrame, actions: DataFrame, now, day) -> DataFrame:
     def pct(c: str) -> Column:
         return F.round(F.col(c) * 100, 1).cast("string")
 
+    # Fixed value: the summary text.
     summary = F.concat(
         F.lit("ontime_rate="), pct("ontime_rate"), F.lit("%; median="), pct("median_ontime_rate"),
         F.lit("%; gap="), pct("gap_below_median"), F.lit("pts below median"),

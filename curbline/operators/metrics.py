@@ -45,6 +45,13 @@ def weekly_counts(cases: DataFrame, dims: list[str], upper: tuple[str, ...] = ("
     )
 
 
+# The numbers of a daily row.
+DAILY_NUMBERS = [
+    "total_cases", "open_cases", "closed_cases", "sla_eligible_cases", "sla_met_cases",
+    "avg_resolution_hrs", "sla_compliance_pct",
+]
+
+
 def daily_metrics(cases: DataFrame) -> DataFrame:
     """The daily table all dashboard pages read."""
     closed = F.col("case_status") == "Closed"
@@ -66,8 +73,10 @@ def daily_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
-def recent_metrics(daily: DataFrame, as_of, days: int) -> DataFrame:
-    return daily.where(F.col("date") >= F.date_sub(F.to_date(clock.instant(as_of)), days))
+def recent_metrics(daily: DataFrame, as_of, days: int, fill: bool = False) -> DataFrame:
+    """Days of the window; ``fill`` makes null counts and averages 0, as the pages show them."""
+    rows = daily.where(F.col("date") >= F.date_sub(F.to_date(clock.instant(as_of)), days))
+    return rows.fillna(0, DAILY_NUMBERS) if fill else rows
 
 
 # --- scores -----------------------------------------------------------------

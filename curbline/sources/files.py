@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curbline.functions import clock
+from curbline.functions.text import one_object
 from curbline.schemas import CASE_SCHEMA
+from curbline.session import cut
 
 BAD = "_corrupt_record"
 
@@ -27,13 +29,15 @@ def read_cases_jsonl(spark: SparkSession, path: str, schema: T.StructType = CASE
 def load_staging(spark: SparkSession, path: str, out: str, max_bad: int = 50) -> DataFrame:
     """Truncate-and-load the good rows; fail when more than ``max_bad`` are bad.
 
-    Bad rows are counted while writing, so the input is read once.
+    Bad rows are counted while the good ones are written to a fresh folder, so
+    the input is read once, and a rejected load leaves the old table as it was.
     """
     seen = Observation()
     rows = read_cases_jsonl(spark, path).observe(seen, F.count(BAD).alias("bad"))
-    rows.where(F.col(BAD).isNull()).drop(BAD).write.mode("overwrite").parquet(out)
+    good = cut(rows.where(F.col(BAD).isNull()).drop(BAD))
     if seen.get["bad"] > max_bad:
         raise ValueError(f"{seen.get['bad']} unreadable rows, at most {max_bad} allowed")
+    good.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -78,13 +82,15 @@ def write_clustered(df: DataFrame, part: str | Column, keys: list[str], path: st
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report (already aggregated to a few rows) as one JSON file."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """A report (already aggregated to a few rows) as one JSON file.
+
+    The rows are made in parallel and then brought together."""
+    df.repartition(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_eval(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Evaluation cases. With ``|`` the second column is JSON and rows whose
-    JSON cannot be read are skipped."""
+    JSON cannot be read, text after its end included, are skipped."""
     if sep != "|":
         return spark.read.schema("query string, column string, expected string").csv(
             path, header=True, sep=sep
@@ -92,9 +98,8 @@ def read_eval(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     raw = spark.read.schema("query string, expected_json string").csv(
         path, header=True, sep=sep, quote=""
     )
-    expected = F.from_json("expected_json", "map<string,string>")
-    ok = F.try_parse_json("expected_json").isNotNull() & expected.isNotNull()
-    return raw.where(ok).select("query", expected.alias("expected"))
+    expected = one_object(F.trim("expected_json"))
+    return raw.where(expected.isNotNull()).select("query", expected.alias("expected"))
 
 
 def faq_table(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ NAME_KEYS = ["name", "Neighborhood", "NEIGHBORHOOD", "Name"]
 
 
 def read_geojson(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """One row (name, geometry JSON) per feature that has a geometry.
+    """One row (name, geometry JSON) per feature that has a geometry; an empty one is none.
 
     Takes a FeatureCollection or a single Feature per document; anything else
     is an error. ``whole_file=False`` reads one document per line, the form
@@ -37,6 +37,6 @@ def features_of(docs: DataFrame) -> DataFrame:
     ]
     return (
         docs.select(F.explode(found).alias("f"))
-        .where(F.col("f.geometry").isNotNull())
+        .where(~F.coalesce(F.regexp_replace("f.geometry", r"\s", ""), F.lit("")).isin("", "{}", "[]", '""', "0", "false", "null"))
         .select(F.coalesce(*names, F.lit("")).alias("name"), F.col("f.geometry").alias("geometry"))
     )
