@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbline.functions.labels import norm_upper
 from curbline.functions.numeric import haversine
 from curbline.operators.features import METRES_PER_DEGREE
+from curbline.session import cut
 
 
 def within(df: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
@@ -30,9 +31,8 @@ def near(df: DataFrame, lat=None, lon=None, radius_m=None) -> DataFrame:
         return df
     if not radius_m:
         return df
-    found = within(df, lat, lon, radius_m).limit(1).agg(F.count("*") > 0).scalar()
-    close = haversine(lat, lon, "latitude", "longitude") <= radius_m
-    return df.where(~found | F.coalesce(close, F.lit(False)))
+    found = within(df, lat, lon, radius_m)  # keeps the band, so the scan skips row groups
+    return df if found.isEmpty() else found
 
 
 def map_points(df: DataFrame, cols: list[str], order: list[Column], cap: int = 2000) -> DataFrame:
@@ -91,35 +91,45 @@ def inside(lat: Column, lon: Column, rings: Column) -> Column:
     return total % 2 == 1
 
 
-def tag_polygon(points: DataFrame, polygons: DataFrame, cell: float = 0.005) -> DataFrame:
+def tag_polygon(points: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
     """Name of the polygon around each point, null outside all of them.
 
-    Polygons are filed under the grid cells of their bounding box, so a point
-    meets only those of its cell. The test runs once per distinct place.
+    A polygon is filed, without its rings, under the few grid cells its bounding
+    box touches, in a grid as coarse as the box is large; a point looks in its
+    cell of each grid in use. ``cell`` sets one width in degrees for all. Rings
+    are fetched for the places inside a box only, and the test runs once per
+    distinct place.
     """
-    def at(c, width=cell) -> Column:
-        return F.floor(F.col(c) / width) if isinstance(c, str) else F.floor(c / width)
-
-    filed = polygons.select(
-        "neighborhood_name",
-        "rings",
-        "min_lat", "max_lat", "min_lon", "max_lon",
-        F.explode(F.sequence(at("min_lat"), at("max_lat"))).alias("gy"),
-    ).withColumn("gx", F.explode(F.sequence(at("min_lon"), at("max_lon"))))
+    extent = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(1e-6))
+    known = cut(polygons.withColumns({
+        "_polygon": F.monotonically_increasing_id(),
+        "width": F.pow(F.lit(2.0), F.ceil(F.log2(extent))) if cell is None else F.lit(cell),
+    }))
+    widths = [r[0] for r in known.select("width").distinct().collect()]  # powers of two between 1e-6 and 360 degrees
+
+    def at(c: str) -> Column:
+        return F.floor(F.col(c) / F.col("width"))
+
+    filed = (
+        known.select("_polygon", "width", "min_lat", "max_lat", "min_lon", "max_lon")
+        .withColumn("gy", F.explode(F.sequence(at("min_lat"), at("max_lat"))))
+        .withColumn("gx", F.explode(F.sequence(at("min_lon"), at("max_lon"))))
+    )
     places = (
         points.select("latitude", "longitude")
         .where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         .distinct()
-        .withColumn("gy", at("latitude"))
-        .withColumn("gx", at("longitude"))
+        .withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<double>")))
+        .withColumns({"gy": at("latitude"), "gx": at("longitude")})
+    )
+    boxed = places.join(filed, ["width", "gy", "gx"]).where(
+        F.col("latitude").between(F.col("min_lat"), F.col("max_lat"))
+        & F.col("longitude").between(F.col("min_lon"), F.col("max_lon"))
     )
     tagged = (
-        places.join(filed, ["gy", "gx"])
-        .where(
-            F.col("latitude").between(F.col("min_lat"), F.col("max_lat"))
-            & F.col("longitude").between(F.col("min_lon"), F.col("max_lon"))
-            & inside(F.col("latitude"), F.col("longitude"), F.col("rings"))
-        )
+        boxed.select("latitude", "longitude", "_polygon")
+        .join(known.select("_polygon", "neighborhood_name", "rings"), "_polygon")
+        .where(inside(F.col("latitude"), F.col("longitude"), F.col("rings")))
         .groupBy("latitude", "longitude")
         .agg(F.min("neighborhood_name").alias("polygon_name"))
     )

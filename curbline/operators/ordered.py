@@ -30,7 +30,8 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank_overall") -
     slice_ = F.shiftright("_pos", _ROW_BITS)
     sizes = pos.groupBy(slice_.alias("_slice")).agg(F.count("*").alias("_n"))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
-    starts = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # Stored first: the planner then knows how small it is and leaves the rows where they lie.
+    starts = cut(sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     row = F.col("_pos").bitwiseAND((1 << _ROW_BITS) - 1)
     return (
         pos.withColumn("_slice", slice_)
@@ -58,11 +59,11 @@ def running_totals(
 
     totals = ranged.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
+    starts = cut(totals.select(
         F.col("_slice").alias("_slice_r"),
         *[F.col(b).alias(f"_r_{b}") for b in by],
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_st_{o}") for o in sums],
-    )
+    ))
     same = [F.col("_slice") == F.col("_slice_r")]
     same += [F.col(b).eqNullSafe(F.col(f"_r_{b}")) for b in by]
     joined = inner.join(starts, reduce(lambda a, b: a & b, same))
@@ -91,7 +92,7 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, fraction: float, out:
     size = run.groupBy(*by).agg(F.max("_upto").alias("_n"))
     wanted = F.greatest(F.floor(F.col("_n") * F.lit(fraction)), F.lit(1))
     if by:
-        renamed = size.select(*[F.col(b).alias(f"_r_{b}") for b in by], "_n")
+        renamed = cut(size.select(*[F.col(b).alias(f"_r_{b}") for b in by], "_n"))
         same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_r_{b}")) for b in by])
         hit = run.join(renamed, same).where(F.col("_upto") >= wanted)
         return hit.groupBy(*by).agg(F.min("_v").alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from curbline.functions.numeric import ratio
 from curbline.operators import ordered
+from curbline.session import cut
 
 ID = "case_enquiry_id"
 SCORE = "priority_score"
@@ -79,13 +80,21 @@ def curve_metrics(df: DataFrame, label: str, score: str, by: list[str] | None =
         .groupBy(*by, F.col(score).alias("_s"))
         .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
     )
+    return curve_of_counts(points, by)
+
+
+def curve_of_counts(points: DataFrame, by: list[str]) -> DataFrame:
+    """The curve metrics of ``_s`` (score), ``_pos`` and ``_neg`` (its counts).
+
+    Products of counts are doubles: two counts above 3e9 overflow a long.
+    """
     run = ordered.running_totals(points, by, [F.desc("_s")], {"_tp": "_pos", "_fp": "_neg"})
     sums = run.groupBy(*by).agg(
         F.sum("_pos").alias("n_pos"),
         F.sum("_neg").alias("n_neg"),
         # area of the step between two thresholds
-        F.sum(F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2)).alias("_area"),
-        F.sum(F.col("_pos") * (F.col("_tp") / (F.col("_tp") + F.col("_fp")))).alias("_gain"),
+        F.sum(F.col("_neg").cast("double") * (F.col("_tp") - F.col("_pos") / 2)).alias("_area"),
+        F.sum(F.col("_pos").cast("double") * (F.col("_tp") / (F.col("_tp") + F.col("_fp")))).alias("_gain"),
     )
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     ap = ratio("_gain", "n_pos")
@@ -94,7 +103,7 @@ def curve_metrics(df: DataFrame, label: str, score: str, by: list[str] | None =
         *by,
         "n_pos",
         "n_neg",
-        F.when(both, ratio("_area", F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+        F.when(both, ratio("_area", F.col("n_pos").cast("double") * F.col("n_neg"))).alias("roc_auc"),
         F.when(both, ap).alias("pr_auc"),
         loose.alias("pr_auc_loose"),
     )
@@ -104,7 +113,7 @@ def split(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Stratified 60/20/20 split: rows of a label in md5 order, cut at 60 % and 80 %."""
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     ranked = ordered.rank_within(df.withColumn("_h", h), [label], [F.asc("_h"), F.asc(key)], "_r")
-    size = df.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_label")
+    size = cut(df.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_label"))  # a row per label
     place = F.col("_r")
     part = (
         F.when(place <= F.floor(F.col("_n") * 0.6), "train")

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from curbline.functions.numeric import half_even, ratio_or_zero
 from curbline.functions.text import fingerprint
 from curbline.operators import ordered
+from curbline.session import cut
 
 MONITOR_PREFIX = "/monitor"
+CHUNK_SPANS = 64  # time-to-live spans in a chunk of one fingerprint's time line
+_NEVER = -(1 << 62)  # no span is open
 
 
 def user_requests(log: DataFrame) -> DataFrame:
@@ -104,55 +107,93 @@ def hit_rates(log: DataFrame) -> DataFrame:
     )
 
 
-def ttl_repeats(log: DataFrame, ttl: int = 3600) -> DataFrame:
-    """Hits, misses and expirations a cache with a fixed time to live would see.
+def ttl_repeats(log: DataFrame, ttl: int = 3600, chunk_spans: int = CHUNK_SPANS) -> DataFrame:
+    """Hits, misses and expirations per fingerprint for spans of ``ttl`` seconds.
 
     The first arrival of a fingerprint opens a span; arrivals up to ``ttl``
-    seconds later are hits; the next one opens a new span. Time counts in whole
-    seconds, so equal seconds are merged by the aggregation before anything is
-    put in order: a fingerprint brings at most one row per second of log time,
-    and its rows are streamed in batches with only the span start kept.
+    seconds later, to the microsecond, are hits; the next one opens a new span.
+
+    A fingerprint's time line is cut into chunks of ``chunk_spans`` spans, so a
+    hot one is many groups. A chunk is summed up as a step function from the end
+    of the span open before it to the end of the span open after it; only the
+    steps, at most one for each arrival in the chunk's first span, are followed in
+    order. Each chunk is then counted by itself.
     """
-    seconds = log.groupBy(
-        fingerprint("sql").alias("cache_key"), F.floor(F.unix_micros("ts") / 1_000_000).alias("sec")
-    ).agg(F.count("*").alias("n"))
+    width = ttl * 1_000_000
+    times = cut(
+        log.groupBy(fingerprint("sql").alias("cache_key"), F.unix_micros("ts").alias("at"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("chunk", F.floor(F.col("at") / F.lit(width * chunk_spans)))
+    )
 
-    def mark(batches):
-        key, opened = None, 0
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["at"].to_numpy())
+        last = _last_open(at, width)
+        begin = int(pdf["chunk"].iloc[0]) * width * chunk_spans
+        starts = np.arange(min(int(np.searchsorted(at, begin + width, "right")) + 1, len(at)))
+        ends = at[last[starts]] + width
+        since = np.where(starts > 0, at[starts - 1], np.iinfo(np.int64).min)
+        if len(starts) == len(at):  # no arrival after the open span: it stays open
+            since, ends = np.append(since, at[-1]), np.append(ends, -1)
+        new = np.concatenate([[True], ends[1:] != ends[:-1]])
+        return pd.DataFrame({"cache_key": pdf["cache_key"].iloc[0], "chunk": pdf["chunk"].iloc[0], "since": since[new], "ends": ends[new]})
+
+    def follow(batches):
+        # The open span's end before a chunk, and the step of the chunk found so far.
+        here, open_end, step = None, _NEVER, None
         for pdf in batches:
-            keys, sec = pdf["cache_key"].to_numpy(), pdf["sec"].to_numpy()
-            opens = np.zeros(len(pdf), dtype=bool)
-            first = np.zeros(len(pdf), dtype=bool)
-            i = 0
-            while i < len(pdf):
-                if keys[i] != key or sec[i] > opened + ttl:
-                    first[i] = keys[i] != key
-                    key, opened = keys[i], sec[i]
-                    opens[i] = True
-                # jump to the end of the span or of the key, whichever is nearer
-                stop = i + np.searchsorted(sec[i:_run_end(keys, i)], opened + ttl, side="right")
-                i = max(int(stop), i + 1)
-            yield pd.DataFrame(
-                {
-                    "cache_key": keys,
-                    "hits": pdf["n"].to_numpy() - opens,
-                    "misses": opens.astype("int64"),
-                    "expirations": (opens & ~first).astype("int64"),
-                }
-            )
-
-    marked = (
-        seconds.repartition("cache_key")
-        .sortWithinPartitions("cache_key", "sec")
-        .mapInPandas(mark, "cache_key string, hits bigint, misses bigint, expirations bigint")
+            out = []
+            for key, chunk, since, ends in pdf[["cache_key", "chunk", "since", "ends"]].itertuples(index=False):
+                if (key, chunk) != here:
+                    if here is not None and key == here[0]:
+                        open_end = open_end if step == -1 else step
+                    elif here is not None:
+                        open_end = _NEVER
+                    here, step = (key, chunk), ends
+                    out.append((key, chunk, open_end))
+                elif since <= open_end:
+                    step = ends
+            yield pd.DataFrame(out, columns=["cache_key", "chunk", "open_end"])
+
+    def count(arrivals: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(arrivals["at"].to_numpy())
+        open_end = int(before["open_end"].iloc[0])
+        i, opens = int(np.searchsorted(at, open_end, "right")), 0
+        while i < len(at):  # at most one turn for each span of the chunk
+            opens += 1
+            i = int(np.searchsorted(at, at[i] + width, "right"))
+        return pd.DataFrame(
+            {
+                "cache_key": [arrivals["cache_key"].iloc[0]],
+                "hits": [int(arrivals["n"].sum()) - opens],
+                "misses": [opens],
+                "expirations": [opens - (opens > 0 and open_end == _NEVER)],
+            }
+        )
+
+    by = ["cache_key", "chunk"]
+    chunks = times.groupBy(*by).applyInPandas(steps, "cache_key string, chunk bigint, since bigint, ends bigint")
+    before = (
+        chunks.repartition("cache_key")
+        .sortWithinPartitions("cache_key", "chunk", "since")
+        .mapInPandas(follow, "cache_key string, chunk bigint, open_end bigint")
+    )
+    counted = times.groupBy(*by).cogroup(before.groupBy(*by)).applyInPandas(
+        count, "cache_key string, hits bigint, misses bigint, expirations bigint"
     )
-    return marked.groupBy("cache_key").agg(
+    return counted.groupBy("cache_key").agg(
         F.sum("hits").alias("hits"),
         F.sum("misses").alias("misses"),
         F.sum("expirations").alias("expirations"),
     )
 
 
-def _run_end(keys: np.ndarray, i: int) -> int:
-    """End of the run of equal keys that starts at ``i`` (keys are sorted)."""
-    return int(np.searchsorted(keys, keys[i], side="right"))
+def _last_open(at: np.ndarray, width: int) -> np.ndarray:
+    """For a span opened at each place: where the last span of the line opens."""
+    after = np.searchsorted(at, at + width, "right")
+    to = np.where(after < len(at), after, np.arange(len(at)))
+    while True:  # doubling: each turn follows twice as many spans
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from curbline.session import cut
 
 BLOCK_ROWS = 4096  # vectors per block and queries per slice: bounds one task's work
+SMALL_BYTES = 32 << 20  # a vocabulary that travels to the queries holds no more
 
 # Answer bands and texts of the question lookup.
 ANSWER_AT = 0.7
@@ -36,18 +37,20 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 1, threshold: float =
 
     queries: query_id, column, vector; vectors: column, value, vector.
 
-    Exact in both forms. A vocabulary of at most one block is broadcast. A
+    Exact in both forms. A vocabulary of at most one block and SMALL_BYTES is broadcast. A
     larger one is spread over blocks of bounded size and its queries over
     slices; each (column, block, slice) is one matrix product that returns its
     own best ``k`` rows per query, and a window merges the blocks. A hot column
     gets more blocks and slices, not a bigger task. Queries whose column has no
     vectors give no rows. Ties go to the smaller value.
     """
-    n_vectors = vectors.groupBy("column").agg(F.count("*").alias("n_vectors"))
+    n_vectors = vectors.groupBy("column").agg(
+        F.count("*").alias("n_vectors"), F.sum(F.size("vector")).alias("n_numbers")
+    )
     n_queries = queries.groupBy("column").agg(F.count("*").alias("n_queries"))
     plan = cut(n_vectors.join(n_queries, "column"))  # a row per column
-    total = plan.agg(F.sum("n_vectors")).first()[0] or 0
-    if total <= BLOCK_ROWS:
+    total, numbers = plan.agg(F.sum("n_vectors"), F.sum("n_numbers")).first()
+    if (total or 0) <= BLOCK_ROWS and (numbers or 0) * 8 <= SMALL_BYTES:
         return _topk_small(queries, vectors.join(plan.select("column"), "column", "left_semi"), k, threshold)
 
     sizes = plan.select(
@@ -115,18 +118,18 @@ def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best_of(ids, asked, values, matrix, k: int) -> pd.DataFrame:
-    """Best ``k`` per query of one block; a stable sort keeps the smaller value
-    first among equal scores."""
+    """Best ``k`` per query of one block. Selects the k-th score first, keeps all
+    rows at or above it, and puts only those in order, by score, then value."""
     scores = asked @ matrix.T
     n = min(k, len(values))
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(ids, n),
-            "value": values[top.ravel()],
-            "raw": np.take_along_axis(scores, top, axis=1).ravel(),
-        }
-    )
+    border = np.partition(scores, len(values) - n, axis=1)[:, len(values) - n]
+    row, col = np.nonzero(scores >= border[:, None])
+    order = np.lexsort((col, -scores[row, col], row))  # values are in order, so are their places
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(ids)))
+    top = np.arange(len(row)) - first[row] < n
+    row, col = row[top], col[top]
+    return pd.DataFrame({"query_id": np.asarray(ids)[row], "value": values[col], "raw": scores[row, col]})
 
 
 def _found_schema(queries: DataFrame, vectors: DataFrame) -> str:
