@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions.labels import norm_none
 from curbline.functions.numeric import clamp01, ratio
 from curbline.operators import fairness, ordered, ranking
+from curbline.session import cut
 
 CATEGORICAL = ["neighborhood", "reason", "department"]
 NUMERIC = [
@@ -58,10 +61,13 @@ def encoded_totals(df: DataFrame) -> DataFrame:
     """Sum of every encoded feature column, named after its source."""
     fitted = Pipeline(stages=feature_pipeline()).fit(clean_inputs(df))
     names = feature_names(fitted)
-    v = vector_to_array("features")
-    rows = fitted.transform(clean_inputs(df)).select(F.posexplode(v).alias("i", "x"))
+    # One vector sum over the (sparse) rows; only its total is spread out. The
+    # summarizer carries means, so the sum is rounded.
+    total = fitted.transform(clean_inputs(df)).agg(Summarizer.sum(F.col("features")).alias("sums"))
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    return rows.groupBy("i").agg(F.sum("x").alias("total")).select(named.alias("feature"), "total")
+    return total.select(F.posexplode(vector_to_array("sums")).alias("i", "total")).select(
+        named.alias("feature"), F.round("total", 6).alias("total")
+    )
 
 
 def feature_names(fitted: PipelineModel) -> list[str]:
@@ -176,40 +182,88 @@ def rollup_importance(df: DataFrame) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str = "case_enquiry_id", seed: int = 42) -> DataFrame:
     """Drop in average precision after one column is shuffled, per column.
 
-    A column is shuffled by joining its values in one hash order to the rows in
-    another, by exact position.
+    A column is shuffled by giving each row the value of another one, a different
+    distance away in one hash order for each column. That order is made and
+    stored once.
     """
     base = ranking.curve_metrics(score(model, df), LABEL, SCORE).agg(F.max("pr_auc")).scalar()
+    columns = CATEGORICAL + NUMERIC
+    rows = cut(ordered.global_rank(df, [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)], "_at"))
+    n = rows.count()
     out = []
-    for i, c in enumerate(CATEGORICAL + NUMERIC):
-        h = F.xxhash64(F.col(key), F.lit(seed + i))
-        rows = ordered.global_rank(df, [F.asc(key)], "_at")
-        values = ordered.global_rank(df.select(key, c), [h.asc(), F.asc(key)], "_at")
-        shuffled = rows.drop(c).join(values.select("_at", c), "_at").drop("_at")
+    for i, c in enumerate(columns):
+        step = max(1, n * (i + 1) // (len(columns) + 1))
+        values = rows.select(((F.col("_at") + step - 1) % n + 1).alias("_to"), F.col(c).alias("_value"))
+        shuffled = rows.join(values, F.col("_at") == F.col("_to")).drop(c).withColumnRenamed("_value", c)
         m = ranking.curve_metrics(score(model, shuffled.select(*df.columns)), LABEL, SCORE)
         out.append(m.select(F.lit(c).alias("feature"), (base - F.col("pr_auc")).alias("importance")))
     return reduce(DataFrame.unionByName, out).orderBy(F.desc("importance"))
 
 
+@dataclass
+class Chain:
+    """What one training run leaves: its rows with part and weight, the run log, the chosen model, its test report."""
+
+    rows: DataFrame
+    runs: DataFrame
+    best: str
+    model: PipelineModel
+    report: DataFrame
+
+    def part(self, name: str) -> DataFrame:
+        return self.rows.where(F.col("part") == name).drop("part")
+
+
+def train(features: DataFrame, key: str = "case_enquiry_id", weight: str = "sample_weight") -> Chain:
+    """Weights on all rows, split, weighted fit of every candidate, the best one
+    fitted again with weights on train and validation, and its report on test."""
+    weights = fairness.bias_weights(features, key).select(key, weight)
+    rows = cut(ranking.split(features, key, LABEL).join(weights, key))
+    chain = Chain(rows, rows, "", None, rows)
+    _models, runs = fit_candidates(chain.part("train"), chain.part("validation"), weight)
+    chain.runs = cut(runs)
+    chain.best = ranking.best_run(chain.runs).first()["name"]
+    both = rows.where(F.col("part").isin("train", "validation")).drop("part")
+    chain.model = fit(both, dict(CANDIDATES)[chain.best], weight)
+    chain.report = cut(final_report(chain.model, chain.part("test")))
+    return chain
+
+
+def load(path: str) -> PipelineModel:
+    """The model that ``publish`` saved."""
+    return PipelineModel.load(f"{path}/model")
+
+
 def publish(model: PipelineModel, report: DataFrame, root: str, name: str, algo: str, stamp: str, table: str) -> str:
     """Save the model under name_algo_timestamp with its metrics beside it."""
     path = f"{root}/{name}_{algo}_{stamp}"
     model.write().overwrite().save(f"{path}/model")
-    report.withColumns({"model_name": F.lit(name), "feature_table": F.lit(table)}).coalesce(1).write.mode(
+    report.withColumns({"model_name": F.lit(name), "feature_table": F.lit(table)}).repartition(1).write.mode(
         "overwrite"
     ).json(f"{path}/metadata")
     return path
 
 
+OVERALL = "overall"
+
+
 def bias_report(scored: DataFrame, label: str, score_col: str, dims=tuple(fairness.MODEL_SLICES)) -> DataFrame:
-    """Rates and ranking quality of every slice, in one frame."""
+    """Rates and ranking quality of every slice, and of all rows (slice ``overall``), in one frame."""
     by = ["slice_type", "slice_group"]
-    rows = fairness.model_slices(scored, label, score_col, dims)
+    every = scored.withColumn(OVERALL, F.lit(OVERALL))
+    rows = fairness.model_slices(every, label, score_col, (*dims, OVERALL))
     rates = fairness.rates(fairness.confusion(rows, label, score_col, by=by), by)
     curve = ranking.curve_metrics(rows, label, score_col, by)
     return rates.join(curve, by, "left")
 
 
+def bias_gaps(report: DataFrame) -> DataFrame:
+    """Gaps of all six metrics over the groups of each slice; large gaps of the rates carry a warning."""
+    groups = report.where(F.col("slice_type") != OVERALL)
+    curves = fairness.disparities(groups, ("roc_auc", "pr_auc")).withColumn("warning", F.lit(None).cast("string"))
+    return fairness.disparities(groups).unionByName(curves)
+
+
 # --- monitoring -------------------------------------------------------------
 
 
@@ -256,12 +310,12 @@ def feature_drift(ref: DataFrame, cur: DataFrame, numeric: list[str], categorica
         run = ordered.running_totals(
             counted(numeric, "double"), ["feature"], [F.asc("v")], {"cr": "r", "cc": "c"}
         )
-        total = run.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+        total = cut(run.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc")))  # a row per feature
         gap = F.abs(ratio("cr", "nr") - ratio("cc", "nc"))
         parts.append(run.join(total, "feature").groupBy("feature").agg(F.max(gap).alias("distance")))
     if categorical:
         seen = counted(categorical, "string")
-        total = seen.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+        total = cut(seen.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc")))
         p, q = ratio("r", "nr"), ratio("c", "nc")
         m = (p + q) / 2
 
@@ -279,8 +333,9 @@ def feature_drift(ref: DataFrame, cur: DataFrame, numeric: list[str], categorica
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:
+    """Share of drifted features; null when a side has no rows or no feature is common."""
     n, bad = F.count("*"), F.count_if("drifted")
-    share = ratio(bad, n)
+    share = F.when(F.count("distance") > 0, ratio(bad, n))
     return drift.agg(
         share.alias("drift_share"), n.alias("n_features"), bad.alias("n_drifted"),
         (share >= 0.5).alias("dataset_drift"),
@@ -301,6 +356,7 @@ def health_row(labelled: DataFrame, label: str, score_col: str, drift: DataFrame
     df = base.withColumn("_d", d).select("*", *[F.col(f"_d.{f}") for f in fields])
 
     diff = F.abs(F.col("class_balance") - BASELINE_POS_RATE)
+    # The note texts.
     checks = [
         (F.col("auc") < MIN_AUC, F.format_string(f"AUC below threshold (%.3f < {MIN_AUC:.3f}).", "auc")),
         (F.col("rmse") > MAX_RMSE, F.format_string(f"RMSE above threshold (%.3f > {MAX_RMSE:.3f}).", "rmse")),
@@ -314,8 +370,8 @@ def health_row(labelled: DataFrame, label: str, score_col: str, drift: DataFrame
         (
             (F.col("drift_share") >= DRIFT_SHARE_LIMIT) | F.col("dataset_drift"),
             F.format_string(
-                f"Feature drift detected (drift_share=%.3f ≥ {DRIFT_SHARE_LIMIT:.3f}, n_drifted=%d/%d).",
-                "drift_share", "n_drifted", "n_features",
+                f"Evidently feature drift detected (drift_share=%.3f ≥ {DRIFT_SHARE_LIMIT:.3f}, n_drifted=%d/%d, dataset_drift=%s).",
+                "drift_share", "n_drifted", "n_features", F.initcap(F.col("dataset_drift").cast("string")),
             ),
         ),
     ]

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from curbline.functions import clock, labels, numeric, text
 from curbline.operators import filters, geo, prompts, questions, requests
-from curbline.operators.vocab import search, token_index
+from curbline.operators.vocab import search, store_index, token_index
 from curbline.plans.registry import query
 from curbline.plans.views import AS_OF, CENTRE, DAY
+from curbline.session import fresh_path
 
 LAT, LON = CENTRE
 LOCAL = "(({0} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
@@ -175,14 +176,15 @@ def _(v):
     return numeric.clean_nan(rows).withColumn("xs", F.to_json("xs"))
 
 
-@query("p20_entities", """SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN '{}' ELSE '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS entities FROM events""")
+@query("p20_entities", """SELECT event_id, CASE WHEN event_type IN ('view', 'error') OR (event_type IN ('click', 'signup') AND event_id % 3 = 0) THEN '{}' ELSE '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS entities FROM events""")
 def _(v):
-    # objects, lists of objects, other JSON, broken JSON, and a null value to drop
+    # objects, lists of objects, other JSON, broken JSON, text after the end, and a null value to drop
     shape = F.expr(
         """CASE event_type WHEN 'click' THEN concat('[', props, ', {"k": 0}]') WHEN 'view' THEN '"text"'
         WHEN 'error' THEN left(props, 4) WHEN 'signup' THEN replace(props, '}', ', "z": null}') ELSE props END"""
     )
-    return v.table("events").select("event_id", text.sorted_json(text.entity_map(shape)).alias("entities"))
+    tail = F.expr("CASE WHEN event_type IN ('click', 'signup') AND event_id % 3 = 0 THEN ' junk' ELSE ' ' END")
+    return v.table("events").select("event_id", text.sorted_json(text.entity_map(F.concat(shape, tail))).alias("entities"))
 
 
 @query("p21_strip_fences", r"""SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM conversations""")
@@ -240,7 +242,8 @@ def _(v):
 
 @query("v07_keyword_search", """SELECT doc_id FROM tokens WHERE token IN ('the', 'and') GROUP BY 1 HAVING count(*) = 2""", TOKENS_SQL)
 def _(v):
-    return search(token_index(v.table("documents"), "doc_id", ["text"]), "doc_id", ["The", "and"])
+    index = store_index(token_index(v.table("documents"), "doc_id", ["text"]), fresh_path(v.spark, "token_index"))
+    return search(index, "doc_id", ["The", "and"])
 
 
 @query("v07_case_search", """SELECT case_enquiry_id FROM cases WHERE list_contains(string_split(lower(concat_ws(' ', subject, case_title, location)), ' '), 'machinery')

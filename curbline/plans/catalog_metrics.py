@@ -82,6 +82,12 @@ def _(v):
     return rounded(v.daily, "avg_resolution_hrs", "sla_compliance_pct")
 
 
+@query("a09_filled_metrics", f"""SELECT * REPLACE (coalesce(avg_resolution_hrs, 0) AS avg_resolution_hrs, coalesce(sla_compliance_pct, 0) AS sla_compliance_pct)
+    FROM (SELECT {DAILY_COLS} FROM daily WHERE date >= DATE '{DAY}' - 180)""")
+def _(v):
+    return rounded(metrics.recent_metrics(v.daily, AS_OF, 180, fill=True), "avg_resolution_hrs", "sla_compliance_pct")
+
+
 @query("a09_recent_metrics", f"SELECT {DAILY_COLS} FROM daily WHERE date >= DATE '{DAY}' - 180")
 def _(v):
     return rounded(metrics.recent_metrics(v.daily, AS_OF, 180), "avg_resolution_hrs", "sla_compliance_pct")
@@ -378,9 +384,9 @@ def _(v):
 
 @query("r04_ttl_repeats", """SELECT cache_key, CAST(sum(n) - count(s) AS BIGINT) AS hits, CAST(count(s) AS BIGINT) AS misses, CAST(count(s) - 1 AS BIGINT) AS expirations
     FROM secs LEFT JOIN spans ON k = cache_key AND s = sec GROUP BY 1""", f"""
-secs AS MATERIALIZED (SELECT {KEY_SQL} AS cache_key, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, count(*) AS n FROM query_log GROUP BY 1, 2),
+secs AS MATERIALIZED (SELECT {KEY_SQL} AS cache_key, epoch_us(ts) AS sec, count(*) AS n FROM query_log GROUP BY 1, 2),
 spans AS (SELECT cache_key AS k, min(sec) AS s FROM secs GROUP BY 1
   UNION ALL -- step
-  SELECT k, min(sec) FROM spans JOIN secs ON cache_key = k AND sec > s + 3600 GROUP BY k)""")
+  SELECT k, min(sec) FROM spans JOIN secs ON cache_key = k AND sec > s + 3600000000 GROUP BY k)""")
 def _(v):
     return requests.ttl_repeats(v.query_log)

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.operators import fairness, features, filters, geo, metrics, model, ranking, vectors
+from curbline.operators import fairness, features, filters, geo, metrics, model, ordered, ranking, vectors
 from curbline.operators.maintain import append_metrics
 from curbline.plans.catalog_cases import dist_sql
 from curbline.plans.catalog_metrics import rounded
-from curbline.plans.catalog_tables import CORE, read_polygons, upsert_sql
+from curbline.plans.catalog_tables import CORE, read_polygons, undated, undated_sql, upsert_sql
 from curbline.plans.registry import query
 from curbline.plans.views import AS_OF, BATCH_ORDER, SECOND_INGEST
 from curbline.session import cut, fresh_path
@@ -92,7 +92,7 @@ def _(v):
 
 @query("j05_group_frequency", """SELECT case_enquiry_id, n FROM scores JOIN (SELECT department, count(*) AS n FROM scores GROUP BY 1) USING (department)""")
 def _(v):
-    sizes = v.scores.groupBy("department").agg(F.count("*").alias("n"))
+    sizes = cut(v.scores.groupBy("department").agg(F.count("*").alias("n")))  # small, and known to be
     return v.scores.join(sizes, "department").select("case_enquiry_id", "n")
 
 
@@ -193,9 +193,8 @@ runs AS (SELECT CAST(row_number() OVER (ORDER BY department) AS INTEGER) AS run_
 def run_log(v):
     """Each department's scores stand for one experiment run."""
     c = ranking.curve_metrics(v.scores, "label", "priority_score", ["department"])
-    order = {d: i + 1 for i, d in enumerate(sorted(["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]))}
-    index = reduce(lambda acc, d: acc.when(F.col("department") == d, order[d]), order, F.when(F.lit(False), 0))
-    return rounded(c.select(index.alias("run_index"), F.col("department").alias("name"), F.col("pr_auc").alias("val_pr_auc"), F.col("roc_auc").alias("val_roc_auc")), "val_pr_auc", "val_roc_auc")
+    c = ordered.global_rank(c, [F.asc("department")], "run_index")
+    return rounded(c.select(F.col("run_index").cast("int"), F.col("department").alias("name"), F.col("pr_auc").alias("val_pr_auc"), F.col("roc_auc").alias("val_roc_auc")), "val_pr_auc", "val_roc_auc")
 
 
 @query("k04_best_run", "SELECT run_index, name, val_pr_auc, val_roc_auc FROM runs ORDER BY val_pr_auc DESC, run_index LIMIT 1", RUN_SQL)
@@ -291,16 +290,6 @@ def _(v):
 # --- model ------------------------------------------------------------------
 
 
-def model_data(v):
-    """Stored features with their split part; the fits below read them many times."""
-    return cut(ranking.split(features.train_features(v.cases), "case_enquiry_id", "y_priority"))
-
-
-def parts(v):
-    rows = model_data(v)
-    return [rows.where(F.col("part") == p).drop("part") for p in ("train", "validation", "test")]
-
-
 @query("m01_encode", "SELECT feature, total FROM (" + " UNION ALL ".join(
     [f"SELECT 'cat__{c}_' || coalesce({c}, 'None') AS feature, count(*)::DOUBLE AS total FROM feat GROUP BY 1" for c in model.CATEGORICAL]
     + [f"SELECT 'remainder__{c}', sum({c})::DOUBLE FROM feat" for c in model.NUMERIC]) + ")", COUNT_SQL)
@@ -308,54 +297,122 @@ def _(v):
     return model.encoded_totals(cut(features.train_features(v.cases)))
 
 
+_chains: dict[tuple[str, str], model.Chain] = {}
+
+
+def chain(v) -> model.Chain:
+    """One training run per session and set of tables; all model queries read it."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _chains:
+        _chains[key] = model.train(cut(features.train_features(v.cases)))
+    return _chains[key]
+
+
+def published(v):
+    """The run's model, saved and loaded back."""
+    run = chain(v)
+    path = model.publish(run.model, run.report, fresh_path(v.spark, "models"), "priority", "gbt", "20010810000000", "tbl_train_features")
+    return path, model.load(path)
+
+
+def within_unit(*cols: str):
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in cols])
+
+
+RUN_METRICS = ("val_roc_auc", "val_pr_auc", "val_p_at_5", "val_accuracy", "val_precision", "val_recall", "val_f1")
+
+
 @query("m02_fit_candidates")
 def _(v):
-    train, validation, _test = parts(v)
-    weights = fairness.bias_weights(train, "case_enquiry_id").select("case_enquiry_id", "sample_weight")
-    weighted = cut(train.join(weights, "case_enquiry_id"))
-    _models, runs = model.fit_candidates(weighted, validation, "sample_weight")
-    return runs
+    return chain(v).runs
+
+
+@query("m02_run_log", "SELECT * FROM (VALUES (0::INTEGER, 'gbt_baseline', 'gbt', true), (1, 'gbt_regularized', 'gbt', true)) t(run_index, name, algo, in_range)")
+def _(v):
+    return chain(v).runs.select("run_index", "name", "algo", within_unit(*RUN_METRICS).alias("in_range"))
 
 
 @query("m03_best_candidate")
 def _(v):
-    train, validation, _test = parts(v)
-    _models, runs = model.fit_candidates(train, validation)
-    return ranking.best_run(cut(runs))
+    return ranking.best_run(chain(v).runs)
+
+
+@query("m03_best_is_first", "SELECT true AS is_best, 1::BIGINT AS n_rows")
+def _(v):
+    best = ranking.best_run(chain(v).runs)
+    top = chain(v).runs.agg(F.max("val_pr_auc")).scalar()
+    return best.agg(
+        F.bool_and((F.col("val_pr_auc") == top) & (F.col("name") == chain(v).best)).alias("is_best"), F.count("*").alias("n_rows")
+    )
 
 
 @query("m04_final_report")
 def _(v):
-    train, validation, test = parts(v)
-    best = model.fit(train.unionByName(validation), model.CANDIDATES[0][1])
-    return model.final_report(best, test)
+    return chain(v).report
 
 
-def base_model(v):
-    return model.fit(parts(v)[0], model.CANDIDATES[1][1])
+@query("m04_report_counts", """SELECT count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_positive, round(avg(label), 6) AS base_rate, 15::BIGINT AS n_metrics, true AS in_range
+    FROM split WHERE part = 'test'""", SPLIT_SQL)
+def _(v):
+    value = lambda *names: F.sum(F.when(F.col("metric").isin(*names), F.col("value")))
+    counts = ("tp", "fp", "tn", "fn")
+    return chain(v).report.agg(
+        value(*counts).cast("bigint").alias("n_test"),
+        value("tp", "fn").cast("bigint").alias("n_positive"),
+        F.round(value("base_rate"), 6).alias("base_rate"),
+        F.count("*").alias("n_metrics"),
+        F.bool_and(F.col("metric").isin(*counts) | within_unit("value")).alias("in_range"),
+    )
 
 
 @query("m07_score_open")
 def _(v):
-    return model.score_open(base_model(v), features.open_features(v.cases))
+    return model.score_open(chain(v).model, features.open_features(v.cases))
 
 
-@query("m08_score_some")
+@query("m07_open_ranks", """SELECT count(*) AS n_open, 1::BIGINT AS first_rank, count(*) AS last_rank, count(*) AS n_ranks,
+    CAST(greatest(1, floor(0.05::DOUBLE * count(*))) AS BIGINT) AS n_critical, true AS in_range FROM cases WHERE case_status = 'Open'""")
 def _(v):
+    scored = cut(model.score_open(chain(v).model, features.open_features(v.cases)))
+    return scored.agg(
+        F.count("*").alias("n_open"), F.min("rank_overall").alias("first_rank"), F.max("rank_overall").alias("last_rank"),
+        F.count_distinct("rank_overall").alias("n_ranks"), F.count_if(F.col("segment") == "CRITICAL").alias("n_critical"),
+        F.bool_and(within_unit("priority_score")).alias("in_range"),
+    )
+
+
+def newest_open(v):
     newest = filters.latest_n(v.cases.where("case_status = 'Open'"), 10).select("case_enquiry_id")
-    rows = features.open_features(v.cases).join(newest, "case_enquiry_id", "left_semi")
-    return model.score(base_model(v), rows).select("case_enquiry_id", "priority_score")
+    return features.open_features(v.cases).join(newest, "case_enquiry_id", "left_semi")
+
+
+@query("m08_score_some")
+def _(v):
+    return model.score(chain(v).model, newest_open(v)).select("case_enquiry_id", "priority_score")
+
+
+@query("m08_same_as_batch", "SELECT 10::BIGINT AS n_scored, 0::BIGINT AS n_differing")
+def _(v):
+    some = model.score(chain(v).model, newest_open(v)).select("case_enquiry_id", F.col("priority_score").alias("alone"))
+    batch = model.score_open(chain(v).model, features.open_features(v.cases)).select("case_enquiry_id", "priority_score")
+    both = some.join(batch, "case_enquiry_id")
+    return both.agg(F.count("*").alias("n_scored"), F.count_if(F.abs(F.col("alone") - F.col("priority_score")) > 1e-9).alias("n_differing"))
 
 
 @query("m12_importance")
 def _(v):
-    return model.rollup_importance(model.importance(base_model(v), v.spark))
+    return model.rollup_importance(model.importance(chain(v).model, v.spark))
+
+
+@query("m12_importance_sum", "SELECT 9::BIGINT AS n_features, 1.0::DOUBLE AS total")
+def _(v):
+    rows = model.rollup_importance(model.importance(chain(v).model, v.spark))
+    return rows.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("m12_permutation_importance")
 def _(v):
-    train, _validation, test = parts(v)
-    return model.permutation_importance(model.fit(train, model.CANDIDATES[1][1]), test)
+    return model.permutation_importance(chain(v).model, chain(v).part("test"))
 
 
 GATE_CTES = curve_sql("(SELECT * FROM scores WHERE open_dt >= TIMESTAMP '2000-01-01')", name="new") + "," + curve_sql(
@@ -443,7 +500,8 @@ h AS (SELECT (SELECT count(*) FROM win) AS n_rows, (SELECT roc_auc FROM curve) A
     concat_ws(' ', CASE WHEN auc < 0.8 THEN printf('AUC below threshold (%.3f < 0.800).', auc) END,
       CASE WHEN rmse > 0.3 THEN printf('RMSE above threshold (%.3f > 0.300).', rmse) END,
       CASE WHEN abs(cb - 0.65) > 0.1 THEN printf('Class balance drift detected (current=%.3f, baseline=0.650, diff=%.3f > 0.100).', cb, abs(cb - 0.65)) END,
-      CASE WHEN drift_share >= 0.3 OR dataset_drift THEN printf('Feature drift detected (drift_share=%.3f ≥ 0.300, n_drifted=%d/%d).', drift_share, n_drifted, n_features) END) AS notes
+      CASE WHEN drift_share >= 0.3 OR dataset_drift THEN printf('Evidently feature drift detected (drift_share=%.3f ≥ 0.300, n_drifted=%d/%d, dataset_drift=%s).', drift_share, n_drifted, n_features,
+        CASE WHEN dataset_drift THEN 'True' ELSE 'False' END) END) AS notes
     FROM h""", HEALTH_SQL)
 def _(v):
     window = filters.labelled_window(v.scores, "2001-07-11", AS_OF, "open_dt", "priority_score", "label")
@@ -461,24 +519,43 @@ def _(v):
     return rounded(v.spark.read.parquet(path).select("n_rows", "auc", "n_drifted"), "auc")
 
 
-@query("m13_publish", f"SELECT {AUC_COLS}, 'priority' AS model_name, 'tbl_train_features' AS feature_table FROM curve", curve_sql("scores"))
+@query("m13_publish", """SELECT 'priority' AS model_name, 'tbl_train_features' AS feature_table, 15::BIGINT AS n_metrics,
+    (SELECT count(*) FROM cases WHERE case_status = 'Open') AS n_scored, 0::BIGINT AS n_differing""")
 def _(v):
-    from pyspark.ml import Pipeline
+    path, loaded = published(v)
+    opened = cut(features.open_features(v.cases))
+    before = model.score(chain(v).model, opened).select("case_enquiry_id", F.col("priority_score").alias("before"))
+    after = model.score(loaded, opened).select("case_enquiry_id", "priority_score")
+    same = cut(before.join(after, "case_enquiry_id").agg(
+        F.count("*").alias("n_scored"), F.count_if(F.col("before") != F.col("priority_score")).alias("n_differing")
+    ))
+    schema = "metric string, value double, model_name string, feature_table string"
+    meta = v.spark.read.schema(schema).json(f"{path}/metadata").groupBy("model_name", "feature_table").agg(F.count("*").alias("n_metrics"))
+    return meta.withColumn("n_scored", same.select("n_scored").scalar()).withColumn("n_differing", same.select("n_differing").scalar())
+
 
-    rows = cut(features.calendar_features(v.cases).withColumns({c: F.lit(0) for c in model.NUMERIC[3:]}))
-    fitted = Pipeline(stages=model.feature_pipeline()).fit(model.clean_inputs(rows))
-    report = ranking.curve_metrics(v.scores, "label", "priority_score")
-    root = fresh_path(v.spark, "models")
-    path = model.publish(fitted, report, root, "priority", "gbt", "20010810000000", "tbl_train_features")
-    schema = "n_pos bigint, n_neg bigint, roc_auc double, pr_auc double, pr_auc_loose double, model_name string, feature_table string"
-    return rounded(v.spark.read.schema(schema).json(f"{path}/metadata"), *AUCS)
+def test_part(v):
+    return cut(ranking.split(v.scores, "case_enquiry_id", "label").where("part = 'test'"))
 
 
-@query("m14_bias_report", f"""SELECT slice_type, slice_group, n, {RATE_COLS}, {AUC_COLS} FROM sl_m JOIN curve USING (slice_type, slice_group)""",
-       SPLIT_SQL.strip() + "," + slices_sql("(SELECT * FROM split WHERE part = 'test')") + "," + curve_sql("sl", "slice_type, slice_group"))
+M14_SQL = SPLIT_SQL.strip() + """,
+tst AS (SELECT * FROM split WHERE part = 'test'),""" + slices_sql("tst", "sl3") + """,
+sl AS (SELECT * FROM sl3 UNION ALL SELECT 'overall', 'overall', label, priority_score FROM tst),
+sl_m AS (SELECT slice_type, slice_group, tp + fp + tn + fn AS n, (tp + tn) / (tp + fp + tn + fn)::DOUBLE AS accuracy, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision,
+  coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1
+  FROM (""" + conf_sql("sl", "slice_type, slice_group") + ")), " + curve_sql("sl", "slice_type, slice_group") + """,
+m14 AS (SELECT * FROM sl_m JOIN curve USING (slice_type, slice_group))"""
+
+
+@query("m14_bias_report", f"SELECT slice_type, slice_group, n, {RATE_COLS}, {AUC_COLS} FROM m14", M14_SQL)
+def _(v):
+    return rounded(model.bias_report(test_part(v), "label", "priority_score"), *RATES, *AUCS)
+
+
+@query("m14_bias_gaps", gap_select("> 0.1 AND metric NOT IN ('roc_auc', 'pr_auc')"),
+       M14_SQL + ",\ngrp AS (SELECT * FROM m14 WHERE slice_type <> 'overall'),\n" + gap_sql("grp", (*RATES, "roc_auc", "pr_auc")))
 def _(v):
-    test = ranking.split(v.scores, "case_enquiry_id", "label").where("part = 'test'")
-    return rounded(model.bias_report(cut(test), "label", "priority_score"), *RATES, *AUCS)
+    return rounded(model.bias_gaps(cut(model.bias_report(test_part(v), "label", "priority_score"))), *GAP_COLS)
 
 
 # --- vectors ----------------------------------------------------------------
@@ -610,6 +687,15 @@ def _(v):
     return run_metrics(v, "step", F.col("value") >= 100, width="1 day", slide="12 hours")
 
 
+@query("r01_stream_p95", """SELECT date_trunc('day', ts) AS window_start, '/p' || (user_id % 8) AS path, quantile_disc(value, 0.95) AS p95_latency_ms FROM events GROUP BY 1, 2""")
+def _(v):
+    # far fewer rows per window than the sketch keeps, so it is exact here
+    out, state = fresh_path(v.spark, "stream_out"), fresh_path(v.spark, "stream_state")
+    rows = jobs.request_metrics(event_stream(v, F.col("event_type") == "error"), "path", with_p95=True)
+    jobs.write_updates(rows, out, state, jobs.ONCE).awaitTermination()
+    return jobs.latest_updates(v.spark, out, ["window_start", "path"]).select("window_start", "path", "p95_latency_ms")
+
+
 _FIRST = upsert_sql("target", "(SELECT * FROM staging WHERE _ingested_at < TIMESTAMP '2001-08-01')")
 _SECOND = upsert_sql("v1", "(SELECT * FROM staging WHERE _ingested_at > TIMESTAMP '2001-08-01')")
 
@@ -632,16 +718,20 @@ def _(v):
     return jobs.current_version(v.spark, versions).select(*CORE)
 
 
-@query("r02_stream_upsert_by_month", _SECOND, f"v1 AS ({_FIRST})")
+_UNDATED = undated_sql("staging", 5)
+
+
+@query("r02_stream_upsert_by_month", upsert_sql("v1", f"(SELECT * FROM {_UNDATED} WHERE _ingested_at > TIMESTAMP '2001-08-01')"),
+       f"v1 AS ({upsert_sql(undated_sql('target', 7), f'(SELECT * FROM {_UNDATED} WHERE _ingested_at < TIMESTAMP {chr(39)}2001-08-01{chr(39)})')})")
 def _(v):
     from curbline.operators.maintain import append_snapshot
     from curbline.schemas import CASE_SCHEMA
 
     folder, table, state = (fresh_path(v.spark, n) for n in ("arrivals", "by_month", "state"))
-    append_snapshot(v.target.withColumn("part_month", F.date_format("open_dt", "yyyyMM")), table, "part_month")
+    append_snapshot(undated(v.target, 7).withColumn("part_month", F.date_format("open_dt", "yyyyMM")), table, "part_month")
     second = F.col("_ingested_at") == F.lit(SECOND_INGEST).cast("timestamp")
     for part in (~second, second):
-        arrive(v.staging.where(part), folder)
+        arrive(undated(v.staging, 5).where(part), folder)
         stream = v.spark.readStream.schema(CASE_SCHEMA).json(folder)
         jobs.upsert_by_month(stream, table, state, order=BATCH_ORDER).awaitTermination()
     return v.spark.read.parquet(table).select(*CORE)

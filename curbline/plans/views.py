@@ -60,7 +60,7 @@ class Views:
             )
         )
 
-    def _case_columns(self, raw: DataFrame, **over) -> DataFrame:
+    def _case_columns(self, raw: DataFrame, extra: dict | None = None, **over) -> DataFrame:
         cols = {
             "_id": F.col("o_orderkey"),
             "case_enquiry_id": F.col("o_orderkey") + 101000000000,
@@ -89,6 +89,8 @@ class Views:
             "source": F.col("r_name"),
             "_ingested_at": F.lit(FIRST_INGEST).cast("timestamp"),
         } | over
+        if extra:
+            return raw.select(*[c.alias(n) for n, c in (cols | extra).items()])
         return maintain.align(raw.select(*[c.alias(n) for n, c in cols.items()]))
 
     @cached_property
@@ -125,14 +127,11 @@ class Views:
 
     @cached_property
     def scores(self) -> DataFrame:
-        score = self.table("orders").select(
-            (F.col("o_orderkey") + 101000000000).alias("case_enquiry_id"),
-            (F.floor(F.col("o_totalprice") / 500) / 1000).alias("priority_score"),
-        )
-        return self.cases.select(
+        scored = self._case_columns(self._raw, {"priority_score": F.floor(F.col("o_totalprice") / 500) / 1000})
+        return scored.select(
             "case_enquiry_id", "neighborhood", "reason", "department", "latitude", "longitude",
-            "open_dt", (F.col("on_time") == "ONTIME").cast("int").alias("label"),
-        ).join(score, "case_enquiry_id")
+            "open_dt", (F.col("on_time") == "ONTIME").cast("int").alias("label"), "priority_score",
+        )
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _local_dirs[app] = tempfile.mkdtemp(prefix="curbline-")
         spark.sparkContext.setCheckpointDir(_local_dirs[app])
@@ -29,7 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/curbline-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/curbline-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what this application stored with :func:`fresh_path` and :func:`cut`.
+
+    For the end of a job, when no frame built on it is needed any more. Returns
+    the number of folders.
+    """
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -50,7 +50,11 @@ def _names(with_p95: bool) -> list[str]:
     return ["n", "avg_latency_ms", "error_rate"] + (["p95_latency_ms"] if with_p95 else [])
 
 
-def write_updates(df: DataFrame, out: str, state: str) -> StreamingQuery:
+#: Read what has arrived, then stop; {"processingTime": "1 minute"} keeps a job running.
+ONCE = {"availableNow": True}
+
+
+def write_updates(df: DataFrame, out: str, state: str, trigger: dict = ONCE) -> StreamingQuery:
     """Write the rows each batch changed under ``batch_id=<n>``; a replayed
     batch overwrites its own folder."""
 
@@ -61,7 +65,7 @@ def write_updates(df: DataFrame, out: str, state: str) -> StreamingQuery:
         df.writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", state)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -79,10 +83,13 @@ def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 def upsert(
     batches: DataFrame, versions: str, state: str, key: str = maintain.KEY,
-    order: tuple[str, ...] = maintain.LATEST,
+    order: tuple[str, ...] = maintain.LATEST, trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Upsert every arriving batch into the versioned target below ``versions``.
 
+    For small tables: each batch reads and writes the whole target and every
+    version stays. Large ones are for :func:`upsert_by_month`.
+
     ``version=0`` is the target before the stream; batch ``n`` reads version
     ``n`` and writes ``n + 1``, so a replay gives the same result.
     """
@@ -95,20 +102,20 @@ def upsert(
     return (
         batches.writeStream.foreachBatch(merge)
         .option("checkpointLocation", state)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
 def upsert_by_month(
     batches: DataFrame, path: str, state: str, key: str = maintain.KEY,
-    order: tuple[str, ...] = maintain.LATEST,
+    order: tuple[str, ...] = maintain.LATEST, trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Upsert every arriving batch into a table partitioned by ``part_month``,
     rewriting only the months it touches.
 
-    The upsert of a batch may be repeated without changing the table, so a
-    replay after a failure is safe.
+    Repeating a batch leaves the table as it is. The rewrite of a month is not
+    atomic: see :func:`curbline.operators.maintain.upsert_months`.
     """
 
     def merge(rows: DataFrame, batch_id: int) -> None:
@@ -117,7 +124,7 @@ def upsert_by_month(
     return (
         batches.writeStream.foreachBatch(merge)
         .option("checkpointLocation", state)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
