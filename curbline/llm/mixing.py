@@ -127,7 +127,10 @@ def mix(
     rows: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS, least_shards: int = LEAST_SHARDS, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
-    """Plan a mix of stored rows ``_row`` (unique), ``_source``, ``_size``.
+    """Plan a mix of stored rows ``_row`` (unique), ``_source``, ``_size``, ``_draw``.
+
+    ``_draw`` is a hash of what the row holds, so that the order, and with it the
+    mix, does not depend on how the rows are stored; only equal rows may swap.
 
     Returns the rows with ``_all`` and ``_target`` of their source, and the drawn
     copies: ``_row, epoch, words`` (from the start of the text), ``shard, place``.
@@ -139,19 +142,19 @@ def mix(
     total = total_of(by_source, "_n")
     shards = max(least_shards, -(-total_of(by_source, "_take") // shard_words))
     known = cut(attach(keyed, by_source.select("_key", "_n", "_all", "_target", "_take"), "_key", "_n", total, ["_row"]))
-    order = [F.xxhash64("_row", F.lit(seed)), F.col("_row")]
+    order = [F.xxhash64("_draw", F.lit(seed)), F.col("_draw"), F.col("_row")]
     ordered = running_totals(
-        known.where("_size > 0").select("_row", "_key", "_size", "_all", "_take"), ["_key"], order, {"_upto": "_size"}
+        known.where("_size > 0").select("_row", "_draw", "_key", "_size", "_all", "_take"), ["_key"], order, {"_upto": "_size"}
     )
     begin = F.col("epoch") * F.col("_all") + F.col("_upto") - F.col("_size")
     copies = (
         ordered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("words", F.least(F.col("_size"), F.col("_take") - begin))
         .where(F.col("words") > 0)
-        .select("_row", "epoch", "words", "_key", F.floor(begin / block_words).alias("_block"))
+        .select("_row", "_draw", "epoch", "words", "_key", F.floor(begin / block_words).alias("_block"))
     )
     drawn = copies.join(allocate(by_source, shards, seed), ["_key", "_block"]).select(
-        "_row", "epoch", "words", "shard", F.xxhash64("_row", "epoch", F.lit(seed + 1)).alias("place")
+        "_row", "epoch", "words", "shard", F.xxhash64("_draw", "epoch", F.lit(seed + 1)).alias("place")
     )
     return known, drawn
 
@@ -179,7 +182,8 @@ def first_words(text: Column, words: Column) -> Column:
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = cut(docs.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words("text").alias("_size")
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words("text").alias("_size"),
+        F.xxhash64("doc_id", whole("text")).alias("_draw"),
     ).withColumn("_row", F.monotonically_increasing_id()))
     known, drawn = mix(rows)
     taken = drawn.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("_taken"))

@@ -57,7 +57,8 @@ def test_mix_of_hot_small_and_empty_sources(spark):
     docs = spark.createDataFrame([(*r, "e", 1) for r in rows], SCHEMA)
     got = M.op6(spark, docs).collect()
     check(rows, got)
-    assert sorted(map(tuple, M.op6(spark, docs).collect())) == sorted(map(tuple, got))
+    again = M.op6(spark, docs.orderBy("text").repartition(7)).collect()  # however the rows are stored
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
 
 
 def test_hot_source_of_many_sources(spark):
@@ -89,7 +90,7 @@ def test_tree_keeps_quotas_and_draws_as_expected():
 
 
 def test_copies_stay_within_shards(spark):
-    rows = cut(spark.range(2000).select(F.col("id").alias("_row"), F.lit("s").alias("_source"), F.lit(10).cast("bigint").alias("_size")))
+    rows = cut(spark.range(2000).select(F.col("id").alias("_row"), F.lit("s").alias("_source"), F.lit(10).cast("bigint").alias("_size"), F.xxhash64("id").alias("_draw")))
     known, drawn = M.mix(rows, weights=(1,), block_words=100, least_shards=4)
     got = drawn.groupBy("shard").agg(F.sum("words").alias("w")).collect()
     assert len(got) == 4 and sum(r["w"] for r in got) == 20_000 and max(r["w"] for r in got) <= 5200
