@@ -60,7 +60,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that it takes, the text cut where it takes part of one."""
     stored = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-    rows = cut(stored.select(F.col(_ROW).alias("_row"), F.col("source").alias("_source"), mixing.n_words("text").alias("_size")))
+    rows = cut(stored.select(
+        F.col(_ROW).alias("_row"), F.col("source").alias("_source"), mixing.n_words("text").alias("_size"),
+        F.xxhash64("doc_id", whole("text")).alias("_draw"),
+    ))
     known, drawn = mixing.mix(rows)
     taken = drawn.join(known.select(F.col("_row").alias("_r"), "_size"), F.col("_row") == F.col("_r")).select(
         F.col("_row").alias(_KEY), F.when(F.col("words") < F.col("_size"), F.col("words")).alias("__stage_words")
