@@ -57,21 +57,14 @@ def slice_metrics(cases: DataFrame, as_of, days: int = 30, dims=tuple(SLICES)) -
     )
 
 
-def slice_medians(metrics: DataFrame) -> DataFrame:
-    """Median rate per slice type, and per snapshot where the frame has dates."""
-    return metrics.groupBy(*_snapshot_keys(metrics)).agg(
-        F.percentile_approx("ontime_rate", 0.5, 10000).alias("median_ontime_rate")
-    )
-
-
-def _snapshot_keys(metrics: DataFrame) -> list[str]:
-    return [c for c in ("snapshot_date", "slice_type") if c in metrics.columns]
+def slice_medians(metrics: DataFrame, by: tuple[str, ...] = ("slice_type",)) -> DataFrame:
+    """Median rate per slice type, or per ``by``, as for a frame of several snapshots."""
+    return metrics.groupBy(*by).agg(F.percentile_approx("ontime_rate", 0.5, 10000).alias("median_ontime_rate"))
 
 
 def join_medians(metrics: DataFrame, medians: DataFrame) -> DataFrame:
-    return metrics.join(medians, _snapshot_keys(medians)).withColumn(
-        "gap_below_median", F.col("median_ontime_rate") - F.col("ontime_rate")
-    )
+    keys = [c for c in medians.columns if c != "median_ontime_rate"]
+    return metrics.join(medians, keys).withColumn("gap_below_median", F.col("median_ontime_rate") - F.col("ontime_rate"))
 
 
 def bias_alerts(metrics: DataFrame, gap: float = 0.10, day=None) -> DataFrame:
@@ -83,7 +76,7 @@ def bias_alerts(metrics: DataFrame, gap: float = 0.10, day=None) -> DataFrame:
     metrics = cut(metrics)  # a row per slice, read for the medians and the join
     low = F.col("ontime_rate") < F.col("median_ontime_rate") - F.lit(gap)
     return (
-        join_medians(metrics, slice_medians(metrics))
+        join_medians(metrics, slice_medians(metrics, ("snapshot_date", "slice_type")))
         .where(low)
         .select(
             "snapshot_date", "slice_type", "slice_group", "total_cases", "ontime_rate",
