@@ -19,6 +19,16 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bounded_batches(frame: DataFrame, size: str = "8m") -> None:
+    """Have rows travel to Python in batches of about ``size``, unless the session says otherwise.
+
+    The default counts rows, and ten thousand long texts are more than a task should hold.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "1") == "1":  # what an unset key answers
+        conf.set(key, size)
+
+
 def total_of(groups: DataFrame, size: str) -> int:
     return groups.agg(F.sum(size)).first()[0] or 0
 

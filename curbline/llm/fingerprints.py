@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, total_of, whole
+from curbline.llm.common import attach, bounded_batches, total_of, whole
 from curbline.session import cut
 
 #: Bytes of a chunk; 2^16 products of a byte and a 31-bit power sum to less than 2^63.
@@ -148,6 +148,7 @@ def _class(extra=None):
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: id, ``text_sha256``, ``keep_id``, ``group_size``, ``kept``."""
+    bounded_batches(docs)
     texts = docs.select(F.col(id).alias("_id"), whole(text).alias("_text")).select(
         "_id", F.sha2("_text", 256).alias("_sha"), F.octet_length("_text").cast("bigint").alias("_bytes"), "_text"
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import whole
+from curbline.llm.common import bounded_batches, whole
 from curbline.llm.text_arrays import Words, parts
 from curbline.session import cut
 
@@ -195,6 +195,7 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = 1024, with_ids: bool = False) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of every piece, and the ids' bytes if asked for."""
     kind = docs.schema[id].dataType.simpleString()
+    bounded_batches(docs)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode

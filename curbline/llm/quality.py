@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import crc_mod, whole
+from curbline.llm.common import bounded_batches, crc_mod, whole
 from curbline.llm.text_arrays import Words, mix, parts
 from curbline.session import cut
 
@@ -165,7 +165,7 @@ def classify(
     docs: DataFrame, labels: DataFrame, held_out, id: str = "doc_id", text: str = "text", label: str = "quality", features: int = FEATURES
 ) -> DataFrame:
     """``id, held_out, score`` of every row; ``held_out`` marks rows whose labels are not used."""
-    spark = docs.sparkSession
+    bounded_batches(docs)
     kind = docs.schema[id].dataType.simpleString()
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull())

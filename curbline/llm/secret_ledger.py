@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import HOT_SHARE, attach, total_of, whole
+from curbline.llm.common import HOT_SHARE, attach, bounded_batches, total_of, whole
 from curbline.session import cut, fresh_path
 
 # Kind, pattern, group to measure, least length of that group.
@@ -97,6 +97,7 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
     ``rules`` maps kinds to versions. Spans are in code points, end exclusive, by start, then kind.
     """
     spark = versions.sparkSession
+    bounded_batches(versions)
     wanted = [f"{k}@{v}" for k, v in (rules or VERSIONS).items()]
     every = F.array(*[F.lit(w) for w in wanted])
     source = versions.select(F.col(path).alias("_path"), whole(text).alias("_text"))
