@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import crc_mod, whole
+from curbline.llm.common import bounded_batches, crc_mod, whole
 from curbline.llm.text_arrays import LOWER, parts
 
 UNKNOWN = "und"
@@ -70,23 +70,26 @@ def features(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
         yield (x / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> np.ndarray:
+def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    u = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
-    for _ in range(20):  # largest curvature by power iteration
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    weight = (share * c).astype(np.float32)
+    u = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), np.float32)
+    size = 0.0
+    for _ in range(10):  # largest curvature by power iteration
         u = x.T @ (weight * (x @ u))
-        size = np.linalg.norm(u)
-        u /= max(size, 1e-12)
-    step = 1.0 / (2.2 * size + 1e-3)
-    w = z = np.zeros(x.shape[1])
+        size = float(np.linalg.norm(u))
+        u /= np.float32(max(size, 1e-12))
+    step = np.float32(1.0 / (2.2 * size + 1e-3))
+    w = z = np.zeros(x.shape[1], np.float32)
     t = 1.0
     for _ in range(rounds):
-        gap = np.maximum(0.0, 1.0 - y * (x @ z))
-        new = z - step * (1e-3 * z - 2.0 * (x.T @ (weight * y * gap)))
+        gap = np.maximum(np.float32(0), 1 - y * (x @ z))
+        new = z - step * (np.float32(1e-3) * z - 2 * (x.T @ (weight * y * gap)))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        z = new + (old - 1) / t * (new - w)
+        z = new + np.float32((old - 1) / t) * (new - w)
         w = new
     return w
 
@@ -157,6 +160,7 @@ def has_letter(text: str) -> Column:
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, width: int = WIDTH) -> Hierarchy:
     """Fit on a sample of about ``rows`` rows, spread evenly over the labels (one row each in ``counts``)."""
     spark = labelled.sparkSession
+    bounded_batches(labelled)
     usable = labelled.where(F.col(label).isNotNull() & has_letter(text)).select(
         F.col(label).cast("string").alias("_label"), F.col(text).alias("_text")
     )
@@ -200,6 +204,7 @@ def guess_column(model: Hierarchy, text: str = "text", width: int = WIDTH) -> Co
 
 def predict(docs: DataFrame, model: Hierarchy, text: str = "text", width: int = WIDTH) -> DataFrame:
     """Docs with ``lang_pred`` and ``score``, which replace columns of those names."""
+    bounded_batches(docs)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     guessed = docs.select(*others, guess_column(model, text, width).alias("__guess"))
     return guessed.select(*others, F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("score"))
