@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, total_of, whole
+from curbline.llm.common import attach, bounded_batches, total_of, whole
 from curbline.session import cut, fresh_path
 
 # Fixed values of the WARC 1.1 format.
@@ -84,7 +84,7 @@ def _http(size: Column) -> Column:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The payload text of each stored payload, verified against its name."""
+    """Replace the stored payload by its text, verified against its name."""
     for batch in batches:
         out = []
         for sha, data in zip(batch.column("_sha").to_pylist(), batch.column("_packed").to_pylist()):
@@ -92,7 +92,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hashlib.sha256(payload).hexdigest() != sha:
                 raise ValueError(f"stored payload {sha} does not match its digest")
             out.append(payload.decode())
-        yield pa.RecordBatch.from_arrays([batch.column("_sha"), pa.array(out, pa.string())], names=["_sha", "_payload"])
+        keep = ["id", "header", "http"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.string())], names=[*keep, "_payload"])
 
 
 def write(
@@ -100,6 +101,7 @@ def write(
 ) -> None:
     """Write payload store, headers and WARC files below ``path``."""
     spark = pages.sparkSession
+    bounded_batches(pages)
     kind = pages.schema[id].dataType.simpleString()
     rows = pages.select(
         F.col(id).alias("_id"),
@@ -166,18 +168,21 @@ def write(
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record as written, rebuilt from headers and payloads: ``id, record``."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select("_sha", "_packed").mapInArrow(_unpack, "_sha string, _payload string")
+    payloads = spark.read.parquet(f"{path}/payloads").select("_sha", "_packed")
     responses, revisits = headers.where("_is_response"), headers.where("NOT _is_response")
     # Only payloads below the least size have several responses; those are short enough to send to all.
     counts = responses.groupBy("_sha").agg(F.count("*").alias("_n"))
-    shared = cut(counts.where("_n > 1"))
-    if shared.isEmpty():
+    if counts.where("_n > 1").isEmpty():
         full = responses.join(payloads, "_sha")
     else:
         stored = payloads.join(counts, "_sha")
         full = attach(responses.drop("_n"), stored, "_sha", "_n", total_of(counts, "_n"), ["_urn"])
-    block = F.concat("header", F.lit(_LINE), "http", F.col("_payload"))
-    return full.select("id", block.alias("record")).unionByName(
+    kind = headers.schema["id"].dataType.simpleString()
+    unpacked = full.select("id", "header", "http", "_sha", "_packed").mapInArrow(
+        _unpack, f"id {kind}, header string, http string, _payload string"
+    )
+    block = F.concat("header", F.lit(_LINE), "http", "_payload")
+    return unpacked.select("id", block.alias("record")).unionByName(
         revisits.select("id", F.concat("header", F.lit(_LINE), "http").alias("record"))
     )
 
