@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, total_of, whole
+from curbline.llm.common import attach, bounded_batches, total_of, whole
 from curbline.llm.components import components
 from curbline.llm.text_arrays import LOWER, Words, mix, parts, shingles
 from curbline.session import cut
@@ -41,13 +41,17 @@ from curbline.session import cut
 #: heaviest HEAVY_MOST of them are sent to all tasks. The order decides what a group costs, not what is found.
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 2000, 64, 1 << 20
 #: Shingles counted together in a task before the repeated ones are sent on.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Postings of one group-forming task, nodes in one block of a large group, rows of one tree task.
-POSTINGS, BLOCK, TREE_ROWS = 1 << 20, 1024, 1 << 14
-#: Bits of a signature, leaves under a tree node.
-BITS, FAN = 4096, 8
+POSTINGS, BLOCK, TREE_ROWS = 1 << 19, 1024, 1 << 13
+#: Bytes of signatures compared at a time, of either side.
+COMPARED = 1 << 22
+#: Bits of a signature: LEAST_BITS, or the power of two of at least BITS_EACH for each member; leaves under a tree node.
+LEAST_BITS, BITS_EACH, FAN = 2048, 4, 8
 #: Pairs that meet one copy of a set in the exact comparison.
 PAIRS_A_COPY = 256
+#: Bits of the bitmap that tells which texts are looked at again: 8 MB, sent to all tasks.
+MARKS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -68,7 +72,7 @@ class Rule:
 def _sets(column: pa.Array, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, size of each set, and the sets' members, each in order, end to end."""
     words = Words()
-    for a, b, data, offsets in parts(column):
+    for a, b, data, offsets in parts(column, 1 << 20):
         lowered = LOWER[data]
         starts, ends, at = words.find(lowered, offsets)
         tokens, at = shingles(words.hashes(lowered, starts, ends), at, rule.width)
@@ -90,22 +94,49 @@ def _keys(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signatures(sizes: np.ndarray, tokens: np.ndarray) -> list[bytes | None]:
+    """The bitmap of each set, a bit for each member; null for the empty one."""
+    out: list[bytes | None] = []
+    end = 0
+    for n in sizes.tolist():
+        width = max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length()) if n else LEAST_BITS
+        flags = np.zeros(width, bool)
+        flags[tokens[end : end + n] % np.uint64(width)] = True
+        out.append(np.packbits(flags).tobytes() if n else None)
+        end += n
+    return out
+
+
+def _wide(bits: list[bytes], size: int) -> np.ndarray:
+    """Signatures of one width or less as rows of words; a shorter one is repeated.
+
+    The bits of a member are then set in each repeat, so two sets have at least as
+    many bits in common as they have different members in common at the shorter width.
+    """
+    return np.frombuffer(b"".join(b * (size // len(b)) for b in bits), np.uint64).reshape(len(bits), -1)
+
+
+def _spare(bits: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Members of each set that share a bit with another one of it."""
+    return sizes - np.array([int.from_bytes(b).bit_count() for b in bits], np.int64)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row per document (``id, h, n, key``), and rows of repeated shingles (``token, df``)."""
+    """A row per document (``id, h, n, key, bits``), and rows of repeated shingles (``token, df``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        id_type, names = pa.null(), ["id", "h", "n", "key", "token", "df"]
+        id_type, names = pa.null(), ["id", "h", "n", "key", "bits", "token", "df"]
 
         def repeated() -> pa.RecordBatch:
             token, df = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             token, df = token[df > 1], df[df > 1].astype(np.int64)
-            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, _long(token), pa.array(df)], names=names)
 
         for batch in batches:
@@ -116,7 +147,8 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").slice(a, n), batch.column("_h").slice(a, n), pa.array(sizes.astype(np.int64)),
-                        _long(_keys(sizes, tokens)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                        _long(_keys(sizes, tokens)), pa.array(_signatures(sizes, tokens), pa.binary()),
+                        pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                     ],
                     names=names,
                 )
@@ -126,7 +158,7 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
             yield repeated()
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h bigint, n bigint, key bigint, token bigint, df bigint")
+    return docs.mapInArrow(run, f"id {kind}, h bigint, n bigint, key bigint, bits binary, token bigint, df bigint")
 
 
 def _heavy(survey: DataFrame, n_docs: int, heavy_least: int) -> np.ndarray:
@@ -196,50 +228,85 @@ def _shared(docs: DataFrame, rule: Rule, heavy: np.ndarray, n_buckets: int) -> D
     return sent_out.groupBy("bucket").applyInArrow(meet, "token bigint, key bigint")
 
 
-def _signed_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """``key, n, members, bits`` of the wanted nodes ``key, id, h``."""
+def _marks(rows: DataFrame) -> np.ndarray:
+    """Bitmap of MARKS bits of the rows' ``r``, in words: what a scan tests before it makes a set."""
+    bit = F.pmod("r", F.lit(MARKS))
+    words = rows.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))).alias("mask")
+    ).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def _members(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """``key, members`` of the nodes of the pairs, and of a few more.
+
+    The sets are made again where the texts lie. A bitmap of fixed size tells
+    which rows to look at, so no text is shuffled; it may let others pass, which
+    the joins on the key then leave out.
+    """
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = ends.join(nodes.select("key", "rep"), "key").select(F.xxhash64("rep.id", "rep.h").alias("r"))
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
         for batch in batches:
-            for a, sizes, tokens in _sets(batch.column("_text"), rule):
+            bit = np.mod(batch.column("r").to_numpy(), MARKS)
+            marked = (marks[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+            for _, sizes, tokens in _sets(batch.column("_text").filter(pa.array(marked == 1)), rule):
                 ends = np.cumsum(sizes)
-                sets = [tokens[e - n : e] for e, n in zip(ends, sizes)]
-                bits = []
-                for s in sets:
-                    flags = np.zeros(BITS, bool)
-                    flags[s % np.uint64(BITS)] = True
-                    bits.append(np.packbits(flags).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").slice(a, len(sizes)), pa.array(sizes.astype(np.int64)),
-                        pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.binary()),
-                    ],
-                    names=["key", "n", "members", "bits"],
+                    [_long(_keys(sizes, tokens)), pa.array([tokens[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())],
+                    names=["key", "members"],
                 )
 
-    texts = docs.join(
-        wanted.withColumnsRenamed({"id": "_w", "h": "_wh"}).hint("merge"), (F.col("_h") == F.col("_wh")) & F.col("_id").eqNullSafe(F.col("_w"))
-    )
-    return texts.select("key", "_text").mapInArrow(run, "key bigint, n bigint, members binary, bits binary")
+    rows = docs.select(F.xxhash64("_id", "_h").alias("r"), "_text")
+    return rows.mapInArrow(run, "key bigint, members binary")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that the sizes and signatures of both nodes leave possible."""
+    sides = []
+    for side in ("a", "b"):
+        sides.append(nodes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = [batch.column(f"n_{s}").to_numpy() for s in "ab"]
+            keep = rule.reaches(np.minimum(n_a, n_b), n_a + n_b)
+            bits_a, bits_b = [batch.column(f"bits_{s}").to_pylist() for s in "ab"]
+            for width in {max(len(bits_a[k]), len(bits_b[k])) for k in np.flatnonzero(keep)}:
+                at = np.array([k for k in np.flatnonzero(keep) if max(len(bits_a[k]), len(bits_b[k])) == width])
+                x, y = [bits_a[k] for k in at], [bits_b[k] for k in at]
+                common = np.bitwise_count(_wide(x, width) & _wide(y, width)).sum(axis=1, dtype=np.int64)
+                most = np.minimum(np.minimum(n_a[at], n_b[at]), common + np.minimum(_spare(x, n_a[at]), _spare(y, n_b[at])))
+                keep[at] = rule.reaches(most, n_a[at] + n_b[at])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Add the members of one side; a node with many pairs meets them as several copies."""
+    joined = _joined(_joined(pairs, sides[1], "b"), sides[0], "a")
+    return joined.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _joined(pairs: DataFrame, side_rows: DataFrame, side: str) -> DataFrame:
+    """Pairs with the columns of one side's row; a node with many pairs meets them as several copies."""
     counts = cut(pairs.groupBy(side).agg(F.count("*").alias("_n")).withColumn("_copies", F.ceil(F.col("_n") / PAIRS_A_COPY)))
     other = "b" if side == "a" else "a"
     dealt = attach(pairs, counts, side, "_n", total_of(counts, "_n"), ["a", "b"]).withColumn(
         "_copy", F.pmod(F.xxhash64(other), F.col("_copies"))
     )
-    copies = sets.select("key", "members").join(counts, F.col("key") == F.col(side)).select(
-        "key", F.col("members").alias(f"members_{side}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("_c")
-    )
-    return dealt.join(copies, (F.col(side) == F.col("key")) & (F.col("_copy") == F.col("_c"))).select(
-        *pairs.columns, f"members_{side}"
-    )
+    sent = counts.select(F.col(side).alias("_side"), "_copies")
+    copies = side_rows.join(sent, F.col(side) == F.col("_side")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))
+    ).drop("_side", "_copies").withColumnRenamed(side, "_key")
+    more = [c for c in side_rows.columns if c != side]
+    return dealt.join(copies, (F.col(side) == F.col("_key")) & (F.col("_copy") == F.col("_c"))).select(*pairs.columns, *more)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose sets reach the threshold, by exact comparison."""
+    sets = cut(_members(docs, nodes, pairs, rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,15 +321,19 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(rule.reaches(int((both[1:] == both[:-1]).sum()), len(both)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = _with_set(_with_set(pairs, sets, "b"), sets, "a")
+    sides = [sets.select(F.col("key").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab"]
+    joined = _joined(_joined(pairs, sides[1], "b"), sides[0], "a")
     return joined.select("a", "b", "members_a", "members_b").mapInArrow(run, "a bigint, b bigint")
 
 
 class Tree:
-    """A signature tree over nodes in order of component, then size."""
+    """A signature tree over nodes in order of component, then size.
+
+    The overlap of two sets is at most the bits they have in common and the members
+    of either that share a bit with another one (``spare``).
+    """
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        spare = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # members that share a bit with another
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, spare: np.ndarray, component: np.ndarray):
         level = {"bits": bits, "low": sizes, "high": sizes, "spare": spare, "first": component, "last": component}
         self.levels = [level]
         while len(level["low"]) > 1:
@@ -287,8 +358,9 @@ class Tree:
                 ok = (x < n) & (y < n) & (x <= y)
                 x, y = x[ok], y[ok]
             keep = np.zeros(len(x), bool)
-            for a in range(0, len(x), 1 << 14):
-                keep[a : a + (1 << 14)] = self._possible(self.levels[k], x[a : a + (1 << 14)], y[a : a + (1 << 14)], rule)
+            some = max(1, COMPARED // (8 * self.levels[k]["bits"].shape[1]))
+            for a in range(0, len(x), some):
+                keep[a : a + some] = self._possible(self.levels[k], x[a : a + some], y[a : a + some], rule)
             x, y = x[keep], y[keep]
         leaf = x < y
         return x[leaf], y[leaf]
@@ -302,12 +374,29 @@ class Tree:
         return apart & sizes & rule.reaches(most, level["low"][x] + level["low"][y])
 
 
-def _across(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _by_width(bits, sizes, spare, width, component, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group: sets that can link have signatures of one width, or of the next."""
+    reach = 1
+    while reach * rule.percent < 100:  # how many times larger a partner can be, as a power of two
+        reach *= 2
+    found, done = [], 0
+    for w in np.unique(width):
+        if width[(width >= w) & (width <= w * reach)].max() <= done:
+            continue  # met with the narrower ones
+        at = np.flatnonzero((width >= w) & (width <= w * reach))
+        done = int(width[at].max())
+        x, y = Tree(_wide([bits[k] for k in at], done), sizes[at], spare[at], component[at]).pairs(rule)
+        found.append(np.column_stack([at[x], at[y]]))
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _across(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs ``a < b`` of members ``token, key, component, n_group`` of one group that could link across components."""
     blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = members.withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), blocks - 1))}).join(
-        sets.select(F.col("key").alias("_k"), "n", "bits"), F.col("key") == F.col("_k")
+        nodes.select(F.col("key").alias("_k"), "n", "bits"), F.col("key") == F.col("_k")
     ).select(
         "token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "component", "n", "bits"
     )
@@ -317,11 +406,13 @@ def _across(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("component", "ascending"), ("n", "ascending"), ("key", "ascending")])
         token, i, j, own_, key, component, n = [table.column(c).to_numpy() for c in ("token", "i", "j", "_own", "key", "component", "n")]
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
+        bits = table.column("bits").to_pylist()
+        del table
+        spare, width = _spare(bits, n), np.array([len(b) for b in bits])
         cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         found = []
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
-            x, y = Tree(bits[s:e], n[s:e], component[s:e]).pairs(rule)
+            x, y = _by_width(bits[s:e], n[s:e], spare[s:e], width[s:e], component[s:e], rule)
             if i[s] != j[s]:  # pairs within a block are found where it meets itself
                 cross = own_[s + x] != own_[s + y]
                 x, y = x[cross], y[cross]
@@ -335,12 +426,14 @@ def _across(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (its number; null without words) of every row."""
+    bounded_batches(docs)
     texts = docs.select(F.col(id).alias("_id"), whole(text).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     survey = cut(_survey(texts, rule))
     rows = survey.where("n IS NOT NULL").select("id", "h", "n", "key")
     full = rows.where("n > 0")
-    nodes = cut(full.groupBy("key").agg(
-        F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least"), F.count("*").alias("size")
+    nodes = cut(survey.where("n > 0").groupBy("key").agg(
+        F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least"), F.count("*").alias("size"),
+        F.max("n").alias("n"), F.first("bits").alias("bits"),
     ))
     seen = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
     heavy = _heavy(survey, seen["docs"], heavy_least)
@@ -358,15 +451,12 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
     members = cut(
         attach(shared, groups, "token", "n_group", total_of(groups, "n_group"), ["key"]).where("pivot IS NOT NULL")
     )
-    wanted = members.select("key").distinct().join(nodes.select("key", "rep.id", "rep.h"), "key")
-    sets = cut(_signed_sets(texts, wanted, rule))
-
     near = (
         members.where("key <> pivot").groupBy("key", "pivot").agg(F.sum("weight").alias("w"))
         .groupBy("key").agg(F.max(F.struct("w", "pivot")).alias("best"))
         .select(F.col("best.pivot").alias("a"), F.col("key").alias("b"))
     )
-    links = cut(_links(cut(near), sets, rule))
+    links = cut(_links(cut(_likely(cut(near), nodes, rule)), texts, nodes, rule))
     for last in (False, True):
         found = components(links)
         if last:
@@ -382,7 +472,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
         if open_.isEmpty():
             break
         inside = attach(placed, open_, "token", "n", total_of(groups, "n_group"), ["key"]).where("n IS NOT NULL").drop("n")
-        more = cut(_links(cut(_across(cut(inside), sets, rule)), sets, rule))
+        more = cut(_links(cut(_across(cut(inside), nodes, rule)), texts, nodes, rule))
         if more.isEmpty():
             break
         links = links.unionByName(more)

@@ -94,17 +94,18 @@ def test_empty_table_and_wordless_rows(spark):
     assert sorted(map(tuple, S.op10(spark, docs).collect())) == [(3, 1, 3), (4, 1, 3)]
 
 
-def test_tree_loses_no_pair():
+@pytest.mark.parametrize("sizes", [(300, 300, 300, 300), (150, 560, 1100, 2300)])
+@pytest.mark.parametrize("percent", [80, 45])
+def test_tree_loses_no_pair(sizes, percent):
     draw = np.random.default_rng(5)
-    rule = S.Rule()
-    base = [draw.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(4)]
-    sets = [np.unique(np.concatenate([b[: 300 - draw.integers(0, 60)], draw.integers(0, 1 << 60, 10).astype(np.uint64)])) for b in base for _ in range(15)]
+    rule = S.Rule(percent=percent)
+    base = [draw.integers(0, 1 << 60, n).astype(np.uint64) for n in sizes]
+    sets = [np.unique(np.concatenate([b[: len(b) - draw.integers(0, len(b) // 5)], draw.integers(0, 1 << 60, 10).astype(np.uint64)])) for b in base for _ in range(15)]
     sets.sort(key=len)
-    bits = np.zeros((len(sets), S.BITS), bool)
-    for k, s in enumerate(sets):
-        bits[k, s % np.uint64(S.BITS)] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    x, y = S.Tree(packed, np.array([len(s) for s in sets]), np.arange(len(sets))).pairs(rule)
+    sizes = np.array([len(s) for s in sets])
+    bits = S._signatures(sizes, np.concatenate(sets))
+    width = np.array([len(b) for b in bits])
+    x, y = S._by_width(bits, sizes, S._spare(bits, sizes), width, np.arange(len(sets)), rule)
     got = set(zip(x.tolist(), y.tolist()))
     want = {
         (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
