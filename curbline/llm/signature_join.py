@@ -6,8 +6,9 @@ to all: shingles found in a large share of the documents come last, so each
 node sends a short prefix, and nodes that share a prefix shingle form a group.
 Groups of the same members are kept once.
 
-First each node is compared with the one smallest node it shares most groups with;
-exact comparisons give links, and links give components. What is left are pairs
+First, each node is compared with one centre of its groups, the one it shares most
+of them with; exact comparisons give links, and links give components. What is
+left are pairs
 of different components within a group. There the nodes become leaves of a
 signature tree, whose inner nodes hold the OR of the leaves' token bitmaps and
 their range of sizes; a dual traversal drops pairs of tree nodes whose largest
@@ -47,7 +48,9 @@ POSTINGS, BLOCK, TREE_ROWS = 1 << 19, 1024, 1 << 13
 #: Bytes of signatures compared at a time, of either side.
 COMPARED = 1 << 22
 #: Bits of a signature: LEAST_BITS, or the power of two of at least BITS_EACH for each member; leaves under a tree node.
-LEAST_BITS, BITS_EACH, FAN = 2048, 4, 8
+LEAST_BITS, BITS_EACH, FAN = 512, 2, 8
+#: Star rounds before the trees: each compares a node with one other one of its groups.
+STARS = 1
 #: Pairs that meet one copy of a set in the exact comparison.
 PAIRS_A_COPY = 256
 #: Bits of the bitmap that tells which texts are looked at again: 8 MB, sent to all tasks.
@@ -424,6 +427,25 @@ def _across(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("_task").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _star(inside: DataFrame, turn: int) -> DataFrame:
+    """Each node with the centre it shares most groups with, of another component.
+
+    A group's centre is its first node in an order that changes from turn to turn.
+    """
+    rank = F.xxhash64("key", F.lit(turn))
+    centres = cut(inside.groupBy("token").agg(
+        F.min_by(F.struct("key", "component"), rank).alias("centre"), F.count("*").alias("n")
+    ))
+    total = total_of(centres, "n")
+    return (
+        attach(inside, centres, "token", "n", total, ["key"])
+        .where(F.col("component") != F.col("centre.component"))
+        .groupBy("key", F.col("centre.key").alias("centre")).agg(F.sum("weight").alias("w"))
+        .groupBy("key").agg(F.max(F.struct("w", "centre")).alias("best"))
+        .select(F.col("best.centre").alias("a"), F.col("key").alias("b"))
+    )
+
+
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (its number; null without words) of every row."""
     bounded_batches(docs)
@@ -451,31 +473,38 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
     members = cut(
         attach(shared, groups, "token", "n_group", total_of(groups, "n_group"), ["key"]).where("pivot IS NOT NULL")
     )
-    near = (
-        members.where("key <> pivot").groupBy("key", "pivot").agg(F.sum("weight").alias("w"))
-        .groupBy("key").agg(F.max(F.struct("w", "pivot")).alias("best"))
-        .select(F.col("best.pivot").alias("a"), F.col("key").alias("b"))
-    )
-    links = cut(_links(cut(_likely(cut(near), nodes, rule)), texts, nodes, rule))
-    for last in (False, True):
+
+    def place(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the members of groups that span several."""
         found = components(links)
-        if last:
-            break
         placed = cut(
             members.join(found, F.col("key") == F.col("node"), "left")
-            .select("token", "key", "n_group", F.coalesce("component", "key").alias("component"))
+            .select("token", "key", "n_group", "weight", F.coalesce("component", "key").alias("component"))
         )
-        open_ = cut(
+        spans = cut(
             placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
             .where("c0 <> c1").select("token", "n")
         )
-        if open_.isEmpty():
-            break
-        inside = attach(placed, open_, "token", "n", total_of(groups, "n_group"), ["key"]).where("n IS NOT NULL").drop("n")
-        more = cut(_links(cut(_across(cut(inside), nodes, rule)), texts, nodes, rule))
-        if more.isEmpty():
+        inside = attach(placed, spans, "token", "n", total_of(groups, "n_group"), ["key"]).where("n IS NOT NULL").drop("n")
+        return found, cut(inside)
+
+    links = None
+    inside = cut(members.select("token", "key", "n_group", "weight", F.col("key").alias("component")))
+    for turn in range(STARS + 1):
+        if inside.isEmpty():
             break
-        links = links.unionByName(more)
+        if turn < STARS:
+            likely = _likely(cut(_star(inside, turn)), nodes, rule)
+        else:  # every pair between components that the trees leave possible
+            likely = _across(inside, nodes, rule)
+        more = cut(_links(cut(likely), texts, nodes, rule))
+        links = more if links is None else links.unionByName(more)
+        if turn < STARS:
+            found, inside = place(links)
+        else:
+            found = components(links)
+    if links is None:
+        found = nodes.select(F.col("key").alias("node"), F.col("key").alias("component"))
 
     placed = cut(
         nodes.join(found, F.col("key") == F.col("node"), "left")
