@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbline.llm.common import attach, bounded_batches, total_of, whole
@@ -51,6 +51,8 @@ COMPARED = 1 << 22
 LEAST_BITS, BITS_EACH, FAN = 512, 2, 8
 #: Star rounds before the trees: each compares a node with one other one of its groups.
 STARS = 1
+#: After the trees: so many pairs of any two components are compared first, then all that are left.
+SAMPLES = (4,)
 #: Pairs that meet one copy of a set in the exact comparison.
 PAIRS_A_COPY = 256
 #: Bits of the bitmap that tells which texts are looked at again: 8 MB, sent to all tasks.
@@ -395,7 +397,7 @@ def _by_width(bits, sizes, spare, width, component, rule: Rule) -> tuple[np.ndar
 
 
 def _across(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs ``a < b`` of members ``token, key, component, n_group`` of one group that could link across components."""
+    """Pairs ``a < b`` of members ``token, key, component, n_group`` of one group that could link across components ``ca < cb``."""
     blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = members.withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), blocks - 1))}).join(
@@ -419,12 +421,14 @@ def _across(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             if i[s] != j[s]:  # pairs within a block are found where it meets itself
                 cross = own_[s + x] != own_[s + y]
                 x, y = x[cross], y[cross]
-            x, y = key[s + x], key[s + y]
-            found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y])
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+            x, y = s + x, s + y
+            a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
+            ca, cb = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+            found.append(np.column_stack([a, b, ca, cb])[a != b])
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        return pa.table({c: pa.array(both[:, k]) for k, c in enumerate(("a", "b", "ca", "cb"))})
 
-    return rows.groupBy("_task").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.groupBy("_task").applyInArrow(run, "a bigint, b bigint, ca bigint, cb bigint").distinct()
 
 
 def _star(inside: DataFrame, turn: int) -> DataFrame:
@@ -446,6 +450,20 @@ def _star(inside: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _some(pairs: DataFrame, most: int) -> DataFrame:
+    """At most so many pairs between any two components, by hash."""
+    first = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"), "a", "b")
+    return pairs.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose components are still two, with what these have become part of."""
+    for c in ("ca", "cb"):
+        moved = found.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
+        pairs = pairs.join(moved, F.col(c) == F.col("_node"), "left").withColumn(c, F.coalesce("_to", c)).drop("_node", "_to")
+    return pairs.where("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
+
+
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (its number; null without words) of every row."""
     bounded_batches(docs)
@@ -495,14 +513,21 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
             break
         if turn < STARS:
             likely = _likely(cut(_star(inside, turn)), nodes, rule)
-        else:  # every pair between components that the trees leave possible
-            likely = _across(inside, nodes, rule)
-        more = cut(_links(cut(likely), texts, nodes, rule))
-        links = more if links is None else links.unionByName(more)
-        if turn < STARS:
+            more = cut(_links(cut(likely), texts, nodes, rule))
+            links = more if links is None else links.unionByName(more)
             found, inside = place(links)
-        else:
-            found = components(links)
+        else:  # every pair between components that the trees leave possible
+            left = cut(_across(inside, nodes, rule))
+            for some in (*SAMPLES, None):
+                if left.isEmpty():
+                    break
+                # A few pairs of any two components first: one link makes the others needless.
+                tried = left if some is None else cut(_some(left, some))
+                more = cut(_links(tried.select("a", "b"), texts, nodes, rule))
+                links = links.unionByName(more)
+                found = components(links)
+                if some is not None:
+                    left = cut(_apart(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), found))
     if links is None:
         found = nodes.select(F.col("key").alias("node"), F.col("key").alias("component"))
 
