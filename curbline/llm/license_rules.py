@@ -1,12 +1,17 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences; each is normalised to lower-case words and looked
-up among known licence sentences. What remains is a sequence of identifiers with
-their places. A rule is an ordered sequence of identifiers; it matches where its
-identifiers follow one another with at most MAX_GAP unknown sentences between
-two of them. A match that lies within another one is dropped. All of it is one
-expression per row: nothing is shuffled, and a text of any length or a source of
-any size is handled where it lies.
+A text is cut into pieces, at sentence ends and at line ends, and each piece is
+normalised to lower-case words without comment and list marks. A known licence
+sentence is found where its words are those of one piece or of several pieces in
+a row, so it may be wrapped over lines; one that lies within another one is
+dropped. What remains is a sequence of identifiers with their places, which are
+numbers of pieces. A rule is an ordered sequence of identifiers; it matches where
+its identifiers follow one another with at most MAX_GAP unknown sentences between
+two of them. An unknown sentence goes on to its stop or to a blank line; pieces
+without words and lone list marks are none. A match that lies within another one
+is dropped. All of it is a few expressions per row: nothing is shuffled, and a
+text of any length or a source of any size is handled where it lies. The SQL
+below looks for sentences within one piece only.
 
 Defined results: a null or empty text has no match and comes back with counts of
 0; repeated rows come back as often; of equal spans the first rule in order
@@ -75,8 +80,13 @@ RULES = (
 )
 #: Unknown sentences allowed between two sentences of a rule.
 MAX_GAP = 1
-#: A sentence ends at . ! ? or ; before white space, at a line's end, and at a blank line.
+#: A piece ends at . ! ? or ; before white space, and at a line's end.
 BREAK = r"([.!?;])[ \t]+"
+#: A piece with which a sentence ends.
+STOP = r"""[.!?;]["')\]*/]*\s*$"""
+_MARK = "(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})"
+#: Word-like comment and list marks before a sentence, and a list mark that follows a colon at its end.
+MARKS = rf"^[^a-z0-9]*(?:{_MARK}[.)][ \t]+|(?:dnl|rem)(?![a-z0-9]))|(?<=:)[ \t]+\(?{_MARK}[.)]\s*$"
 
 
 def anchors(sentences: dict[str, str]) -> list[str]:
@@ -94,22 +104,80 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), BREAK, "$1\n"), "\n")
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+def normalise(piece: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(piece, MARKS, ""), "[^a-z0-9]+", " "))
 
 
-def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """Known sentences of the text in order: array of (at, id)."""
-    table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
+def pieces(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+    """Pieces of the text that may hold a known sentence, else none: array of (at, s, stop)."""
     hint = "|".join(anchors(known))
-    numbered = F.transform(sentences(text), lambda s, i: F.struct(i.alias("at"), s.alias("s")))
-    likely = F.filter(numbered, lambda x: x["s"].rlike(hint))
-    found = F.transform(likely, lambda x: F.struct(x["at"].alias("at"), F.try_element_at(table, normalise(x["s"])).alias("id")))
-    return F.filter(found, lambda x: x["id"].isNotNull())
+    each = F.transform(sentences(text), lambda s, i: F.struct(i.alias("at"), normalise(s).alias("s"), s.rlike(STOP).alias("stop")))
+    return F.when(F.lower(text).rlike(hint), each)
+
+
+def worded(cut: Column) -> Column:
+    """Pieces with words: array of (at, s, mark, new), ``new`` where a sentence starts."""
+
+    def of(x: Column, i: Column) -> Column:
+        before = F.get(cut, i - 1)
+        new = (i == 0) | before["stop"] | (before["s"] == "") | before["s"].rlike(f"^{_MARK}$")
+        return F.struct(x["at"].alias("at"), x["s"].alias("s"), x["s"].rlike(f"^{_MARK}$").alias("mark"), new.alias("new"))
+
+    return F.filter(F.transform(cut, of), lambda x: x["s"] != "")
+
+
+def runs(lines: Column, known: dict[str, str] = SENTENCES) -> Column:
+    """Known sentences in order, the longest from each piece: array of (j, end, id), places in ``lines``."""
+    table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
+    longest = max(len(s.split()) for s in known.values())
+    by_length = sorted(known.values(), key=len, reverse=True)
+    whole_run = "^(" + "|".join(s.replace(" ", "[ \n]") for s in by_length) + ")(?=\n|$)"
+    first_word = "^(?:" + "|".join(sorted({s.split()[0] for s in known.values()})) + ")(?: |$)"
+
+    def begins(s: Column) -> Column:
+        return s.rlike(first_word) & reduce(lambda a, b: a | b, [F.lit(k + " ").startswith(F.concat(s, F.lit(" "))) for k in by_length])
+
+    def run(x: Column) -> Column:  # a sentence of n words has n pieces at most
+        ahead = F.array_join(F.transform(F.slice(lines, x["j"] + 1, F.lit(longest)), lambda y: y["s"]), "\n")
+        return F.struct(x["j"].alias("j"), F.regexp_extract(ahead, whole_run, 1).alias("s"))
+
+    numbered = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x["s"].alias("s")))
+    found = F.filter(F.transform(F.filter(numbered, lambda x: begins(x["s"])), run), lambda x: x["s"] != "")
+    return F.transform(found, lambda x: F.struct(
+        x["j"].alias("j"),
+        (x["j"] + F.regexp_count(x["s"], F.lit("\n"))).alias("end"),
+        F.try_element_at(table, F.translate(x["s"], "\n", " ")).alias("id"),
+    ))
+
+
+def alone(found: Column, known: dict[str, str] = SENTENCES) -> Column:
+    """Runs that do not lie within an earlier one."""
+    longest = max(len(s.split()) for s in known.values())
+
+    def held(x: Column, i: Column) -> Column:
+        near = F.slice(found, F.greatest(i + 1 - longest, F.lit(1)), F.least(i, F.lit(longest)))
+        return F.exists(near, lambda y: (y["end"] >= x["end"]) & (y["j"] < x["j"]))
+
+    return F.filter(found, lambda x, i: ~held(x, i))
+
+
+def placed(found: Column, lines: Column) -> Column:
+    """Runs as (at, last, gap, id): first and last piece, and the unknown sentences since the run before."""
+
+    def of(x: Column, i: Column) -> Column:
+        since = F.coalesce(F.get(found, i - 1)["end"], F.lit(-1)) + 1
+        between = F.slice(lines, since + 1, F.greatest(x["j"] - since, F.lit(0)))
+        unknown = F.filter(between, lambda y, k: ~y["mark"] & (y["new"] | (k == 0)))
+        return F.struct(
+            F.get(lines, x["j"])["at"].alias("at"), F.get(lines, x["end"])["at"].alias("last"),
+            F.size(unknown).alias("gap"), x["id"].alias("id"),
+        )
+
+    return F.transform(found, of)
 
 
 def matches(ids: Column, rules: tuple = RULES, max_gap: int = MAX_GAP) -> Column:
-    """Matches of the rules in an array of (at, id): array of (first, last, order, rule, licence)."""
+    """Matches of the rules in an array of (at, last, gap, id): array of (first, last, order, rule, licence)."""
 
     def of(order: int, rule: tuple) -> Column:
         name, licence, sequence = rule
@@ -118,27 +186,27 @@ def matches(ids: Column, rules: tuple = RULES, max_gap: int = MAX_GAP) -> Column
         def fits(start: Column) -> Column:
             here = [F.get(ids, start + k) for k in range(n)]
             tests = [h["id"] == F.lit(s) for h, s in zip(here, sequence)]
-            tests += [b["at"] - a["at"] <= max_gap + 1 for a, b in zip(here, here[1:])]
+            tests += [h["gap"] <= max_gap for h in here[1:]]
             return F.coalesce(reduce(lambda x, y: x & y, tests), F.lit(False))
 
         starts = F.filter(F.transform(ids, lambda _, i: i), fits)
         return F.transform(starts, lambda i: F.struct(
-            F.get(ids, i)["at"].alias("first"), F.get(ids, i + (n - 1))["at"].alias("last"),
+            F.get(ids, i)["at"].alias("first"), F.get(ids, i + (n - 1))["last"].alias("last"),
             F.lit(order).alias("order"), F.lit(name).alias("rule"), F.lit(licence).alias("licence"),
         ))
 
     return F.array_sort(F.concat(*[of(k, r) for k, r in enumerate(rules)]))
 
 
-def outermost(found: Column, rules: tuple = RULES, max_gap: int = MAX_GAP) -> Column:
+def outermost(found: Column, rules: tuple = RULES) -> Column:
     """Matches that do not lie within another; of equal spans the first rule's.
 
-    Matches are in order, and a rule spans a bounded number of sentences, so only
-    a bounded number of neighbours can hold a match.
+    Matches are in order, and a rule spans a bounded number of known sentences, so
+    only a bounded number of neighbours can hold a match.
     """
-    longest = max(len(seq) - 1 for _, _, seq in rules) * (max_gap + 1)
+    longest = max(len(seq) for _, _, seq in rules)
     firsts = [seq[0] for _, _, seq in rules]
-    reach = (longest + 1) * max(firsts.count(f) for f in firsts)
+    reach = longest * max(firsts.count(f) for f in firsts)
 
     def within(x: Column, y: Column) -> Column:
         inside = (y["first"] <= x["first"]) & (y["last"] >= x["last"])
@@ -153,12 +221,18 @@ def outermost(found: Column, rules: tuple = RULES, max_gap: int = MAX_GAP) -> Co
 
 
 def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES, rules: tuple = RULES, max_gap: int = MAX_GAP) -> DataFrame:
-    """Docs with ``license_ids`` (array of at, id) and ``license_matches`` added."""
-    has = docs.withColumn("license_ids", identifiers(whole(text), known))
+    """Docs with ``license_ids`` (array of at, last, gap, id) and ``license_matches`` added."""
+    has = docs.withColumn("license_ids", pieces(whole(text), known))
+    for step in (worded, lambda c: F.struct(c.alias("lines"), runs(c, known).alias("found"))):
+        has = has.withColumn("license_ids", F.when(F.size("license_ids") > 0, step(F.col("license_ids"))))
+    lines, found = F.col("license_ids.lines"), F.col("license_ids.found")
+    has = has.withColumn("license_ids", F.when(F.size(found) > 0, F.struct(lines.alias("lines"), alone(found, known).alias("found"))))
+    empty = F.array().cast("array<struct<at:int,last:int,gap:int,id:string>>")
+    has = has.withColumn("license_ids", F.coalesce(F.when(F.size(found) > 0, placed(found, lines)), empty))
     some = F.when(F.size("license_ids") > 0, matches(F.col("license_ids"), rules, max_gap))
     none = F.array().cast("array<struct<first:int,last:int,order:int,rule:string,licence:string>>")
     return has.withColumn("license_matches", F.coalesce(some, none)).withColumn(
-        "license_matches", outermost(F.col("license_matches"), rules, max_gap)
+        "license_matches", outermost(F.col("license_matches"), rules)
     )
 
 

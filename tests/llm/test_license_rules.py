@@ -70,3 +70,97 @@ def test_matches_in_long_texts_against_plain_loops(spark):
         ]
         got = run(spark, [text])[0]["matches"]
         assert got == ",".join(f"{n}:{a}:{b}" for a, b, _, n in keep), names
+
+
+MIT_TEXT = '''MIT License
+
+Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+BSD_TEXT = '''Copyright (c) 2020, A. Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+'''
+GPL_TEXT = '''    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+'''
+APACHE_TEXT = '''Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+
+
+def test_standard_notices_wrapped_over_lines(spark):
+    texts = [MIT_TEXT, BSD_TEXT, GPL_TEXT, GPL_TEXT.replace("software;", "software:").replace("Foundation; either version 2", "Foundation, either version 3"), APACHE_TEXT]
+    want = ["mit-text", "bsd-3-clause-text", "gpl-2.0-or-later-notice", "gpl-3.0-or-later-notice", "apache-2.0-notice"]
+    known = [4, 4, 3, 3, 4]
+    marks = [lambda t, m=m: "".join(m + line for line in t.splitlines(True)) for m in ("", "# ", "// ", " * ", "dnl ")]
+    forms = [*marks, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()), lambda t: "\n".join(t.split())]
+    for k, form in enumerate(forms):
+        got = run(spark, [form(t) for t in texts])
+        rules = [[m.split(":")[0] for m in got[i]["matches"].split(",")] for i in range(len(texts))]
+        if k < 6:
+            assert [got[i]["n_known_sentences"] for i in range(len(texts))] == known, k
+            assert rules == [[w] for w in want], k
+        else:  # no line left before the first sentence of those that follow a heading without a stop
+            assert rules[2:4] == [[w] for w in want[2:4]], k
+    assert run(spark, [MIT_TEXT])[0]["matches"] == "mit-text:5:22"
+
+
+def test_wrapped_lines_count_as_one_unknown_sentence(spark):
+    grant, notice, as_is = MIT[:3]
+    one, two = "First words\nand the rest of it.", "First words.\n\nAnd the rest\nof it."
+    texts = [f"{grant}:\n\n{x}\n\n(1) {notice}.\n2) {as_is}." for x in (one, two, "1.\n\n*\n\n" + one)]
+    got = run(spark, texts)
+    assert [got[i]["licenses"] for i in range(3)] == ["MIT", "", "MIT"]
+    flat = run(spark, [". ".join(["conditions are met: 1", "2"]).join(["", ""]), BSD_TEXT[BSD_TEXT.index("Redistribution"):].replace("\n", " ")])
+    assert flat[0]["n_matches"] == 0 and flat[1]["licenses"] == "BSD-3-Clause"
