@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from curbline.llm.common import bounded_batches, crc_mod, whole
 from curbline.llm.text_arrays import LOWER, parts
+from curbline.session import cut
 
 UNKNOWN = "und"
 #: Families of ISO 639-1 codes; any other label is a family of its own.
@@ -38,7 +40,7 @@ FAMILIES = {
 }
 #: Width of the hashed features.
 WIDTH = 2048
-#: Labelled rows to fit on: about so many in all, the same number for each language.
+#: Labelled texts to fit on: so many in all at most, the same number for each language, but one at least.
 SAMPLE_ROWS = 6000
 
 _LETTER = LOWER.copy()
@@ -157,27 +159,41 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, width: int = WIDTH) -> Hierarchy:
-    """Fit on a sample of about ``rows`` rows, spread evenly over the labels (one row each in ``counts``)."""
+def sample(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """``_label, _text``: for each label its ``rows`` / labels different texts of smallest hash, or all; None without a label."""
     spark = labelled.sparkSession
-    bounded_batches(labelled)
     usable = labelled.where(F.col(label).isNotNull() & has_letter(text)).select(
-        F.col(label).cast("string").alias("_label"), F.col(text).alias("_text")
+        F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")
     )
-    counts = [(r["_label"], r["count"]) for r in usable.groupBy("_label").count().collect()]
+    pairs = cut(usable.select("_label", "_hash").distinct())
+    counts = [(r["_label"], r["count"]) for r in pairs.groupBy("_label").count().collect()]
     if not counts:
-        return Hierarchy()
+        return None
     each = max(1, rows // len(counts))
-    rates = spark.createDataFrame([(c, min(1.0, each / n)) for c, n in counts], "_l string, _rate double")
-    chance = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.join(F.broadcast(rates), F.col("_label") == F.col("_l")).where(chance < F.col("_rate"))
+    # A few more than enough pass by their rate, so that no label is ranked whole.
+    spare = each + 10 * each**0.5 + 20
+    rates = spark.createDataFrame([(c, min(1.0, spare / n)) for c, n in counts], "_l string, _rate double")
+    chance = F.pmod(F.xxhash64("_hash", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = pairs.join(F.broadcast(rates), F.col("_label") == F.col("_l")).where(chance < F.col("_rate"))
+    rank = F.row_number().over(W.partitionBy("_label").orderBy(chance, "_hash"))
+    chosen = some.withColumn("_rank", rank).where(F.col("_rank") <= each).select(F.col("_label").alias("_l"), F.col("_hash").alias("_h"))
+    mine = usable.join(F.broadcast(cut(chosen)), (F.col("_label") == F.col("_l")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return mine.groupBy("_label", "_hash").agg(F.min("_text").alias("_text")).select("_label", "_text")
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, width: int = WIDTH) -> Hierarchy:
+    """Fit on a sample of ``rows`` different texts at most, spread evenly over the labels (one row each in ``counts``)."""
+    bounded_batches(labelled)
+    chosen = sample(labelled, text, label, rows)
+    if chosen is None:
+        return Hierarchy()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [row.tobytes() for block in features(batch.column("_text"), width) for row in block]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.binary())], names=["_label", "_x"])
 
-    got = sample.select("_label", "_text").mapInArrow(vectors, "_label string, _x binary").toArrow()
+    got = chosen.mapInArrow(vectors, "_label string, _x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.float32).reshape(-1, width)
     labels = np.array(got.column("_label").to_pylist(), object)
     order = sorted(range(len(labels)), key=lambda i: (labels[i], x[i].tobytes()))  # the same fit whatever the order of rows

@@ -1,5 +1,7 @@
 """Held-out accuracy, the two steps, and odd texts."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,25 @@ def test_features_do_not_cross_texts():
     together = np.vstack(list(L.features(pa.array(texts))))
     alone = np.vstack([np.vstack(list(L.features(pa.array([t])))) for t in texts])
     assert np.allclose(together, alone) and np.allclose(together[0], together[4])
+
+
+def test_sample_is_of_different_texts(spark):
+    from pyspark.sql import functions as F
+
+    def drawn(labelled, rows):
+        got = L.sample(labelled, rows=rows)
+        return Counter(tuple(r) for r in got.collect()) if got is not None else Counter()
+
+    # A text with most of the rows is one text, and does not push the others out of its language.
+    hot = spark.range(30_000).select(F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(60).select(F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([("der die das", "de"), ("le la les", "fr"), ("12", "xx"), (None, "yy"), ("abc", None)], "text string, lang string")
+    labelled = hot.unionByName(others).unionByName(few)
+    got = drawn(labelled, 60)
+    assert max(got.values()) == 1 and Counter(lang for lang, _ in got) == {"en": 20, "de": 1, "fr": 1}
+    assert got == drawn(labelled.repartition(7), 60)
+    assert Counter(lang for lang, _ in drawn(labelled, 900)) == {"en": 61, "de": 1, "fr": 1}
+    assert Counter(lang for lang, _ in drawn(labelled, 1)) == {"en": 1, "de": 1, "fr": 1}  # more labels than rows
+    assert drawn(hot, 6) == {("en", "the same words"): 1}
+    assert L.train(hot, rows=6).families == {"germanic": ["en"]}
+    assert not drawn(few.where("lang IS NULL"), 6)
