@@ -33,9 +33,16 @@ def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter go.
+
+    With no labelled text to learn from, no language can be told apart, and all
+    documents with a letter stay.
+    """
     learn = docs.where(crc_mod("doc_id", 4) != 2)
-    guess = language.guess_column(language.train(learn))
+    model = language.train(learn)
+    if not model.families:
+        return docs.where(language.has_letter("text"))
+    guess = language.guess_column(model)
     return docs.where(guess["lang"] != language.UNKNOWN)
 
 

@@ -38,6 +38,13 @@ def test_language_stage_drops_texts_without_letters_only(spark):
     assert as_rows(got) == Counter((i, t, s) for i, t, _, s in rows if any(c.isalpha() for c in t or ""))
 
 
+def test_language_stage_without_labels_drops_texts_without_letters_only(spark):
+    rows = [(i, t, None, s) for i, t, _, s in sample()]
+    got = P.language_id(spark, frame(spark, rows), SF)
+    want = Counter((i, t, s) for i, t, _, s in rows if any(c.isalpha() for c in t or ""))
+    assert want and as_rows(got) == want
+
+
 def test_exact_stage_keeps_the_largest_id(spark):
     rows = sample()
     best = {}
