@@ -157,10 +157,11 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", moduli=
     total = total_of(sizes, "_n")
 
     # Chunkwise comparison of every group of two or more.
-    again = texts.select("_text").mapInArrow(
-        partial(_print, moduli=moduli, chunk=chunk), "_text string, _h1 bigint, _h2 bigint"
-    ).withColumn("_bytes", F.octet_length("_text")).select(_class().alias("_class"), "_text")
-    members = attach(again, sizes.where("_n > 1"), "_class", "_n", total, ["_text"], merge=True) if total else again.withColumn("_n", F.lit(None))
+    again = texts.select(F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(
+        partial(_print, moduli=moduli, chunk=chunk), "_row bigint, _text string, _h1 bigint, _h2 bigint"
+    ).withColumn("_bytes", F.octet_length("_text")).select(_class().alias("_class"), "_row", "_text")
+    # Rows of a class have the same text, so they are told apart by a number.
+    members = attach(again, sizes.where("_n > 1"), "_class", "_n", total, ["_row"], merge=True) if total else again.withColumn("_n", F.lit(None))
     differ = (
         members.where(F.col("_n").isNotNull())
         .select("_class", "_text")

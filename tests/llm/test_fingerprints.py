@@ -48,3 +48,23 @@ def test_chunks_sum_to_the_whole():
 
 def test_empty_table(spark):
     assert P.op2(spark, spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_rows_of_a_hot_class_are_spread(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from curbline.llm import fingerprints
+
+    seen, attach = [], fingerprints.attach
+
+    def watched(rows, groups, key, size, total, salt, merge=False):
+        if merge:
+            most = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(*salt)).alias("salts"))
+            seen.extend((r["n"], r["salts"]) for r in most.collect())
+        return attach(rows, groups, key, size, total, salt, merge)
+
+    monkeypatch.setattr(fingerprints, "attach", watched)
+    docs = spark.createDataFrame([(None if i % 3 else 5, "hot text") for i in range(300)] + [(i, f"t{i}") for i in range(600)], "doc_id bigint, text string")
+    got = fingerprints.exact_dedup(docs).collect()
+    assert max(n for n, _ in seen) == 300 and all(n == salts for n, salts in seen)
+    assert len(got) == 900 and sum(r["kept"] for r in got) == 601
