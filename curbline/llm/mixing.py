@@ -4,7 +4,8 @@ The documents of a source lie in an order given by a hash of the row. Its part o
 mix is that order, gone through as often as the target asks, cut after the
 target's words and laid out in blocks of BLOCK_WORDS. A binary tree over the
 output shards splits the block counts of all sources: each node draws, without
-replacement, how many blocks of each source go left. A shard then takes the
+replacement, how many blocks of each source go left; many sources are drawn in
+chunks, first the chunks' totals, then the sources in each. A shard then takes the
 next so many blocks of each source's permuted blocks, so shards never overlap
 and every block goes somewhere, and shuffles what it got.
 
@@ -33,6 +34,8 @@ WEIGHTS, REPEATS = (1, 2, 3), 3
 #: Words of a block and of a shard; shards number LEAST_SHARDS at least.
 BLOCK_WORDS, SHARD_WORDS, LEAST_SHARDS = 1 << 14, 1 << 26, 16
 SEED = 20260101
+#: Sources whose blocks one task splits, about.
+SOURCES_AT_ONCE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,8 +74,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS)
     return table.select("_key", "_all", "_n", F.least(cap, F.col("_weight") * F.lit(level)).alias("_target"))
 
 
-def _tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) for each shard (rows)."""
+def _tree(quotas: np.ndarray, shards: int, seed: int | list[int], sizes: np.ndarray | None = None) -> np.ndarray:
+    """Blocks of each source (columns) for each shard (rows); ``sizes`` are the blocks of the shards, else about equal."""
+    if sizes is None:
+        sizes = _even(int(quotas.sum()), shards)
     out = np.zeros((shards, len(quotas)), np.int64)
     todo = [(0, shards, quotas)]
     while todo:
@@ -81,23 +86,51 @@ def _tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[low] = here
             continue
         middle = (low + high) // 2
-        n = int(here.sum()) * (middle - low) // (high - low)
-        draw = np.random.default_rng([seed, low, high])
-        left = draw.multivariate_hypergeometric(here, n, method="marginals")
+        draw = np.random.default_rng([*np.atleast_1d(seed), low, high])
+        left = draw.multivariate_hypergeometric(here, int(sizes[low:middle].sum()), method="marginals")
         todo += [(low, middle, left), (middle, high, here - left)]
     return out
 
 
-def allocate(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """``_key, _block, shard`` of every block of ``_key, _blocks``, which has one row per source."""
+def _even(blocks: int, shards: int) -> np.ndarray:
+    """Blocks of each shard, halved down the tree."""
+    out, todo = np.zeros(shards, np.int64), [(0, shards, blocks)]
+    while todo:
+        low, high, here = todo.pop()
+        if high - low == 1:
+            out[low] = here
+            continue
+        middle = (low + high) // 2
+        n = here * (middle - low) // (high - low)
+        todo += [(low, middle, n), (middle, high, here - n)]
+    return out
 
-    def split(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_key")
+
+def allocate(quotas: DataFrame, shards: int, seed: int = SEED, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
+    """``_key, _block, shard`` of every block of ``_key, _blocks``, which has one row per source.
+
+    Sources are dealt by hash into chunks of about ``at_once``. A first tree splits
+    the totals of the chunks, then each chunk's own tree splits its sources with
+    the sizes drawn for it: together one draw over all sources.
+    """
+    wanted = quotas.where("_blocks > 0").select("_key", "_blocks")
+    chunks = max(1, -(-wanted.count() // at_once))
+    dealt = wanted.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(chunks)))
+
+    def first(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_chunk")
         blocks = table.column("_blocks").to_numpy()
         by_shard = _tree(blocks, shards, seed)
+        return pa.table({"_chunk": table.column("_chunk"), "_sizes": pa.array(by_shard.T.tolist(), pa.list_(pa.int64()))})
+
+    def split(table: pa.Table, drawn: pa.Table) -> pa.Table:
+        table = table.sort_by("_key")
+        chunk = table.column("_chunk")[0].as_py()
+        blocks = table.column("_blocks").to_numpy()
+        by_shard = _tree(blocks, shards, [seed, chunk], np.array(drawn.column("_sizes")[0].as_py(), np.int64))
         ends = np.cumsum(by_shard, axis=0)
         # The place of block b is b * step + start modulo the source's blocks; back is the inverse of step.
-        draw = np.random.default_rng([seed, shards])
+        draw = np.random.default_rng([seed, shards, chunk])
         steps = []
         for n in blocks.tolist():
             step = max(1, int(n * draw.uniform(0.3, 0.7)))
@@ -115,9 +148,10 @@ def allocate(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
             "_start": pa.array([steps[i][1] for i in k], pa.int64()),
         })
 
-    ranges = (
-        quotas.where("_blocks > 0").select("_key", "_blocks").groupBy()
-        .applyInArrow(split, "_key string, shard int, _from bigint, _to bigint, _n bigint, _back bigint, _start bigint")
+    sums = dealt.groupBy("_chunk").agg(F.sum("_blocks").alias("_blocks"))
+    drawn = sums.groupBy().applyInArrow(first, "_chunk bigint, _sizes array<bigint>")
+    ranges = dealt.groupBy("_chunk").cogroup(drawn.groupBy("_chunk")).applyInArrow(
+        split, "_key string, shard int, _from bigint, _to bigint, _n bigint, _back bigint, _start bigint"
     )
     place = ranges.select("_key", "shard", "_n", "_back", "_start", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_place"))
     return place.select("_key", "shard", F.pmod((F.col("_place") - F.col("_start")) * F.col("_back"), F.col("_n")).alias("_block"))

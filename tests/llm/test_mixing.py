@@ -100,3 +100,24 @@ def test_first_words(spark):
     frame = spark.createDataFrame([("  a b\tc ", 2), ("a", None), (None, 1), ("é ü", 1)], "t string, n bigint")
     got = [r[0] for r in frame.select(M.first_words(F.col("t"), F.col("n"))).collect()]
     assert got == ["  a b", "a", None, "é"]
+
+
+def test_many_sources_are_split_in_chunks(spark):
+    blocks = {f"={k:03}": k % 7 + 1 for k in range(200)}
+    quotas = spark.createDataFrame(list(blocks.items()), "_key string, _blocks bigint")
+    one, many = (M.allocate(quotas, 8, at_once=n) for n in (1000, 20))
+    for got in (one.collect(), many.collect()):
+        shards = Counter(r["shard"] for r in got)
+        assert max(shards.values()) - min(shards.values()) <= 3
+        held = defaultdict(list)
+        for r in got:
+            held[r["_key"]].append(r["_block"])
+        assert {k: sorted(v) for k, v in held.items()} == {k: list(range(n)) for k, n in blocks.items()}
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, M.allocate(quotas.repartition(3), 8, at_once=20).collect()))
+    # No task splits more than its chunk: the sources of a group as the plan deals them.
+    dealt = quotas.groupBy(F.pmod(F.xxhash64("_key", F.lit(M.SEED)), F.lit(10))).count()
+    assert dealt.agg(F.max("count")).first()[0] < 50
+    # With the sizes given, rows and columns add up.
+    by_source, given = np.array([3, 5, 9]), np.array([4, 4, 4, 5])
+    drawn = M._tree(by_source, 4, [1, 2], given)
+    assert (drawn.sum(axis=0) == by_source).all() and (drawn.sum(axis=1) == given).all()
