@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curbline.llm import (
-    fingerprints, language, license_rules, mixing, packing, quality, secret_ledger, signature_join, topk, warc_store,
+    fingerprints, language, license_rules, mixing, packing, quality, run_detection, secret_ledger, signature_join, spelling,
+    topk, toxicity, warc_store,
 )
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,9 @@ _register("op7_packing", "documents", packing.op7)
 _register("op8_topk_search", "embeddings", topk.op8)
 _register("op9_quality", "documents", quality.op9, "labels")
 _register("op10_signature_join", "documents", signature_join.op10)
+_register("op11_periodic_runs", "documents", run_detection.op11)
+_register("op12_toxicity", "documents", toxicity.op12, "labels")
+_register("op13_spelling_groups", "documents", spelling.op13)
 
 SQL["op2_exact_dedup"] = """
 SELECT doc_id,
