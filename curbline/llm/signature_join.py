@@ -7,14 +7,18 @@ node sends a short prefix, and nodes that share a prefix shingle form a group.
 Groups of the same members are kept once.
 
 First, each node is compared with one centre of its groups, the one it shares most
-of them with; exact comparisons give links, and links give components. What is
-left are pairs
-of different components within a group. There the nodes become leaves of a
-signature tree, whose inner nodes hold the OR of the leaves' token bitmaps and
-their range of sizes; a dual traversal drops pairs of tree nodes whose largest
-possible overlap cannot reach the threshold, or that lie in one component. The
-pairs that survive are compared exactly. No link between components is lost;
-pairs within a component need no comparison.
+of them with; exact comparisons give links, and links give components. What is left
+are pairs of different components within a group. Groups of one pivot (their smallest
+node) are then one family, and its nodes become leaves of a signature tree, whose
+inner nodes hold the OR of the leaves' token bitmaps and their range of sizes; a dual
+traversal drops pairs of tree nodes whose largest possible overlap cannot reach the
+threshold, or that lie in one component. Nodes of pairs that survive meet once more
+with their sets, in the same blocks: there the pairs are compared exactly, by bits of
+the members that several sets have, and a link is put out only when it joins two
+components of the block. No link between components is lost, pairs within a component
+need no comparison, and no pair is ever stored: a block puts out fewer rows than it
+has nodes. The comparisons of a family of sets that share most of their members and
+yet do not link remain, block by block.
 
 Defined results: null is the empty text; a text without words has no shingle, is
 linked with nothing and is its own component; a text of fewer words than a
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm.common import attach, bounded_batches, total_of, whole
@@ -43,16 +47,14 @@ from curbline.session import cut
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 2000, 64, 1 << 20
 #: Shingles counted together in a task before the repeated ones are sent on.
 COUNTED = 1 << 21
-#: Postings of one group-forming task, nodes in one block of a large group, rows of one tree task.
-POSTINGS, BLOCK, TREE_ROWS = 1 << 19, 1024, 1 << 13
-#: Bytes of signatures compared at a time, of either side.
+#: Postings of one group-forming task; nodes, and members of their sets, in one block of a large family; the same of one tree task.
+POSTINGS, BLOCK, BLOCK_MEMBERS, TREE_ROWS, TREE_MEMBERS = 1 << 19, 1024, 1 << 20, 1 << 13, 1 << 21
+#: Bytes of signatures, or of exact bitmaps, compared at a time, of either side.
 COMPARED = 1 << 22
 #: Bits of a signature: LEAST_BITS, or the power of two of at least BITS_EACH for each member; leaves under a tree node.
 LEAST_BITS, BITS_EACH, FAN = 512, 2, 8
 #: Star rounds before the trees: each compares a node with one other one of its groups.
 STARS = 1
-#: After the trees: so many pairs of any two components are compared first, then all that are left.
-SAMPLES = (4,)
 #: Pairs that meet one copy of a set in the exact comparison.
 PAIRS_A_COPY = 256
 #: Bits of the bitmap that tells which texts are looked at again: 8 MB, sent to all tasks.
@@ -396,39 +398,139 @@ def _by_width(bits, sizes, spare, width, component, rule: Rule) -> tuple[np.ndar
     return both[:, 0], both[:, 1]
 
 
-def _across(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs ``a < b`` of members ``token, key, component, n_group`` of one group that could link across components ``ca < cb``."""
-    blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    rows = members.withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), blocks - 1))}).join(
-        nodes.select(F.col("key").alias("_k"), "n", "bits"), F.col("key") == F.col("_k")
-    ).select(
-        "token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "key", "component", "n", "bits"
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members ``pivot, key, component`` of families, once for each block pair ``i <= j`` of their family that they take part in.
+
+    Each pair of a family's blocks is a piece of work, with ``own`` the block of the row.
+    """
+    rows = members.select("pivot", "key", "component").distinct().join(nodes.select(F.col("key").alias("_k"), "n"), F.col("key") == F.col("_k")).drop("_k")
+    rows = cut(rows)
+    families = cut(rows.groupBy("pivot").agg(F.count("*").alias("n_family"), F.sum("n").alias("n_members")))
+    rows = attach(rows, families, "pivot", "n_family", total_of(families, "n_family"), ["key"])
+    blocks = F.greatest(F.ceil(F.col("n_family") / BLOCK), F.least(F.ceil(F.col("n_members") / BLOCK_MEMBERS), F.col("n_family"))).cast("int")
+    return rows.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select(
+        "pivot", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "key", "component", "n"
     )
-    tasks = max(1, -(-(members.agg(F.sum(F.ceil(F.col("n_group") / BLOCK))).first()[0] or 0) // TREE_ROWS))
-    rows = rows.withColumn("_task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Block pairs dealt to tasks of bounded rows and members."""
+    size = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("members")).first()
+    tasks = max(1, -(-size["rows"] // TREE_ROWS), -(-(size["members"] or 0) // TREE_MEMBERS))
+    return rows.withColumn("_task", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(tasks)))
+
+
+_IN_ORDER = [(c, "ascending") for c in ("pivot", "i", "j", "component", "n", "key")]
+
+
+def _possible_pairs(table: pa.Table, bits: list[bytes], rule: Rule) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row of each block pair of the ordered table, and the pairs of its rows that could link."""
+    pivot, i, j, own, component, n = [table.column(c).to_numpy() for c in ("pivot", "i", "j", "own", "component", "n")]
+    spare, width = _spare(bits, n), np.array([len(b) for b in bits])
+    cuts = np.flatnonzero((pivot[1:] != pivot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pivot)]):
+        x, y = _by_width(bits[s:e], n[s:e], spare[s:e], width[s:e], component[s:e], rule)
+        if i[s] != j[s]:  # pairs within a block are found where it meets itself
+            cross = own[s + x] != own[s + y]
+            x, y = x[cross], y[cross]
+        yield s, e, x, y
+
+
+def _open_nodes(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of block pairs that are in a pair which could link, by the signature trees."""
+    with_bits = _dealt(rows.join(nodes.select(F.col("key").alias("_k"), "bits"), F.col("key") == F.col("_k")).drop("_k"))
+    kept = ["pivot", "i", "j", "own", "key", "component", "n"]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("component", "ascending"), ("n", "ascending"), ("key", "ascending")])
-        token, i, j, own_, key, component, n = [table.column(c).to_numpy() for c in ("token", "i", "j", "_own", "key", "component", "n")]
+        table = table.sort_by(_IN_ORDER)
         bits = table.column("bits").to_pylist()
-        del table
-        spare, width = _spare(bits, n), np.array([len(b) for b in bits])
-        cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        found = []
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
-            x, y = _by_width(bits[s:e], n[s:e], spare[s:e], width[s:e], component[s:e], rule)
-            if i[s] != j[s]:  # pairs within a block are found where it meets itself
-                cross = own_[s + x] != own_[s + y]
-                x, y = x[cross], y[cross]
+        table = table.select(kept)
+        some = np.zeros(table.num_rows, bool)
+        for s, _, x, y in _possible_pairs(table, bits, rule):
+            some[s + x] = some[s + y] = True
+        return table.filter(pa.array(some))
+
+    return with_bits.groupBy("_task").applyInArrow(run, "pivot bigint, i int, j int, own int, key bigint, component bigint, n bigint")
+
+
+def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Members that the sets of each pair have in common, exactly, by a bit for each member that several sets have."""
+    used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = place[: len(x)], place[len(x) :]
+    sizes = np.array([len(sets[k]) for k in used])
+    value, column = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), sizes)
+    shared = np.bincount(column, minlength=len(value)) > 1
+    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros(len(x), np.int64)
+    some = max(64, COMPARED // max(len(used), 1) * 8 // 64 * 64)  # columns at a time
+    for first in range(0, int(shared.sum()), some):
+        a, b = np.searchsorted(column, [first, first + some])
+        width = min(some, int(column[b - 1]) - first + 1) if b > a else 0
+        if not width:
+            continue
+        flags = np.zeros((len(used), -(-width // 64) * 64), bool)
+        flags[row[a:b], column[a:b] - first] = True
+        words = np.packbits(flags, axis=1).view(np.uint64)
+        del flags
+        step = max(1, COMPARED // (8 * words.shape[1]))
+        for k in range(0, len(x), step):
+            common[k : k + step] += np.bitwise_count(words[x[k : k + step]] & words[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return common
+
+
+class Joined:
+    """Components that links have joined so far."""
+
+    def __init__(self, component: np.ndarray):
+        _, self.at = np.unique(component, return_inverse=True)
+        self.to = np.arange(int(self.at.max(initial=-1)) + 1)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        while True:
+            further = self.to[self.to]
+            if (further == self.to).all():
+                return self.to[self.at[rows]]
+            self.to = further
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.at[a], self.at[b]
+        while self.to[a] != a:
+            a = self.to[a]
+        while self.to[b] != b:
+            b = self.to[b]
+        self.to[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _across(members: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Links ``a, b`` that join components, of members ``pivot, key, component`` of one family: all that are needed to join them."""
+    open_ = cut(_open_nodes(_blocks(members, nodes), nodes, rule))
+    sets = cut(_members(docs, nodes, open_.select(F.col("key").alias("a"), F.col("key").alias("b")), rule))
+    with_sets = _dealt(open_.join(sets.select(F.col("key").alias("_k"), "members"), F.col("key") == F.col("_k")).drop("_k"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(_IN_ORDER)
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+        key, component, n = [table.column(c).to_numpy() for c in ("key", "component", "n")]
+        bits = [b for m in sets for b in _signatures(np.array([len(m)]), m)]
+        joined, links = Joined(component), []
+        for s, _, x, y in _possible_pairs(table, bits, rule):
             x, y = s + x, s + y
-            a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
-            ca, cb = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
-            found.append(np.column_stack([a, b, ca, cb])[a != b])
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
-        return pa.table({c: pa.array(both[:, k]) for k, c in enumerate(("a", "b", "ca", "cb"))})
+            while len(x):  # pairs that one link makes needless are left out of the next round
+                some = min(len(x), 1 << 16)
+                apart = joined.of(x[:some]) != joined.of(y[:some])
+                a, b = x[:some][apart], y[:some][apart]
+                x, y = x[some:], y[some:]
+                if len(a):
+                    reach = rule.reaches(_overlaps(sets, a, b), n[a] + n[b])
+                    links += [(key[p], key[q]) for p, q in zip(a[reach].tolist(), b[reach].tolist()) if joined.join(p, q)]
+        both = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both.min(axis=1)), "b": pa.array(both.max(axis=1))})
 
-    return rows.groupBy("_task").applyInArrow(run, "a bigint, b bigint, ca bigint, cb bigint").distinct()
+    return with_sets.groupBy("_task").applyInArrow(run, "a bigint, b bigint")
 
 
 def _star(inside: DataFrame, turn: int) -> DataFrame:
@@ -450,20 +552,6 @@ def _star(inside: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _some(pairs: DataFrame, most: int) -> DataFrame:
-    """At most so many pairs between any two components, by hash."""
-    first = Window.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"), "a", "b")
-    return pairs.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose components are still two, with what these have become part of."""
-    for c in ("ca", "cb"):
-        moved = found.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
-        pairs = pairs.join(moved, F.col(c) == F.col("_node"), "left").withColumn(c, F.coalesce("_to", c)).drop("_node", "_to")
-    return pairs.where("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
-
-
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``id, h`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (its number; null without words) of every row."""
     bounded_batches(docs)
@@ -497,7 +585,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
         found = components(links)
         placed = cut(
             members.join(found, F.col("key") == F.col("node"), "left")
-            .select("token", "key", "n_group", "weight", F.coalesce("component", "key").alias("component"))
+            .select("token", "pivot", "key", "n_group", "weight", F.coalesce("component", "key").alias("component"))
         )
         spans = cut(
             placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
@@ -507,7 +595,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
         return found, cut(inside)
 
     links = None
-    inside = cut(members.select("token", "key", "n_group", "weight", F.col("key").alias("component")))
+    inside = cut(members.select("token", "pivot", "key", "n_group", "weight", F.col("key").alias("component")))
     for turn in range(STARS + 1):
         if inside.isEmpty():
             break
@@ -516,18 +604,9 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
             more = cut(_links(cut(likely), texts, nodes, rule))
             links = more if links is None else links.unionByName(more)
             found, inside = place(links)
-        else:  # every pair between components that the trees leave possible
-            left = cut(_across(inside, nodes, rule))
-            for some in (*SAMPLES, None):
-                if left.isEmpty():
-                    break
-                # A few pairs of any two components first: one link makes the others needless.
-                tried = left if some is None else cut(_some(left, some))
-                more = cut(_links(tried.select("a", "b"), texts, nodes, rule))
-                links = links.unionByName(more)
-                found = components(links)
-                if some is not None:
-                    left = cut(_apart(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), found))
+        else:  # the links between components that the trees leave possible
+            links = links.unionByName(cut(_across(inside, texts, nodes, rule)))
+            found = components(links)
     if links is None:
         found = nodes.select(F.col("key").alias("node"), F.col("key").alias("component"))
 

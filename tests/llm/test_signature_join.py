@@ -74,7 +74,9 @@ def run(spark, rows, **more):
 @pytest.mark.parametrize("seed, limits", [(1, {}), (2, {"heavy_least": 3}), (3, {"heavy_least": 3, "small": True})])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, limits):
     if limits.pop("small", False):
-        for name, value in (("BLOCK", 7), ("PAIRS_A_COPY", 3), ("POSTINGS", 50), ("COUNTED", 100), ("HEAVY_MOST", 5)):
+        for name, value in (
+            ("BLOCK", 7), ("BLOCK_MEMBERS", 300), ("TREE_ROWS", 40), ("COMPARED", 512), ("PAIRS_A_COPY", 3), ("POSTINGS", 50), ("COUNTED", 100), ("HEAVY_MOST", 5)
+        ):
             monkeypatch.setattr(S, name, value)
     rows = corpus(seed) + [(None, None), (None, "one two"), (900, None), (5, "one two"), (7, "one two")]
     rows += [(901, corpus(seed)[70][1])] * 3
@@ -131,3 +133,32 @@ def test_components_of_random_links(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {n: find(n) for n in list(place)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_overlaps_are_exact(monkeypatch):
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 400, draw.integers(1, 300)).astype(np.uint64)) for _ in range(30)]
+    x, y = draw.integers(0, 30, 200), draw.integers(0, 30, 200)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert S._overlaps(sets, x, y).tolist() == want
+    monkeypatch.setattr(S, "COMPARED", 256)
+    assert S._overlaps(sets, x, y).tolist() == want
+    apart = [np.array([k], np.uint64) for k in range(4)]
+    assert S._overlaps(apart, np.array([0, 1]), np.array([2, 3])).tolist() == [0, 0]
+
+
+def family(draw, members, size, changed):
+    base = [f"b{draw.randrange(10**9)}" for _ in range(size)]
+    return [" ".join(w if k not in cut else f"n{draw.randrange(10**9)}" for k, w in enumerate(base)) for cut in (set(draw.sample(range(size), changed)) for _ in range(members))]
+
+
+def test_a_family_below_the_threshold_gives_few_rows(spark, monkeypatch):
+    """400 texts, Jaccard about 0.75 for any two: no link, and no rows but links."""
+    draw = random.Random(12)
+    texts = family(draw, 400, 400, 6) + family(draw, 3, 200, 1)
+    rows = []
+    across = S._across
+    monkeypatch.setattr(S, "_across", lambda *a: (lambda got: (rows.append(got.count()), got)[1])(across(*a)))
+    got = run(spark, list(enumerate(texts)))
+    assert got == brute(list(enumerate(texts)))
+    assert rows and rows[0] < 400
