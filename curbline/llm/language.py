@@ -3,8 +3,12 @@
 Features are counts of byte n-grams of the letters of the whole text, hashed,
 square-rooted and scaled to length 1. Linear support vector machines, one
 against one, vote first for a language family; within the family, one against
-one again, for the language. The machines are fitted on a bounded sample of the
-labelled rows, chosen by a hash of the text; the prediction runs over all rows.
+one again, for the language: a text never meets the machines of other families.
+Labels beyond the table of families form families of their own by what their texts
+have in common, about as many as the square root of their number, so the machines
+stay few. They are fitted on a bounded sample of the labelled rows, chosen by a hash
+of the text; the prediction runs over all rows, a bounded number at a time. More
+than ``MOST_LABELS`` labels are an error: such a column does not hold languages.
 
 Defined results: a null text, or one without a letter, is UNKNOWN with score 0;
 with no labelled rows every text is; with one language every text with letters
@@ -14,6 +18,7 @@ empty text in the held-out test; extra columns stay as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -29,7 +34,7 @@ from curbline.llm.text_arrays import LOWER, parts
 from curbline.session import cut
 
 UNKNOWN = "und"
-#: Families of ISO 639-1 codes; any other label is a family of its own.
+#: Families of ISO 639-1 codes.
 FAMILIES = {
     "germanic": ("da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
@@ -42,6 +47,10 @@ FAMILIES = {
 WIDTH = 2048
 #: Labelled texts to fit on: so many in all at most, the same number for each language, but one at least.
 SAMPLE_ROWS = 6000
+#: Labels at most, and other labels than those of the table that stay families of their own.
+MOST_LABELS, ALONE = 1000, 4
+#: Texts whose features are made at a time.
+BLOCK_ROWS = 256
 
 _LETTER = LOWER.copy()
 _LETTER[: ord("A")] = _LETTER[ord("Z") + 1 : ord("a")] = _LETTER[ord("z") + 1 : 128] = 32
@@ -49,7 +58,7 @@ _LETTER[: ord("A")] = _LETTER[ord("Z") + 1 : ord("a")] = _LETTER[ord("z") + 1 :
 
 def features(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Rows of features, a block at a time."""
-    for a, b, data, offsets in parts(column):
+    for a, b, data, offsets in parts(column, rows=BLOCK_ROWS):
         rows = b - a
         if not len(data):
             yield np.zeros((rows, width), np.float32)
@@ -117,12 +126,14 @@ class Hierarchy:
         best = votes.argmax(axis=1)
         return best, worst[np.arange(rows), best]
 
+    def _margins(self, names: list[str], x: np.ndarray) -> dict:
+        return {k: x @ self.machines[k][:-1] + self.machines[k][-1] for k in combinations(names, 2)}
+
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         rows, names = len(x), list(self.families)
         if not names:
             return [UNKNOWN] * rows, np.zeros(rows)
-        margins = {k: x @ w[:-1] + w[-1] for k, w in self.machines.items()}
-        family, p = self._vote(names, margins) if len(names) > 1 else (np.zeros(rows, int), np.ones(rows))
+        family, p = self._vote(names, self._margins(names, x)) if len(names) > 1 else (np.zeros(rows, int), np.ones(rows))
         out, score = np.empty(rows, object), p.copy()
         for k, name in enumerate(names):
             here = np.flatnonzero(family == k)
@@ -130,18 +141,37 @@ class Hierarchy:
             if len(own) == 1:
                 out[here] = own[0]
             elif len(here):
-                best, q = self._vote(own, {m: v[here] for m, v in margins.items()})
+                best, q = self._vote(own, self._margins(own, x[here]))
                 out[here] = np.array(own, object)[best]
                 score[here] *= q
         return list(out), score
 
 
-def fit(x: np.ndarray, labels: np.ndarray) -> Hierarchy:
+def _families(x: np.ndarray, labels: np.ndarray) -> dict[str, str]:
+    """The family of each label: from the table, or by clusters of the labels' mean features."""
     known = {code: name for name, codes in FAMILIES.items() for code in codes}
+    others = sorted({lang for lang in labels if lang not in known})
+    out = {lang: known[lang] for lang in sorted(set(labels)) if lang in known}
+    if len(others) <= ALONE:
+        return out | {lang: f"={lang}" for lang in others}
+    centre = np.stack([x[labels == lang].mean(axis=0) for lang in others])
+    chosen = [0]  # farthest first
+    while len(chosen) < math.ceil(math.sqrt(len(others))):
+        gap = ((centre[:, None] - centre[chosen]) ** 2).sum(-1).min(axis=1)
+        chosen.append(int(gap.argmax()))
+    means = centre[chosen]
+    for _ in range(10):
+        near = ((centre[:, None] - means) ** 2).sum(-1).argmin(axis=1)
+        means = np.stack([centre[near == k].mean(axis=0) if (near == k).any() else means[k] for k in range(len(means))])
+    return out | {lang: f"={others[chosen[k]]}" for lang, k in zip(others, near.tolist())}
+
+
+def fit(x: np.ndarray, labels: np.ndarray) -> Hierarchy:
+    known = _families(x, labels)
     model = Hierarchy()
     for lang in sorted(set(labels)):
-        model.families.setdefault(known.get(lang, f"={lang}"), []).append(lang)
-    family = np.array([known.get(lang, f"={lang}") for lang in labels], object)
+        model.families.setdefault(known[lang], []).append(lang)
+    family = np.array([known[lang] for lang in labels], object)
 
     def pair(names: np.ndarray, a: str, b: str) -> None:
         rows = (names == a) | (names == b)
@@ -166,9 +196,11 @@ def sample(labelled: DataFrame, text: str = "text", label: str = "lang", rows: i
         F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")
     )
     pairs = cut(usable.select("_label", "_hash").distinct())
-    counts = [(r["_label"], r["count"]) for r in pairs.groupBy("_label").count().collect()]
+    counts = [(r["_label"], r["count"]) for r in pairs.groupBy("_label").count().limit(MOST_LABELS + 1).collect()]
     if not counts:
         return None
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{label} has more than {MOST_LABELS} labels")
     each = max(1, rows // len(counts))
     # A few more than enough pass by their rate, so that no label is ranked whole.
     spare = each + 10 * each**0.5 + 20

@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbline.llm.common import attach, bounded_batches, total_of, whole
@@ -398,13 +398,16 @@ def _by_width(bits, sizes, spare, width, component, rule: Rule) -> tuple[np.ndar
     return both[:, 0], both[:, 1]
 
 
-def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Members ``pivot, key, component`` of families, once for each block pair ``i <= j`` of their family that they take part in.
 
     Each pair of a family's blocks is a piece of work, with ``own`` the block of the row.
     """
-    rows = members.select("pivot", "key", "component").distinct().join(nodes.select(F.col("key").alias("_k"), "n"), F.col("key") == F.col("_k")).drop("_k")
-    rows = cut(rows)
+    rows = cut(members.select("pivot", "key", "component").distinct().join(nodes.select(F.col("key").alias("_k"), "n"), F.col("key") == F.col("_k")).drop("_k"))
+    # A node whose nearest sizes in the family are too far off has no partner there.
+    by_size = Window.partitionBy("pivot").orderBy("n", "key")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * rule.percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * rule.percent)
+    rows = cut(rows.withColumn("_near", near).where("_near").drop("_near"))
     families = cut(rows.groupBy("pivot").agg(F.count("*").alias("n_family"), F.sum("n").alias("n_members")))
     rows = attach(rows, families, "pivot", "n_family", total_of(families, "n_family"), ["key"])
     blocks = F.greatest(F.ceil(F.col("n_family") / BLOCK), F.least(F.ceil(F.col("n_members") / BLOCK_MEMBERS), F.col("n_family"))).cast("int")
@@ -507,7 +510,7 @@ class Joined:
 
 def _across(members: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a, b`` that join components, of members ``pivot, key, component`` of one family: all that are needed to join them."""
-    open_ = cut(_open_nodes(_blocks(members, nodes), nodes, rule))
+    open_ = cut(_open_nodes(_blocks(members, nodes, rule), nodes, rule))
     sets = cut(_members(docs, nodes, open_.select(F.col("key").alias("a"), F.col("key").alias("b")), rule))
     with_sets = _dealt(open_.join(sets.select(F.col("key").alias("_k"), "members"), F.col("key") == F.col("_k")).drop("_k"))
 

@@ -26,8 +26,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, bytes and offsets of runs of texts, of ``most`` bytes unless one text is longer."""
+def parts(column: pa.Array, most: int = 1 << 21, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row, bytes and offsets of runs of texts, of ``most`` bytes unless one text is longer, and ``rows`` texts."""
     if not len(column):
         return
     large = pa.types.is_large_string(column.type)
@@ -38,6 +38,7 @@ def parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = min(b, a + rows) if rows else b
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

@@ -91,3 +91,57 @@ def test_sample_is_of_different_texts(spark):
     assert drawn(hot, 6) == {("en", "the same words"): 1}
     assert L.train(hot, rows=6).families == {"germanic": ["en"]}
     assert not drawn(few.where("lang IS NULL"), 6)
+
+
+def plain_features(text, width):
+    """Counts of n-grams one by one."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())]
+    x = np.zeros(width)
+    for n in (1, 2, 3):
+        for k in range(len(data) - n + 1):
+            gram = 0
+            for b in data[k : k + n]:
+                gram = (gram * 257 + b) % (1 << 32)
+            x[((gram * 2654435761 + n * 40503) % (1 << 32) >> 16) % width] += 1
+    x = np.sqrt(x)
+    return x / max(np.sqrt((x * x).sum()), 1e-9)
+
+
+def test_features_equal_plain_counts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "BLOCK_ROWS", 2)
+    texts = ["The cat, 12 Öl!", "", "a", "ab", "żółw i ŻÓŁW", "x" * 300]
+    got = np.concatenate(list(L.features(pa.array(texts), 64)))
+    assert np.allclose(got, [plain_features(t, 64) for t in texts], atol=1e-6)
+
+
+def test_machine_reaches_the_least_loss():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(80, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * draw.normal(size=80) > 0, 1.0, -1.0)
+    z = np.hstack([x, np.ones((80, 1))])
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def loss(w):
+        return 0.5e-3 * w @ w + 10 * (share * np.maximum(0, 1 - y * (z @ w)) ** 2).sum()
+
+    w = np.zeros(6)
+    for _ in range(20_000):  # plain gradient steps
+        gap = np.maximum(0, 1 - y * (z @ w))
+        w = w - 0.01 * (1e-3 * w - 2 * z.T @ (10 * share * y * gap))
+    assert loss(L.fit_machine(x, y, rounds=600)) < loss(w) * 1.01 + 1e-4
+
+
+def test_many_labels_and_their_families(spark):
+    draw = np.random.default_rng(9)
+    centre = {f"q{k:03d}": draw.normal(size=40) + 8 * np.eye(40)[k % 12] for k in range(100)}
+    labels = np.array([lang for lang in centre for _ in range(4)], object)
+    x = np.stack([centre[lang] + 0.05 * draw.normal(size=40) for lang in labels]).astype(np.float32)
+    model = L.fit(x, labels)
+    assert len(model.families) <= 10 and len(model.machines) < 1000
+    got, score = model.predict(x)
+    assert (np.array(got, object) == labels).mean() > 0.97 and ((score >= 0) & (score <= 1)).all()
+    rows = spark.range(L.MOST_LABELS + 5).selectExpr("id as doc_id", "concat('text ', id) as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        L.train(rows)
