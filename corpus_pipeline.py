@@ -18,7 +18,7 @@ from curbline.session import cut, fresh_path
 #: Trained models, hashed order and best fit have no SQL form.
 ORACLE_SQL = None
 
-_KEY, _ROW = "__stage_key", "__stage_row"
+_KEY, _ROW, _GUESS = "__stage_key", "__stage_row", "__stage_lang"
 
 
 def _key(*columns: Column) -> Column:
@@ -33,27 +33,34 @@ def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go.
+    """Documents whose language can be told; those without a letter go. A null ``lang`` becomes the language found.
 
-    With no labelled text to learn from, no language can be told apart, and all
-    documents with a letter stay.
+    With no labelled text to learn from, no language can be told apart: all
+    documents with a letter stay, and their ``lang`` too. Empty and null texts
+    have no letter; repeated rows stay or go together.
     """
     learn = docs.where(crc_mod("doc_id", 4) != 2)
     model = language.train(learn)
     if not model.families:
         return docs.where(language.has_letter("text"))
-    guess = language.guess_column(model)
-    return docs.where(guess["lang"] != language.UNKNOWN)
+    guessed = docs.withColumn(_GUESS, language.guess_column(model)["lang"]).where(F.col(_GUESS) != language.UNKNOWN)
+    return guessed.withColumn("lang", F.coalesce("lang", _GUESS)).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that with the largest id."""
+    """One document of each text, that with the largest id; null and empty texts are one text, a null id is the smallest.
+
+    Of rows with one id and one text, one stays, whichever a hash of the row puts first.
+    """
     kept = fingerprints.exact_dedup(docs).where("kept").select(_key(F.col("doc_id"), F.col("text_sha256")).alias(_KEY))
     return _only(docs, _key(F.col("doc_id"), F.sha2(whole("text"), 256)), kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; texts without words stay."""
+    """One document of each group of near copies, that with the smallest id (a null id comes last); texts without words stay.
+
+    Of rows with one id and one text, one stays.
+    """
     groups = signature_join.join(docs)
     first = groups.where("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
@@ -65,7 +72,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that it takes, the text cut where it takes part of one."""
+    """The mix: a row for each copy that it takes, the text cut where it takes part of one.
+
+    Documents without words are taken by no mix and go; repeated rows are rows of
+    their own; null is a source.
+    """
     stored = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()))
     rows = cut(stored.select(
         F.col(_ROW).alias("_row"), F.col("source").alias("_source"), mixing.n_words("text").alias("_size"),
@@ -85,7 +96,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; a null text is empty, each row is a document."""
     return packing.pack(packing.pieces(docs, packing.vocabulary()))
 
 
