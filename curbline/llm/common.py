@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,23 @@ def bounded_batches(frame: DataFrame, size: str = "8m") -> None:
         conf.set(key, size)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task; when it ends, what it freed goes back to the system.
+
+    Workers live on after their tasks, and the allocator would keep the most that any of them held.
+    """
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another allocator
+            pass
+
+    return inner
+
+
 def total_of(groups: DataFrame, size: str) -> int:
     return groups.agg(F.sum(size)).first()[0] or 0
 

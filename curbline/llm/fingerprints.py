@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, bounded_batches, total_of, whole
+from curbline.llm.common import attach, bounded_batches, tidy, total_of, whole
 from curbline.session import cut
 
 #: Bytes of a chunk; 2^16 products of a byte and a 31-bit power sum to less than 2^63.

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curbline.llm.common import bounded_batches, crc_mod, whole
+from curbline.llm.common import bounded_batches, crc_mod, tidy, whole
 from curbline.llm.text_arrays import LOWER, parts
 from curbline.session import cut
 
@@ -225,7 +225,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
             x = [row.tobytes() for block in features(batch.column("_text"), width) for row in block]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.binary())], names=["_label", "_x"])
 
-    got = chosen.mapInArrow(vectors, "_label string, _x binary").toArrow()
+    got = chosen.mapInArrow(tidy(vectors), "_label string, _x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.float32).reshape(-1, width)
     labels = np.array(got.column("_label").to_pylist(), object)
     order = sorted(range(len(labels)), key=lambda i: (labels[i], x[i].tobytes()))  # the same fit whatever the order of rows
@@ -235,8 +235,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
 def guess_column(model: Hierarchy, text: str = "text", width: int = WIDTH) -> Column:
     """The prediction as one column: struct of lang and score."""
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def guesses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             langs, scores = [], []
             for x in features(column, width):
@@ -246,8 +245,13 @@ def guess_column(model: Hierarchy, text: str = "text", width: int = WIDTH) -> Co
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(guesses)(batches)
+
     unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
-    return F.when(has_letter(text), guess(whole(text))).otherwise(unknown)
+    # Not deterministic for the planner: a filter on the result must not evaluate it a second time.
+    return F.when(has_letter(text), guess.asNondeterministic()(whole(text))).otherwise(unknown)
 
 
 def predict(docs: DataFrame, model: Hierarchy, text: str = "text", width: int = WIDTH) -> DataFrame:

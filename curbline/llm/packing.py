@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import bounded_batches, whole
+from curbline.llm.common import bounded_batches, tidy, whole
 from curbline.llm.text_arrays import Words, parts
 from curbline.session import cut
 
@@ -33,7 +33,7 @@ END = 2
 #: Pieces shorter than a sequence in one packing group, about.
 GROUP = 8_192
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ſ"
 _S = r"\t\n\x0b\x0c\r "
@@ -228,7 +228,7 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
-    return docs.select(F.col(id).alias("_id"), whole(text).alias("_text")).mapInArrow(cut_up, schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("_id"), whole(text).alias("_text")).mapInArrow(tidy(cut_up), schema).withColumnRenamed("id", id)
 
 
 def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import bounded_batches, whole
+from curbline.llm.common import bounded_batches, tidy, whole
 from curbline.llm.text_arrays import Words, mix, parts
 
 #: Periods up to so many words are found by direct scans; a power of two.
@@ -266,7 +266,7 @@ def detect(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule =
 
     rows = docs.select(F.col(id).alias("_id"), whole(id).alias("_key"), whole(text).alias("_text"))
     schema = ", ".join(f"{c} {'string' if t == pa.string() else 'bigint'}" for c, t in _COLUMNS.items())
-    return rows.mapInArrow(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id)
+    return rows.mapInArrow(tidy(run), f"_id {kind}, {schema}").withColumnRenamed("_id", id)
 
 
 def op11(spark: SparkSession, docs: DataFrame) -> DataFrame:

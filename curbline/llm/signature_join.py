@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curbline.llm.common import attach, bounded_batches, total_of, whole
+from curbline.llm.common import attach, bounded_batches, tidy, total_of, whole
 from curbline.llm.components import components
 from curbline.llm.text_arrays import LOWER, Words, mix, parts, shingles
 from curbline.session import cut
@@ -165,7 +165,7 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
             yield repeated()
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h bigint, n bigint, key bigint, bits binary, token bigint, df bigint")
+    return docs.mapInArrow(tidy(run), f"id {kind}, h bigint, n bigint, key bigint, bits binary, token bigint, df bigint")
 
 
 def _heavy(survey: DataFrame, n_docs: int, heavy_least: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def _shared(docs: DataFrame, rule: Rule, heavy: np.ndarray, n_buckets: int) -> D
             token, key = token[several], key[several]
         return pa.table({"token": _long(token), "key": _long(key)})
 
-    sent_out = docs.select("_text").mapInArrow(run, "bucket bigint, postings binary")
+    sent_out = docs.select("_text").mapInArrow(tidy(run), "bucket bigint, postings binary")
     return sent_out.groupBy("bucket").applyInArrow(meet, "token bigint, key bigint")
 
 
@@ -270,7 +270,7 @@ def _members(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) ->
                 )
 
     rows = docs.select(F.xxhash64("_id", "_h").alias("r"), "_text")
-    return rows.mapInArrow(run, "key bigint, members binary")
+    return rows.mapInArrow(tidy(run), "key bigint, members binary")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -293,7 +293,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     joined = _joined(_joined(pairs, sides[1], "b"), sides[0], "a")
-    return joined.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _joined(pairs: DataFrame, side_rows: DataFrame, side: str) -> DataFrame:
@@ -330,7 +330,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> D
 
     sides = [sets.select(F.col("key").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab"]
     joined = _joined(_joined(pairs, sides[1], "b"), sides[0], "a")
-    return joined.select("a", "b", "members_a", "members_b").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "members_a", "members_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 class Tree:

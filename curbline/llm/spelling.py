@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import bounded_batches, whole
+from curbline.llm.common import bounded_batches, tidy, whole
 from curbline.session import cut
 
 #: Letter groups in the order of the levels, of about the same share of Latin text; other letters are one more.
@@ -109,7 +109,7 @@ def word_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
             yield counted()
 
     rows = docs.select(whole(id).alias("_key"), whole(text).alias("_text"))
-    return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Letters:
@@ -300,7 +300,7 @@ def _heavy(words: DataFrame, most: int) -> dict[bytes, int]:
                 vectors, n = np.unique(Letters(batch.column("word").to_pylist()).vectors(), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_prefix(vectors), pa.binary()), pa.array(n)], names=["vector", "n"])
 
-    vectors = words.select("word").mapInArrow(run, "vector binary, n bigint").groupBy("vector").agg(F.sum("n").alias("n"))
+    vectors = words.select("word").mapInArrow(tidy(run), "vector binary, n bigint").groupBy("vector").agg(F.sum("n").alias("n"))
     nodes = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("depth"), "vector", "n").select(
         F.expr("substring(vector, 1, depth)").alias("node"), "n"
     )
@@ -332,7 +332,7 @@ def near_counts(words: DataFrame, split: Split = Split()) -> DataFrame:
                 [pa.array(out["node"], pa.binary()), pa.array(out["own"], pa.bool_()), *rows.columns], names=["node", "own", "word", "n"]
             )
 
-    dealt = cut(words.mapInArrow(deal, "node binary, own boolean, word string, n bigint"))
+    dealt = cut(words.mapInArrow(tidy(deal), "node binary, own boolean, word string, n bigint"))
     # A task takes several subtries as one; a question that reaches several of them comes once.
     tasks = max(1, -(-dealt.count() // split.rows))
     asked = dealt.groupBy(F.pmod(F.xxhash64("node"), F.lit(tasks)).alias("task"), "word").agg(F.max("n").alias("n"), F.max("own").alias("own"))

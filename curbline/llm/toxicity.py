@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm.common import bounded_batches, crc_mod, whole
+from curbline.llm.common import bounded_batches, crc_mod, tidy, whole
 from curbline.llm.text_arrays import LOWER, Words, parts
 from curbline.session import cut
 
@@ -103,7 +103,7 @@ def _counts(rows: DataFrame, buckets: int, classes: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    cells = rows.select("_text", F.col("_y").cast("int").alias("_y")).mapInArrow(run, "cell bigint, n bigint")
+    cells = rows.select("_text", F.col("_y").cast("int").alias("_y")).mapInArrow(tidy(run), "cell bigint, n bigint")
     got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row per bucket and class at most
     out = np.zeros(buckets * classes)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
@@ -258,7 +258,7 @@ def _found(rows: DataFrame, model: Model) -> list[tuple[int, int, int, list[floa
                 [batch.column("_y"), pa.array(m, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["y", "m", "s"]
             )
 
-    return [tuple(r) for r in rows.select("_text", "_y").mapInArrow(run, "y int, m bigint, s array<double>").collect()]
+    return [tuple(r) for r in rows.select("_text", "_y").mapInArrow(tidy(run), "y int, m bigint, s array<double>").collect()]
 
 
 def train(
@@ -341,7 +341,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    out = rows.mapInArrow(run, f"{schema}, score double, passages array<struct<start: bigint, end: bigint, score: double, p: double>>")
+    out = rows.mapInArrow(tidy(run), f"{schema}, score double, passages array<struct<start: bigint, end: bigint, score: double, p: double>>")
     return out.withColumnRenamed("_id", id)
 
 
