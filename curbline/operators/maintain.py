@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from curbline.functions import clock
 from curbline.schemas import CASE_SCHEMA, CHAT_COLUMNS, MODEL_METRICS
 from curbline.session import cut
+from curbline.sources import commits
 
 KEY = "case_enquiry_id"
 LATEST = ("_ingested_at", "_id")
@@ -85,31 +86,49 @@ def upsert_months(
     batch: DataFrame,
     key: str = KEY,
     order: tuple[str, ...] = LATEST,
-) -> None:
-    """Upsert into a Parquet table partitioned by ``part_month``, rewriting
-    only the months the batch touches.
+    sender: tuple[str, int] | None = None,
+) -> commits.Manifest:
+    """Upsert into a committed table partitioned by ``part_month`` (see
+    :mod:`curbline.sources.commits`), rewriting only the months the batch touches.
 
     A row keeps the month it was inserted under, so no update moves it; a row
     inserted without ``open_dt`` stays in the partition of no month. The months
     to rewrite are those of the batch rows and of the target rows they match; the
-    latter are found by reading just the key and the partition. Repeating a batch
-    gives the same table. The rewrite itself is not atomic: the merged months
-    lie stored in the shared folder until it is over, and readers should wait for it.
+    latter are found by reading just the key, where the files' own statistics leave
+    keys of the batch possible. The merged months are written once, as new files,
+    and become the table's with one manifest: a job that dies before leaves the
+    table as it was, and repeating the batch gives the same table. When another
+    writer commits first, the attempt is made again on what it left.
+
+    ``sender`` names the source of the batch and its number there; a number that is
+    not above the last one committed for that sender is a replay, and changes nothing.
     """
-    table = spark.read.parquet(path).withColumn("part_month", F.col("part_month").cast("string"))
-    cols = [c for c in table.columns if c != "part_month"]
-    newest = cut(
-        latest_per_key(batch, key, order)
-        .select(*cols)
-        .withColumn("part_month", F.date_format("open_dt", "yyyyMM"))
-    )
-    matched = table.join(newest.select(key), key, "left_semi").select("part_month")
-    touched = newest.select("part_month").union(matched).distinct()
-    months = [r[0] for r in touched.collect()]  # at most one value per calendar month
-    dated = F.col("part_month").isin([m for m in months if m is not None])
-    part = table.where(dated | F.col("part_month").isNull()) if None in months else table.where(dated)
-    merged = upsert(part, newest, key, [*cols, "part_month"], order, ("_id", "part_month"))
-    append_snapshot(cut(merged).repartitionByRange("part_month", key), path, "part_month")
+    newest = cut(latest_per_key(batch, key, order).withColumn("part_month", F.date_format("open_dt", "yyyyMM")))
+    span = newest.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+
+    def attempt() -> commits.Manifest:
+        base = commits.manifest(spark, path)
+        if sender and base.senders.get(sender[0], -1) >= sender[1]:
+            return base
+        cols = base.schema.names
+        table = commits.rows_of(spark, path, base)
+        possible = table.where(F.col(key).between(span["low"], span["high"])).select(key, "part_month")
+        matched = possible.join(newest.select(key), key, "left_semi").select("part_month")
+        found = newest.select("part_month").union(matched).distinct().collect()  # at most one value per calendar month
+        months = [commits.NULL_PARTITION if r[0] is None else r[0] for r in found]
+        if not months:
+            return commits.commit(spark, path, base, {}, sender) if sender else base
+        part = commits.rows_of(spark, path, base, months)
+        merged = upsert(part, newest.select(cols), key, cols, order, ("_id", "part_month"))
+        written = commits.write_files(merged.repartitionByRange("part_month", key), path, "part_month")
+        return commits.commit(spark, path, base, {m: written.get(m) for m in months}, sender)
+
+    return commits.retried(attempt)
+
+
+def create_months(cases: DataFrame, path: str) -> commits.Manifest:
+    """A committed table of the cases by month of ``open_dt``, for :func:`upsert_months`."""
+    return commits.create(cases.withColumn("part_month", F.date_format("open_dt", "yyyyMM")), path, "part_month")
 
 
 def chat_table(cases: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.operators import fairness, features, filters, geo, metrics, model, ordered, ranking, vectors
+from curbline.operators import fairness, features, filters, geo, maintain, metrics, model, ordered, ranking, vectors
 from curbline.operators.maintain import append_metrics
 from curbline.plans.catalog_cases import dist_sql
 from curbline.plans.catalog_metrics import rounded
@@ -15,6 +15,7 @@ from curbline.plans.catalog_tables import CORE, read_polygons, undated, undated_
 from curbline.plans.registry import query
 from curbline.plans.views import AS_OF, BATCH_ORDER, SECOND_INGEST
 from curbline.session import cut, fresh_path
+from curbline.sources import commits
 from curbline.streaming import jobs
 
 # --- ranking ----------------------------------------------------------------
@@ -708,14 +709,14 @@ def arrive(rows, folder):
 def _(v):
     from curbline.schemas import CASE_SCHEMA
 
-    folder, versions, state = (fresh_path(v.spark, n) for n in ("arrivals", "versions", "state"))
-    v.target.write.parquet(f"{versions}/version=0")
+    folder, table, state = (fresh_path(v.spark, n) for n in ("arrivals", "by_month", "state"))
+    maintain.create_months(v.target, table)
     stamp = F.col("_ingested_at")
     for part in (stamp < F.lit(SECOND_INGEST).cast("timestamp"), stamp == F.lit(SECOND_INGEST).cast("timestamp")):
         arrive(v.staging.where(part), folder)
         stream = v.spark.readStream.schema(CASE_SCHEMA).json(folder)
-        jobs.upsert(stream, versions, state, order=BATCH_ORDER).awaitTermination()
-    return jobs.current_version(v.spark, versions).select(*CORE)
+        jobs.upsert_by_month(stream, table, state, order=BATCH_ORDER).awaitTermination()
+    return commits.read(v.spark, table).select(*CORE)
 
 
 _UNDATED = undated_sql("staging", 5)
@@ -724,17 +725,16 @@ _UNDATED = undated_sql("staging", 5)
 @query("r02_stream_upsert_by_month", upsert_sql("v1", f"(SELECT * FROM {_UNDATED} WHERE _ingested_at > TIMESTAMP '2001-08-01')"),
        f"v1 AS ({upsert_sql(undated_sql('target', 7), f'(SELECT * FROM {_UNDATED} WHERE _ingested_at < TIMESTAMP {chr(39)}2001-08-01{chr(39)})')})")
 def _(v):
-    from curbline.operators.maintain import append_snapshot
     from curbline.schemas import CASE_SCHEMA
 
     folder, table, state = (fresh_path(v.spark, n) for n in ("arrivals", "by_month", "state"))
-    append_snapshot(undated(v.target, 7).withColumn("part_month", F.date_format("open_dt", "yyyyMM")), table, "part_month")
+    maintain.create_months(undated(v.target, 7), table)
     second = F.col("_ingested_at") == F.lit(SECOND_INGEST).cast("timestamp")
     for part in (~second, second):
         arrive(undated(v.staging, 5).where(part), folder)
         stream = v.spark.readStream.schema(CASE_SCHEMA).json(folder)
         jobs.upsert_by_month(stream, table, state, order=BATCH_ORDER).awaitTermination()
-    return v.spark.read.parquet(table).select(*CORE)
+    return commits.read(v.spark, table).select(*CORE)
 
 
 @query("r03_stream_dedup", "SELECT DISTINCT case_enquiry_id FROM staging")

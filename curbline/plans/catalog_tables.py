@@ -10,7 +10,7 @@ from curbline.plans.registry import query
 from curbline.plans.views import AS_OF, BATCH_ORDER, DAY, FIRST_INGEST, SECOND_INGEST
 from curbline.schemas import CASE_COLUMNS
 from curbline.session import fresh_path
-from curbline.sources import files, geojson, tables
+from curbline.sources import commits, files, geojson, tables
 
 CORE = ["_id", "case_enquiry_id", "open_dt", "closed_dt", "on_time", "case_status", "neighborhood", "_ingested_at"]
 CORE_SQL = ", ".join(CORE)
@@ -380,10 +380,9 @@ def undated_sql(src: str, every: int) -> str:
 @query("t02_upsert_by_month", upsert_sql(undated_sql("target", 7), undated_sql("staging", 5)))
 def _(v):
     path = fresh_path(v.spark, "cases_by_month")
-    target = undated(v.target, 7)
-    maintain.append_snapshot(target.withColumn("part_month", F.date_format("open_dt", "yyyyMM")), path, "part_month")
+    maintain.create_months(undated(v.target, 7), path)
     maintain.upsert_months(v.spark, path, undated(v.staging, 5), order=BATCH_ORDER)
-    return v.spark.read.parquet(path).select(*CORE)
+    return commits.read(v.spark, path).select(*CORE)
 
 
 @query("t03_refresh", f"SELECT _id, case_enquiry_id, case_status FROM staging WHERE case_enquiry_id IS NOT NULL {LATEST_SQL}")

@@ -81,45 +81,20 @@ def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     )
 
 
-def upsert(
-    batches: DataFrame, versions: str, state: str, key: str = maintain.KEY,
-    order: tuple[str, ...] = maintain.LATEST, trigger: dict = ONCE,
-) -> StreamingQuery:
-    """Upsert every arriving batch into the versioned target below ``versions``.
-
-    For small tables: each batch reads and writes the whole target and every
-    version stays. Large ones are for :func:`upsert_by_month`.
-
-    ``version=0`` is the target before the stream; batch ``n`` reads version
-    ``n`` and writes ``n + 1``, so a replay gives the same result.
-    """
-
-    def merge(rows: DataFrame, batch_id: int) -> None:
-        target = rows.sparkSession.read.parquet(f"{versions}/version={batch_id}")
-        merged = maintain.upsert(target, rows, key, target.columns, order)
-        merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id + 1}")
-
-    return (
-        batches.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", state)
-        .trigger(**trigger)
-        .start()
-    )
-
-
 def upsert_by_month(
     batches: DataFrame, path: str, state: str, key: str = maintain.KEY,
     order: tuple[str, ...] = maintain.LATEST, trigger: dict = ONCE,
 ) -> StreamingQuery:
-    """Upsert every arriving batch into a table partitioned by ``part_month``,
-    rewriting only the months it touches.
+    """Upsert every arriving batch into a committed table partitioned by
+    ``part_month``, rewriting only the months it touches.
 
-    Repeating a batch leaves the table as it is. The rewrite of a month is not
-    atomic: see :func:`curbline.operators.maintain.upsert_months`.
+    The batch and its number, under the query's checkpoint folder, are one commit, so
+    a replayed batch is neither lost nor done twice: see
+    :func:`curbline.operators.maintain.upsert_months`.
     """
 
     def merge(rows: DataFrame, batch_id: int) -> None:
-        maintain.upsert_months(rows.sparkSession, path, rows, key, order)
+        maintain.upsert_months(rows.sparkSession, path, rows, key, order, (state, batch_id))
 
     return (
         batches.writeStream.foreachBatch(merge)
@@ -129,13 +104,6 @@ def upsert_by_month(
     )
 
 
-def current_version(spark: SparkSession, versions: str) -> DataFrame:
-    """The newest version of the target."""
-    rows = spark.read.parquet(versions)
-    newest = rows.agg(F.max("version")).scalar()
-    return rows.where(F.col("version") == newest).drop("version")
-
-
 def dedup(cases: DataFrame, key: str = maintain.KEY, ts: str = "open_dt", keep: str = "28 days") -> DataFrame:
     """First arrival of each key; repeats inside the window are dropped."""
     return cases.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from curbline.operators import maintain
 from curbline.schemas import CASE_COLUMNS
 from curbline.session import fresh_path
-from curbline.sources import files, geojson
+from curbline.sources import commits, files, geojson
 
 T0, T1, T2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
 SMALL = "_id long, case_enquiry_id long, case_status string, _ingested_at timestamp"
@@ -56,15 +56,13 @@ def test_upsert_months_rewrites_touched_months_only(spark):
     jan, feb, mar = (dt.datetime(2024, m, 5) for m in (1, 2, 3))
     target = spark.createDataFrame([(1, 10, "a", T0, jan), (2, 11, "b", T0, feb), (3, 12, "c", T0, mar)], schema)
     path = fresh_path(spark, "months")
-    maintain.append_snapshot(target.withColumn("part_month", F.date_format("open_dt", "yyyyMM")), path, "part_month")
-    before = {r.part_month: r.f for r in spark.read.parquet(path).select("part_month", F.input_file_name().alias("f")).collect()}
+    before = maintain.create_months(target, path)
     # case 10 moves to March, a new case comes in March, February is not touched
     batch = spark.createDataFrame([(7, 10, "moved", T1, mar), (8, 13, "new", T1, mar)], schema)
-    maintain.upsert_months(spark, path, batch)
-    after = spark.read.parquet(path)
-    assert ids(after) == [(1, 10, "moved"), (2, 11, "b"), (3, 12, "c"), (8, 13, "new")]
-    feb_file = after.where("part_month = 202402").select(F.input_file_name()).first()[0]
-    assert feb_file == before[202402]
+    after = maintain.upsert_months(spark, path, batch)
+    assert ids(commits.read(spark, path)) == [(1, 10, "moved"), (2, 11, "b"), (3, 12, "c"), (8, 13, "new")]
+    assert after.folders["202402"] == before.folders["202402"] and after.folders["202401"] != before.folders["202401"]
+    assert ids(commits.read(spark, path, parts=["202402"])) == [(2, 11, "b")]
 
 
 def test_align_fills_missing_columns(spark):

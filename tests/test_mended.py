@@ -12,7 +12,7 @@ from curbline import session
 from curbline.functions import numeric, text
 from curbline.operators import fairness, geo, maintain, metrics, model, ranking, requests, vectors, vocab
 from curbline.session import cut, fresh_path
-from curbline.sources import files, geojson
+from curbline.sources import commits, files, geojson
 
 CASE = "_id long, case_enquiry_id long, open_dt timestamp, note string, _ingested_at timestamp"
 DAY = datetime(2020, 1, 15)
@@ -20,13 +20,12 @@ DAY = datetime(2020, 1, 15)
 
 def by_month(spark, rows):
     path = fresh_path(spark, "by_month")
-    frame = spark.createDataFrame(rows, CASE).withColumn("part_month", F.date_format("open_dt", "yyyyMM"))
-    maintain.append_snapshot(frame, path, "part_month")
+    maintain.create_months(spark.createDataFrame(rows, CASE), path)
     return path
 
 
 def table(spark, path):
-    return sorted((r["case_enquiry_id"], r["_id"], r["note"]) for r in spark.read.parquet(path).collect())
+    return sorted((r["case_enquiry_id"], r["_id"], r["note"]) for r in commits.read(spark, path).collect())
 
 
 def test_month_upsert_keeps_rows_without_a_date(spark):

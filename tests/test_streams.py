@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from curbline.operators import maintain
 from curbline.session import fresh_path
+from curbline.sources import commits
 from curbline.streaming import jobs
 
 LOG = "ts timestamp, path string, latency_ms double, failed boolean"
@@ -41,9 +42,9 @@ def test_metrics_arrive_in_batches_and_late_rows_are_dropped(spark):
 
 
 def test_stream_upsert_equals_batches(spark):
-    src, versions, state = (fresh_path(spark, n) for n in ("src", "versions", "state"))
+    src, path, state = (fresh_path(spark, n) for n in ("src", "table", "state"))
     target = spark.createDataFrame([(1, 10, "old", at(2), at(1)), (2, 11, "old", None, at(1))], CASE)
-    target.write.parquet(f"{versions}/version=0")
+    maintain.create_months(target, path)
     arrivals = [
         [(5, 10, "stale", at(1), at(1)), (6, 12, "new", at(3), at(2))],
         [(7, 12, "newer", at(4), at(2)), (8, 11, "set", at(1), at(1)), (9, 12, "tie", at(4), at(2))],
@@ -51,11 +52,12 @@ def test_stream_upsert_equals_batches(spark):
     want = target
     for rows in arrivals:
         add(spark, rows, CASE, src)
-        jobs.upsert(stream(spark, CASE, src), versions, state).awaitTermination()
+        jobs.upsert_by_month(stream(spark, CASE, src), path, state).awaitTermination()
         want = maintain.upsert(want, spark.createDataFrame(rows, CASE))
-    got = sorted(map(tuple, jobs.current_version(spark, versions).select("_id", "case_enquiry_id", "case_status").collect()))
+    got = sorted(map(tuple, commits.read(spark, path).select("_id", "case_enquiry_id", "case_status").collect()))
     assert got == sorted(map(tuple, want.select("_id", "case_enquiry_id", "case_status").collect()))
     assert got == [(1, 10, "old"), (2, 11, "set"), (6, 12, "tie")]
+    assert commits.manifest(spark, path).senders == {state: 1}
 
 
 def test_dedup_across_batches(spark):
