@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curbline.functions import clock
-from curbline.functions.numeric import EARTH_RADIUS_M, haversine
+from curbline.functions.numeric import haversine
+from curbline.operators.quadtree import MANY, Grid, Quadtree
 from curbline.session import cut
 
 ID = "case_enquiry_id"
@@ -21,7 +22,6 @@ DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 HOT_ROWS = 1_000_000  # a window over this many narrow rows is a small task
 SMALL_ROWS = 100_000  # key tables up to this size are broadcast
-METRES_PER_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180
 
 
 def count_open(
@@ -74,36 +74,27 @@ def near_places(places: DataFrame, metres: float) -> DataFrame:
     ``places`` (lat, lon) must be distinct. One side is filed under its grid
     cell, the other under every cell its search box meets.
     """
-    dlat = metres / METRES_PER_DEGREE
-    around = int(360 / dlat)  # cells per turn, so the grid closes at 180 degrees
-    cell = 360 / around
-
-    def row(lat) -> Column:
-        return F.floor(lat / F.lit(dlat))
-
-    def col_(lon) -> Column:
-        return F.floor(lon / F.lit(cell))
-
-    lat, lon = F.col("lat"), F.col("lon")
-    dlon = F.lit(dlat * 1.001) / F.cos(F.radians(F.least(F.abs(lat) + dlat, F.lit(89.9))))
-    a = (
-        places.withColumn("gy", F.explode(F.sequence(row(lat - dlat), row(lat + dlat))))
-        .withColumn("gx", F.explode(F.sequence(col_(lon - dlon), col_(lon + dlon))))
-        .withColumn("gx", F.pmod("gx", F.lit(around)))
-    )
-    b = places.select(
-        lat.alias("near_lat"),
-        lon.alias("near_lon"),
-        row(lat).alias("gy"),
-        F.pmod(col_(lon), F.lit(around)).alias("gx"),
-    )
+    grid = Grid(metres)
+    near = grid.filed(places).select(F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), "gy", "gx")
     return (
-        a.join(b, ["gy", "gx"])
+        grid.asked(places).join(near, ["gy", "gx"])
         .where(haversine("lat", "lon", "near_lat", "near_lon") <= metres)
         .select("lat", "lon", "near_lat", "near_lon")
     )
 
 
+def near_keys(places: DataFrame, metres: float, many: int = MANY) -> tuple[DataFrame, DataFrame | None]:
+    """Keys ``lat, lon, k`` to ask for what lies within the radius of each place, and the cells' keys each place answers to.
+
+    A key is a place or, in crowded spots, a cell with all its places; the keys of
+    one place share no place. The second frame is None when no spot is crowded.
+    """
+    tree = Quadtree(places, metres, many)
+    singles, cells = tree.near()
+    asks = singles.select("lat", "lon", _place_key(F.col("near_lat"), F.col("near_lon")).alias("k"))
+    return (asks if cells is None else asks.unionByName(cells)), tree.keys_of_places()
+
+
 def _window_end(days: int) -> Column:
     return F.col("at") + F.lit(days * DAY_US + 1)
 
@@ -165,13 +156,15 @@ def workload_counts(
     dept_days: int = 30,
     repeat_days: int = 90,
     metres: float = 30.0,
+    many: int = MANY,
 ) -> DataFrame:
     """``neigh_open_14d``, ``dept_pressure_30d`` and ``prev_repeat_90d_30m`` per
     case, from one time line over (kind, key).
 
     neighborhood: opened in the 14 days before and still open then; department:
     opened in the 30 days before; place: opened within 30 m in the 90 days
-    before. The case itself and cases of the same instant do not count. Cases
+    before, asked place by place and in spots of more than ``many`` places by whole
+    cells. The case itself and cases of the same instant do not count. Cases
     with no count at all may be missing.
     """
     def key(kind: str, k: Column) -> list[Column]:
@@ -195,10 +188,11 @@ def workload_counts(
     line = rows.select(F.inline(F.array(*entries))).where(F.col("k").isNotNull())
     if "place" in kinds:
         pinned = _pinned(cases)
-        pairs = near_places(pinned.select("lat", "lon").distinct(), metres).select(
-            "lat", "lon", _place_key(F.col("near_lat"), F.col("near_lon")).alias("k")
-        )
-        asks = pinned.join(pairs, ["lat", "lon"])
+        keys, cells = near_keys(cut(pinned.select("lat", "lon").distinct()), metres, many)
+        if cells is not None:
+            spans = _span(key("place", F.col("k")), _window_end(repeat_days))
+            line = line.unionByName(pinned.join(cells, ["lat", "lon"]).select(F.inline(F.array(*spans))))
+        asks = pinned.join(keys, ["lat", "lon"])
         line = line.unionByName(
             asks.select(*key("place", F.col("k")), "at", F.lit(0).alias("d"), F.lit(True).alias("ask"), ID)
         )
