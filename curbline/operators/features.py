@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from curbline.functions import clock
 from curbline.functions.numeric import haversine
-from curbline.operators.quadtree import MANY, Grid, Quadtree
+from curbline.operators.quadtree import MANY, METRES_PER_DEGREE, Grid, Quadtree  # noqa: F401
 from curbline.session import cut
 
 ID = "case_enquiry_id"

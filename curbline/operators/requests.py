@@ -7,6 +7,8 @@ Query log: ts, sql.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +20,8 @@ from curbline.operators import ordered
 from curbline.session import cut
 
 MONITOR_PREFIX = "/monitor"
-CHUNK_SPANS = 64  # time-to-live spans in a chunk of one fingerprint's time line
-_NEVER = -(1 << 62)  # no span is open
+CHUNK_ROWS = 1 << 16  # different times of one fingerprint that a task looks at together
+_NEVER, _SAME = -(1 << 62), 1 - (1 << 62)  # no span is open; the open span stays as it is
 
 
 def user_requests(log: DataFrame) -> DataFrame:
@@ -107,93 +109,114 @@ def hit_rates(log: DataFrame) -> DataFrame:
     )
 
 
-def ttl_repeats(log: DataFrame, ttl: int = 3600, chunk_spans: int = CHUNK_SPANS) -> DataFrame:
+def ttl_repeats(log: DataFrame, ttl: int = 3600, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Hits, misses and expirations per fingerprint for spans of ``ttl`` seconds.
 
     The first arrival of a fingerprint opens a span; arrivals up to ``ttl``
     seconds later, to the microsecond, are hits; the next one opens a new span.
 
-    A fingerprint's time line is cut into chunks of ``chunk_spans`` spans, so a
-    hot one is many groups. A chunk is summed up as a step function from the end
-    of the span open before it to the end of the span open after it; only the
-    steps, at most one for each arrival in the chunk's first span, are followed in
-    order. Each chunk is then counted by itself.
+    A fingerprint's different times are cut into chunks of ``chunk_rows`` at most. A
+    chunk is a step function of the end of the span open before it: the end of the
+    span open after it, and how many spans it opens. The functions of neighbouring
+    chunks are put together, two by two, until one is left for each fingerprint: a
+    composition has no more steps than its first function, so no group outgrows two
+    chunks, and a hot fingerprint takes as many rounds as its chunks have doublings.
     """
     width = ttl * 1_000_000
     times = cut(
         log.groupBy(fingerprint("sql").alias("cache_key"), F.unix_micros("ts").alias("at"))
         .agg(F.count("*").alias("n"))
-        .withColumn("chunk", F.floor(F.col("at") / F.lit(width * chunk_spans)))
     )
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["at"].to_numpy())
-        last = _last_open(at, width)
-        begin = int(pdf["chunk"].iloc[0]) * width * chunk_spans
-        starts = np.arange(min(int(np.searchsorted(at, begin + width, "right")) + 1, len(at)))
-        ends = at[last[starts]] + width
-        since = np.where(starts > 0, at[starts - 1], np.iinfo(np.int64).min)
-        if len(starts) == len(at):  # no arrival after the open span: it stays open
-            since, ends = np.append(since, at[-1]), np.append(ends, -1)
-        new = np.concatenate([[True], ends[1:] != ends[:-1]])
-        return pd.DataFrame({"cache_key": pdf["cache_key"].iloc[0], "chunk": pdf["chunk"].iloc[0], "since": since[new], "ends": ends[new]})
-
-    def follow(batches):
-        # The open span's end before a chunk, and the step of the chunk found so far.
-        here, open_end, step = None, _NEVER, None
-        for pdf in batches:
-            out = []
-            for key, chunk, since, ends in pdf[["cache_key", "chunk", "since", "ends"]].itertuples(index=False):
-                if (key, chunk) != here:
-                    if here is not None and key == here[0]:
-                        open_end = open_end if step == -1 else step
-                    elif here is not None:
-                        open_end = _NEVER
-                    here, step = (key, chunk), ends
-                    out.append((key, chunk, open_end))
-                elif since <= open_end:
-                    step = ends
-            yield pd.DataFrame(out, columns=["cache_key", "chunk", "open_end"])
-
-    def count(arrivals: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(arrivals["at"].to_numpy())
-        open_end = int(before["open_end"].iloc[0])
-        i, opens = int(np.searchsorted(at, open_end, "right")), 0
-        while i < len(at):  # at most one turn for each span of the chunk
-            opens += 1
-            i = int(np.searchsorted(at, at[i] + width, "right"))
-        return pd.DataFrame(
-            {
-                "cache_key": [arrivals["cache_key"].iloc[0]],
-                "hits": [int(arrivals["n"].sum()) - opens],
-                "misses": [opens],
-                "expirations": [opens - (opens > 0 and open_end == _NEVER)],
-            }
+    sizes = cut(times.groupBy("cache_key").agg(F.count("*").alias("rows")))
+    seen = sizes.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
+    chunked = times.withColumn("chunk", F.lit(0).cast("bigint"))
+    if (seen["most"] or 0) > chunk_rows:
+        hot = sizes.where(F.col("rows") > chunk_rows).select("cache_key")
+        ranked = ordered.rank_within(times.join(hot, "cache_key", "left_semi"), ["cache_key"], [F.asc("at")], "place")
+        chunked = times.join(hot, "cache_key", "left_anti").withColumn("chunk", F.lit(0).cast("bigint")).unionByName(
+            ranked.withColumn("chunk", F.floor((F.col("place") - 1) / chunk_rows)).drop("place")
         )
+    # A task takes the small fingerprints by the bucket; a full chunk is about a bucket of its own.
+    buckets = max(1, -(-(seen["rows"] or 0) // chunk_rows))
+    dealt = chunked.withColumn("bucket", F.pmod(F.xxhash64("cache_key", "chunk"), F.lit(buckets)))
 
-    by = ["cache_key", "chunk"]
-    chunks = times.groupBy(*by).applyInPandas(steps, "cache_key string, chunk bigint, since bigint, ends bigint")
-    before = (
-        chunks.repartition("cache_key")
-        .sortWithinPartitions("cache_key", "chunk", "since")
-        .mapInPandas(follow, "cache_key string, chunk bigint, open_end bigint")
-    )
-    counted = times.groupBy(*by).cogroup(before.groupBy(*by)).applyInPandas(
-        count, "cache_key string, hits bigint, misses bigint, expirations bigint"
-    )
-    return counted.groupBy("cache_key").agg(
-        F.sum("hits").alias("hits"),
-        F.sum("misses").alias("misses"),
-        F.sum("expirations").alias("expirations"),
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cache_key", "chunk", "at"])
+        key, chunk, at, n = [pdf[c].to_numpy() for c in ("cache_key", "chunk", "at", "n")]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
+        rows = []
+        for a, b in zip(first, [*first[1:], len(at)]):
+            made = _only_start(_steps(at[a:b], width)) if chunk[a] == 0 else _steps(at[a:b], width)
+            rows.append((key[a], chunk[a], int(n[a:b].sum()), *made))
+        return pd.DataFrame(rows, columns=_MAP_COLUMNS)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.itertuples(index=False), key=lambda r: r.chunk)
+        one = rows[0]
+        made, total = (one.since, one.ends, one.opens), one.arrivals
+        if len(rows) == 2:
+            made, total = _composed(made, (rows[1].since, rows[1].ends, rows[1].opens)), total + rows[1].arrivals
+        return pd.DataFrame([(one.cache_key, one.chunk // 2, total, *made)], columns=_MAP_COLUMNS)
+
+    maps = cut(dealt.groupBy("bucket").applyInPandas(steps, _MAP))
+    last, done = -(-(seen["most"] or 0) // chunk_rows), [maps]
+    if last > 1:  # fingerprints of one chunk are done
+        several = sizes.where(F.col("rows") > chunk_rows).select("cache_key")
+        done = [maps.join(several, "cache_key", "left_anti")]
+        going = maps.join(several, "cache_key", "left_semi")
+        while last > 1:
+            pair = F.floor(F.col("chunk") / 2)
+            going = cut(going.groupBy("cache_key", pair.alias("_pair")).applyInPandas(join, _MAP))
+            last = -(-last // 2)
+        done.append(going)
+    found = [d.select("cache_key", F.col("arrivals").alias("n"), F.col("opens")[0].alias("misses")) for d in done]
+    return reduce(DataFrame.unionByName, found).select(
+        "cache_key", (F.col("n") - F.col("misses")).alias("hits"), "misses", (F.col("misses") - 1).alias("expirations")
     )
 
 
-def _last_open(at: np.ndarray, width: int) -> np.ndarray:
-    """For a span opened at each place: where the last span of the line opens."""
-    after = np.searchsorted(at, at + width, "right")
-    to = np.where(after < len(at), after, np.arange(len(at)))
-    while True:  # doubling: each turn follows twice as many spans
-        further = to[to]
-        if (further == to).all():
-            return to
-        to = further
+#: A chunk's step function: an open span that ends at ``since[j]`` or later, and before ``since[j + 1]``, becomes one
+#: that ends at ``ends[j]`` (_SAME: stays as it is), and ``opens[j]`` spans are opened. The first ``since`` is _NEVER.
+_MAP = "cache_key string, chunk bigint, arrivals bigint, since array<bigint>, ends array<bigint>, opens array<bigint>"
+_MAP_COLUMNS = ["cache_key", "chunk", "arrivals", "since", "ends", "opens"]
+
+
+def _steps(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The step function of a chunk's different times, in order."""
+    m = len(at)
+    to = np.append(np.searchsorted(at, at + width, "right"), m)  # where the next span opens; m: nowhere
+    opens, last = np.append(np.ones(m, np.int64), 0), np.arange(m + 1)
+    while (to < m).any():  # doubling: each turn follows twice as many spans
+        opens = opens + opens[to]
+        last = np.where(to < m, last[to], last)
+        to = to[to]
+    since = np.concatenate([[_NEVER], at])
+    ends = np.append(at[last[:m]] + width, _SAME)
+    new = np.concatenate([[True], (ends[1:] != ends[:-1]) | (opens[1:] != opens[:-1])])
+    return since[new], ends[new], opens[new]
+
+
+def _only_start(steps: tuple) -> tuple:
+    """Before the first chunk of a fingerprint no span is open."""
+    return tuple(x[:1] for x in steps)
+
+
+def _composed(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First ``one``, then ``two``."""
+    since, ends, opens = one
+    out_since, out_ends, out_opens = [], [], []
+    goes = np.maximum(np.searchsorted(two[0], ends, "right") - 1, 0)
+    for j in range(len(since)):
+        if ends[j] != _SAME:
+            k = goes[j]
+            out_since.append(since[j])
+            out_ends.append(ends[j] if two[1][k] == _SAME else two[1][k])
+            out_opens.append(opens[j] + two[2][k])
+        else:  # the last step: what was open stays, and meets all steps of ``two`` from there on
+            k = max(int(np.searchsorted(two[0], since[j], "right")) - 1, 0)
+            out_since += [since[j], *two[0][k + 1 :]]
+            out_ends += list(two[1][k:])
+            out_opens += list(opens[j] + two[2][k:])
+    since, ends, opens = [np.array(x, np.int64) for x in (out_since, out_ends, out_opens)]
+    new = np.concatenate([[True], (ends[1:] != ends[:-1]) | (opens[1:] != opens[:-1])])
+    return since[new], ends[new], opens[new]

@@ -157,8 +157,8 @@ def plain_spans(times, ttl):
     return hits, misses, expirations
 
 
-@pytest.mark.parametrize("chunk_spans", [1, 2, 64])
-def test_repeats_to_the_microsecond_and_of_a_hot_key(spark, chunk_spans):
+@pytest.mark.parametrize("chunk_rows", [1, 3, 1 << 16])
+def test_repeats_to_the_microsecond_and_of_a_hot_key(spark, chunk_rows):
     draw = random.Random(3)
     ttl = 10_000_000
     logs = {
@@ -170,7 +170,7 @@ def test_repeats_to_the_microsecond_and_of_a_hot_key(spark, chunk_spans):
     }
     rows = [(f"SELECT  {k}", t) for k, ts in logs.items() for t in ts]
     log = spark.createDataFrame(rows, "sql string, us long").select("sql", F.timestamp_micros("us").alias("ts"))
-    got = requests.ttl_repeats(log, 10, chunk_spans).collect()
+    got = requests.ttl_repeats(log, 10, chunk_rows).collect()
     want = sorted(plain_spans(ts, ttl) for ts in logs.values())
     assert sorted((r["hits"], r["misses"], r["expirations"]) for r in got) == want
 
