@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from curbline.functions.labels import norm_none
 from curbline.functions.numeric import clamp01, ratio
-from curbline.operators import fairness, ordered, ranking
+from curbline.operators import boosting, fairness, ordered, ranking
+from curbline.operators.boosting import Settings
 from curbline.session import cut
 
 CATEGORICAL = ["neighborhood", "reason", "department"]
@@ -28,8 +29,14 @@ SCORE = "priority_score"
 
 # The two candidate settings, in the order they are tried.
 CANDIDATES = [
-    ("gbt_baseline", {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "minInstancesPerNode": 20}),
-    ("gbt_regularized", {"maxDepth": 3, "stepSize": 0.05, "maxIter": 30, "minInstancesPerNode": 50}),
+    ("gbt_baseline", Settings(rate=0.08, depth=8, bins=255, l2=0.0)),
+    ("gbt_regularized", Settings(rate=0.05, depth=8, bins=255, l2=0.5)),
+]
+
+# The settings of the long runs, without early stop.
+LONG_CANDIDATES = [
+    ("long_baseline", Settings(trees=300, depth=5, leaves=32, rate=0.05, rows_share=0.8, columns_share=0.8, l2=1.0, leaf_rows=1, leaf_weight=1.0, stop=0)),
+    ("long_deeper", Settings(trees=500, depth=7, leaves=128, rate=0.03, rows_share=0.9, columns_share=0.9, l2=1.0, leaf_rows=1, leaf_weight=2.0, stop=0)),
 ]
 
 # Monitoring thresholds.
@@ -76,21 +83,19 @@ def feature_names(fitted: PipelineModel) -> list[str]:
     return hot + [f"remainder__{n}" for n in NUMERIC]
 
 
-def fit(train: DataFrame, settings: dict, weight: str | None = None, seed: int = 42) -> PipelineModel:
-    gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", seed=seed, **settings)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[*feature_pipeline(), gbt]).fit(clean_inputs(train))
+def fit(train: DataFrame, settings: Settings, weight: str | None = None, seed: int = 42, key: str = "case_enquiry_id") -> boosting.Model:
+    return boosting.fit(clean_inputs(train), NUMERIC, CATEGORICAL, LABEL, key, settings, weight, seed)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: boosting.Model, df: DataFrame) -> DataFrame:
     """The frame with its positive-class probability as ``priority_score``."""
-    scored = model.transform(clean_inputs(df))
-    p = vector_to_array("probability")[1].alias(SCORE)
-    return scored.select(*df.columns, p)
+    p = boosting.probability(model).alias(SCORE)
+    clean = clean_inputs(df.withColumns({f"_in_{c}": F.col(c) for c in CATEGORICAL + NUMERIC}))
+    kept = [F.col(f"_in_{c}").alias(c) if c in CATEGORICAL + NUMERIC else F.col(c) for c in df.columns if c != SCORE]
+    return clean.select(*kept, p)
 
 
-def score_open(model: PipelineModel, open_cases: DataFrame) -> DataFrame:
+def score_open(model: boosting.Model, open_cases: DataFrame) -> DataFrame:
     """Scored, ranked and segmented open cases."""
     cols = [
         "case_enquiry_id", *CATEGORICAL, "neigh_open_14d", "prev_repeat_90d_30m",
@@ -111,15 +116,16 @@ def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
     ).select("_c.roc_auc", "_c.pr_auc", "precision_at_k", *rates.columns)
 
 
-def fit_candidates(train: DataFrame, validation: DataFrame, weight: str | None = None):
-    """Fit every candidate, validate it, and log one row per run.
+def fit_candidates(train: DataFrame, validation: DataFrame, weight: str | None = None, candidates: list | None = None):
+    """Fit every candidate (CANDIDATES unless given), validate it, and log one row per run.
 
     Returns (models by name, run log).
     """
-    models, runs = {}, []
-    for i, (name, settings) in enumerate(CANDIDATES):
-        models[name] = fit(train, settings, weight)
-        m = evaluate(score(models[name], validation))
+    tried, runs = candidates or CANDIDATES, []
+    with ThreadPoolExecutor(len(tried)) as pool:  # the small jobs of one leave room for those of another
+        models = dict(zip([name for name, _ in tried], pool.map(lambda c: fit(train, c[1], weight), tried)))
+    for i, (name, settings) in enumerate(tried):
+        m = evaluate(cut(score(models[name], validation)))
         runs.append(
             m.select(
                 F.lit(i).alias("run_index"), F.lit(name).alias("name"),
@@ -133,9 +139,9 @@ def fit_candidates(train: DataFrame, validation: DataFrame, weight: str | None =
     return models, reduce(DataFrame.unionByName, runs)
 
 
-def final_report(model: PipelineModel, test: DataFrame) -> DataFrame:
+def final_report(model: boosting.Model, test: DataFrame) -> DataFrame:
     """Test metrics as (metric, value) rows."""
-    scored = score(model, test)
+    scored = cut(score(model, test))
     ranked = ranking.rank_overall(scored)
     curve = ranking.curve_metrics(scored, LABEL, SCORE).select("roc_auc", "pr_auc")
     counts = fairness.confusion(scored, LABEL, SCORE)
@@ -154,15 +160,19 @@ def _long(row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*pairs)))
 
 
-def importance(model: PipelineModel, spark) -> DataFrame:
-    """Importances of the fitted trees, one row per encoded column.
+def importance(model: boosting.Model, spark) -> DataFrame:
+    """Each encoded column's share of the gains of the fitted trees; their number is bounded by the columns."""
+    return spark.createDataFrame(list(boosting.gains(model).items()), "feature string, importance double")
 
-    The vector is bounded by the number of encoded columns.
-    """
-    names = feature_names(model)
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, values)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+
+def attributed(model: boosting.Model, df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, raw score and Shapley values per encoded column (``boosting.split_columns``) of every row."""
+    return boosting.attributed(model, clean_inputs(df), keep)
+
+
+def sensitivity(model: boosting.Model, df: DataFrame, key: str = "case_enquiry_id") -> DataFrame:
+    """Mean size of the Shapley values, summed over the encoded columns of each feature, largest first."""
+    return rollup_importance(boosting.mean_attributions(model, clean_inputs(df), key))
 
 
 def rollup_importance(df: DataFrame) -> DataFrame:
@@ -179,7 +189,7 @@ def rollup_importance(df: DataFrame) -> DataFrame:
     )
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, key: str = "case_enquiry_id", seed: int = 42) -> DataFrame:
+def permutation_importance(model: boosting.Model, df: DataFrame, key: str = "case_enquiry_id", seed: int = 42) -> DataFrame:
     """Drop in average precision after one column is shuffled, per column.
 
     A column is shuffled by giving each row the value of another one, a different
@@ -207,37 +217,38 @@ class Chain:
     rows: DataFrame
     runs: DataFrame
     best: str
-    model: PipelineModel
+    model: boosting.Model
     report: DataFrame
 
     def part(self, name: str) -> DataFrame:
         return self.rows.where(F.col("part") == name).drop("part")
 
 
-def train(features: DataFrame, key: str = "case_enquiry_id", weight: str = "sample_weight") -> Chain:
+def train(features: DataFrame, key: str = "case_enquiry_id", weight: str = "sample_weight", candidates: list | None = None) -> Chain:
     """Weights on all rows, split, weighted fit of every candidate, the best one
     fitted again with weights on train and validation, and its report on test."""
     weights = fairness.bias_weights(features, key).select(key, weight)
     rows = cut(ranking.split(features, key, LABEL).join(weights, key))
     chain = Chain(rows, rows, "", None, rows)
-    _models, runs = fit_candidates(chain.part("train"), chain.part("validation"), weight)
+    _models, runs = fit_candidates(chain.part("train"), chain.part("validation"), weight, candidates)
     chain.runs = cut(runs)
     chain.best = ranking.best_run(chain.runs).first()["name"]
     both = rows.where(F.col("part").isin("train", "validation")).drop("part")
-    chain.model = fit(both, dict(CANDIDATES)[chain.best], weight)
+    chain.model = fit(both, dict(candidates or CANDIDATES)[chain.best], weight, key=key)
     chain.report = cut(final_report(chain.model, chain.part("test")))
     return chain
 
 
-def load(path: str) -> PipelineModel:
+def load(spark, path: str) -> boosting.Model:
     """The model that ``publish`` saved."""
-    return PipelineModel.load(f"{path}/model")
+    return boosting.Model.of_json(spark.read.text(f"{path}/model", wholetext=True).first()[0])
 
 
-def publish(model: PipelineModel, report: DataFrame, root: str, name: str, algo: str, stamp: str, table: str) -> str:
+def publish(model: boosting.Model, report: DataFrame, root: str, name: str, algo: str, stamp: str, table: str) -> str:
     """Save the model under name_algo_timestamp with its metrics beside it."""
     path = f"{root}/{name}_{algo}_{stamp}"
-    model.write().overwrite().save(f"{path}/model")
+    saved = report.sparkSession.createDataFrame([(model.to_json(),)], "value string")
+    saved.coalesce(1).write.mode("overwrite").text(f"{path}/model")
     report.withColumns({"model_name": F.lit(name), "feature_table": F.lit(table)}).repartition(1).write.mode(
         "overwrite"
     ).json(f"{path}/metadata")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.operators import fairness, features, filters, geo, maintain, metrics, model, ordered, ranking, vectors
+from curbline.operators import boosting, fairness, features, filters, geo, maintain, metrics, model, ordered, ranking, vectors
 from curbline.operators.maintain import append_metrics
 from curbline.plans.catalog_cases import dist_sql
 from curbline.plans.catalog_metrics import rounded
@@ -313,7 +313,7 @@ def published(v):
     """The run's model, saved and loaded back."""
     run = chain(v)
     path = model.publish(run.model, run.report, fresh_path(v.spark, "models"), "priority", "gbt", "20010810000000", "tbl_train_features")
-    return path, model.load(path)
+    return path, model.load(v.spark, path)
 
 
 def within_unit(*cols: str):
@@ -411,6 +411,23 @@ def _(v):
     return rows.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
+@query("m12_sensitivity")
+def _(v):
+    return model.sensitivity(chain(v).model, chain(v).part("test"))
+
+
+@query("m12_additive", """SELECT count(*) AS n_rows, 0::BIGINT AS n_differing, (SELECT 9::BIGINT) AS n_features FROM split WHERE part = 'test'""", SPLIT_SQL)
+def _(v):
+    run = chain(v)
+    rows = model.attributed(run.model, run.part("test"), ["case_enquiry_id"])
+    total = F.aggregate("attributions", F.lit(boosting.expected(run.model)), lambda a, x: a + x)
+    names = run.model.numbers + run.model.categories
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs(total - F.col("raw")) > 1e-6).alias("n_differing"),
+        F.lit(len(names)).cast("bigint").alias("n_features"),
+    )
+
+
 @query("m12_permutation_importance")
 def _(v):
     return model.permutation_importance(chain(v).model, chain(v).part("test"))
