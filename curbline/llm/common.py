@@ -33,6 +33,15 @@ def bounded_batches(frame: DataFrame, size: str = "8m") -> None:
         conf.set(key, size)
 
 
+def release() -> None:
+    """Give memory that this process freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The function of a task; when it ends, what it freed goes back to the system.
 
@@ -41,11 +50,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def inner(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another allocator
-            pass
+        release()
 
     return inner
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curbline.llm.common import bounded_batches, crc_mod, tidy, whole
+from curbline.llm.common import bounded_batches, crc_mod, release, tidy, whole
 from curbline.llm.text_arrays import LOWER, parts
 from curbline.session import cut
 
@@ -83,7 +83,7 @@ def features(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     weight = (share * c).astype(np.float32)
@@ -190,7 +190,7 @@ def has_letter(text: str) -> Column:
 
 
 def sample(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """``_label, _text``: for each label its ``rows`` / labels different texts of smallest hash, or all; None without a label."""
+    """``_label, _hash, _text``: for each label its ``rows`` / labels different texts of smallest hash, or all; None without a label."""
     spark = labelled.sparkSession
     usable = labelled.where(F.col(label).isNotNull() & has_letter(text)).select(
         F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")
@@ -210,7 +210,7 @@ def sample(labelled: DataFrame, text: str = "text", label: str = "lang", rows: i
     rank = F.row_number().over(W.partitionBy("_label").orderBy(chance, "_hash"))
     chosen = some.withColumn("_rank", rank).where(F.col("_rank") <= each).select(F.col("_label").alias("_l"), F.col("_hash").alias("_h"))
     mine = usable.join(F.broadcast(cut(chosen)), (F.col("_label") == F.col("_l")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return mine.groupBy("_label", "_hash").agg(F.min("_text").alias("_text")).select("_label", "_text")
+    return mine.groupBy("_label", "_hash").agg(F.min("_text").alias("_text"))
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, width: int = WIDTH) -> Hierarchy:
@@ -223,13 +223,20 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [row.tobytes() for block in features(batch.column("_text"), width) for row in block]
-            yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.binary())], names=["_label", "_x"])
-
-    got = chosen.mapInArrow(tidy(vectors), "_label string, _x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.float32).reshape(-1, width)
-    labels = np.array(got.column("_label").to_pylist(), object)
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], x[i].tobytes()))  # the same fit whatever the order of rows
-    return fit(x[order], labels[order])
+            yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_hash"), pa.array(x, pa.binary())], names=["_label", "_hash", "_x"])
+
+    got = chosen.mapInArrow(tidy(vectors), "_label string, _hash bigint, _x binary").toArrow().combine_chunks()
+    # the same fit whatever the order of rows
+    order = got.select(["_label", "_hash"]).append_column("_at", pa.array(range(len(got)))).sort_by([("_label", "ascending"), ("_hash", "ascending")])
+    order = order.column("_at").to_numpy()
+    labels = np.array(got.column("_label").to_pylist(), object)[order]
+    column = got.column("_x").chunk(0)
+    x = np.frombuffer(column.buffers()[2], np.float32).reshape(len(column), width)[order]
+    del got, column
+    model = fit(x, labels)
+    del x
+    release()
+    return model
 
 
 def guess_column(model: Hierarchy, text: str = "text", width: int = WIDTH) -> Column:
