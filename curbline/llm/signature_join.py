@@ -404,12 +404,13 @@ def _blocks(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     Each pair of a family's blocks is a piece of work, with ``own`` the block of the row.
     """
     rows = cut(members.select("pivot", "key", "component").distinct().join(nodes.select(F.col("key").alias("_k"), "n"), F.col("key") == F.col("_k")).drop("_k"))
-    # A node whose nearest sizes in the family are too far off has no partner there.
+    families = cut(rows.groupBy("pivot").agg(F.count("*").alias("n_family"), F.sum("n").alias("n_members")))
+    rows = cut(attach(rows, families, "pivot", "n_family", total_of(families, "n_family"), ["key"]))
+    # In a family of one block, a node whose nearest sizes are too far off has no partner; larger ones are left to the trees.
     by_size = Window.partitionBy("pivot").orderBy("n", "key")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * rule.percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * rule.percent)
-    rows = cut(rows.withColumn("_near", near).where("_near").drop("_near"))
-    families = cut(rows.groupBy("pivot").agg(F.count("*").alias("n_family"), F.sum("n").alias("n_members")))
-    rows = attach(rows, families, "pivot", "n_family", total_of(families, "n_family"), ["key"])
+    small = rows.where(F.col("n_family") <= BLOCK).withColumn("_near", near).where("_near").drop("_near")
+    rows = small.unionByName(rows.where(F.col("n_family") > BLOCK))
     blocks = F.greatest(F.ceil(F.col("n_family") / BLOCK), F.least(F.ceil(F.col("n_members") / BLOCK_MEMBERS), F.col("n_family"))).cast("int")
     return rows.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select(
         "pivot", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "key", "component", "n"
