@@ -106,9 +106,8 @@ def score_open(model: boosting.Model, open_cases: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
     """One row: AUC, average precision, precision at 5 %, and rates at 0.5."""
-    ranked = ranking.rank_overall(scored)
     curve = ranking.curve_metrics(scored, label, SCORE)
-    top = ranking.precision_at(ranked, label, (0.05,))
+    top = ranking.precision_of(scored, label, (0.05,))
     rates = fairness.clf_metrics(scored, label, SCORE)
     auc = curve.select(F.struct("roc_auc", "pr_auc")).scalar()
     return rates.withColumn("_c", auc).withColumn(
@@ -142,16 +141,15 @@ def fit_candidates(train: DataFrame, validation: DataFrame, weight: str | None =
 def final_report(model: boosting.Model, test: DataFrame) -> DataFrame:
     """Test metrics as (metric, value) rows."""
     scored = cut(score(model, test))
-    ranked = ranking.rank_overall(scored)
     curve = ranking.curve_metrics(scored, LABEL, SCORE).select("roc_auc", "pr_auc")
     counts = fairness.confusion(scored, LABEL, SCORE)
     rates = fairness.rates(counts).drop("n")
-    at = ranking.precision_at(ranked, LABEL).select(
+    at = ranking.precision_of(scored, LABEL).select(
         F.format_string("precision_at_%.0f_pct", F.col("k") * 100).alias("metric"),
         F.col("precision_at_k").alias("value"),
     )
     base = scored.agg(F.avg(LABEL).alias("base_rate"))
-    wide = [curve, counts, rates, ranking.critical_threshold(ranked), base]
+    wide = [curve, counts, rates, ranking.threshold_of(scored), base]
     return reduce(DataFrame.unionByName, [_long(f) for f in wide]).unionByName(at)
 
 

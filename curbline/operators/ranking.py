@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curbline.functions.numeric import ratio
-from curbline.operators import ordered
+from curbline.operators import ordered, selection
 from curbline.session import cut
 
 ID = "case_enquiry_id"
@@ -67,6 +67,28 @@ def critical_threshold(ranked: DataFrame, share: float = 0.05) -> DataFrame:
     return ranked.agg(F.max(hit).alias("critical_threshold"))
 
 
+def top_rows(scores: DataFrame, shares: list[float]) -> list[int]:
+    n = scores.count()
+    return [max(1, int(n * s)) for s in shares]
+
+
+def precision_of(scores: DataFrame, label: str, shares=(0.01, 0.05, 0.10)) -> DataFrame:
+    """:func:`precision_at` of a frame that is not ranked, by the rows at the borders: nothing is sorted."""
+    ends = selection.borders(scores, SCORE, ID, top_rows(scores, list(shares)))
+    mean = [F.avg(F.when(e.reached(SCORE, ID), F.col(label)) if e else F.lit(None).cast("double")) for e in ends]
+    rows = F.array(*[F.struct(F.lit(float(s)).alias("k"), F.col(f"p{i}").alias("precision_at_k")) for i, s in enumerate(shares)])
+    return scores.agg(*[m.alias(f"p{i}") for i, m in enumerate(mean)]).select(F.inline(rows))
+
+
+def threshold_of(scores: DataFrame, share: float = 0.05) -> DataFrame:
+    """:func:`critical_threshold` of a frame that is not ranked."""
+    n = scores.count()
+    (end,) = selection.borders(scores, SCORE, ID, [max(1, int(n * share) - 1) + 1])
+    kinds = {selection._NAN: float("nan"), selection._HIGH: float("inf"), selection._LOW: float("-inf")}
+    value = None if end is None else end.score if end.score is not None else kinds.get(end.kind)
+    return scores.sparkSession.createDataFrame([(value,)], "critical_threshold double")
+
+
 def curve_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Tie-aware ROC-AUC and average precision, for the frame or per group.
 

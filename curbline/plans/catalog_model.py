@@ -35,12 +35,12 @@ def _(v):
     f"SELECT {k}::DOUBLE AS k, round(avg(label) FILTER (rank_overall <= greatest(1, floor(n_all * {k}::DOUBLE))), 6) AS precision_at_k FROM ranked"
     for k in (0.01, 0.05, 0.1)))
 def _(v):
-    return rounded(ranking.precision_at(ranking.rank_overall(v.scores), "label"), "precision_at_k")
+    return rounded(ranking.precision_of(v.scores, "label"), "precision_at_k")
 
 
 @query("w05_critical_threshold", """SELECT max(priority_score) FILTER (rank_overall = greatest(1, floor(n_all * 0.05::DOUBLE) - 1) + 1) AS critical_threshold FROM ranked""")
 def _(v):
-    return ranking.critical_threshold(ranking.rank_overall(v.scores))
+    return ranking.threshold_of(v.scores)
 
 
 def curve_sql(src: str, by: str = "", name: str = "curve") -> str:
