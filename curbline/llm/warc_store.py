@@ -187,13 +187,27 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def unzipped(data: pa.Buffer) -> bytes:
+    """A gzip file of one member or of many, as archives have one a record."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(47)
+        while not member.eof and at < len(view):
+            part = view[at : at + (1 << 16)]
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("gzip member is cut short")
+    return b"".join(out)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of whole WARC files, their payloads checked."""
+    """The responses and revisits of whole WARC files, their payloads checked where a SHA-1 is given; other records are passed over."""
     names = ["urn", "type", "id", "digest", "refers", "bytes"]
     for batch in batches:
         for i in range(batch.num_rows):
             data = batch.column("content")[i].as_buffer()
-            data = zlib.decompressobj(47).decompress(data) if batch.column("path")[i].as_py().endswith(".gz") else data.to_pybytes()
+            data = unzipped(data) if batch.column("path")[i].as_py().endswith(".gz") else data.to_pybytes()
             at, rows = 0, []
             while at < len(data):
                 end = data.index(b"\r\n\r\n", at)
@@ -206,8 +220,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = start + size + 4
                 if data[at - 4 : at] != b"\r\n\r\n":
                     raise ValueError(f"record before byte {at} is cut short")
+                if field["WARC-Type"] not in ("response", "revisit"):
+                    continue
                 body = block[block.index(b"\r\n\r\n") + 4 :]
-                digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
+                given = field.get("WARC-Payload-Digest", "")
+                digest = given.removeprefix("sha1:") if given.startswith("sha1:") else base32_sha1(body)
                 if field["WARC-Type"] == "response" and base32_sha1(body) != digest:
                     raise ValueError(f"payload of {field['WARC-Record-ID']} does not match its digest")
                 rows.append((
@@ -219,8 +236,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files: id, full payload's length and digest, type, and the id referred to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(f"{path}/warc").select("path", "content")
+    """Records of the WARC files (``.warc`` or ``.txt``, plain or gzip): id, full payload's length and digest, type, and the id referred to."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc}*").load(f"{path}/warc").select("path", "content")
     parsed = cut(files.mapInArrow(_parse, "urn string, type string, id string, digest string, refers string, bytes bigint"))
     revisits = parsed.where("type = 'revisit'").drop("bytes")
     asked = revisits.groupBy("refers").agg(F.count("*").alias("_n"))

@@ -73,5 +73,25 @@ def test_changed_payload_is_noticed(spark):
         A.records(spark, other).collect()
 
 
+def test_archives_with_a_member_for_each_record(spark, tmp_path):
+    def record(kind, n, body, **more):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{n}>", "WARC-Page-ID": str(n)} | more | {"Content-Length": str(len(http))}
+        return "\r\n".join(["WARC/1.1", *[f"{k}: {v}" for k, v in fields.items()]]).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
+
+    bodies = [b"a" * 70_000, "é".encode() * 9, b""]
+    records = [record("warcinfo", 0, b"software: x")]
+    records += [record("response", k, b, **{"WARC-Payload-Digest": f"sha1:{A.base32_sha1(b)}"}) for k, b in enumerate(bodies, 1)]
+    records += [record("response", 9, b"no digest"), record("revisit", 7, b"", **{"WARC-Payload-Digest": f"sha1:{A.base32_sha1(bodies[0])}", "WARC-Refers-To": "<urn:1>"})]
+    folder = tmp_path / "warc"
+    folder.mkdir()
+    (folder / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = sorted(map(tuple, A.read(spark, str(tmp_path)).select("id", "payload_bytes", "record_type", "refers_to").collect()))
+    assert got == [("1", 70_000, "response", None), ("2", 18, "response", None), ("3", 0, "response", None), ("7", 70_000, "revisit", "1"), ("9", 9, "response", None)]
+    (folder / "two.warc.gz").write_bytes(gzip.compress(records[1])[:-9])
+    with pytest.raises(Exception, match="cut short"):
+        A.read(spark, str(tmp_path)).collect()
+
+
 def test_empty_table(spark):
     assert A.op4(spark, frame(spark).where("false")).collect() == []
