@@ -714,6 +714,26 @@ def _(v):
     return jobs.latest_updates(v.spark, out, ["window_start", "path"]).select("window_start", "path", "p95_latency_ms")
 
 
+@query("r01_stream_sliding_panes", """SELECT window_start, step, count(*) AS n, round(avg(value), 6) AS avg_latency_ms, round(count(*) FILTER (value >= 100) / count(*)::DOUBLE, 6) AS error_rate, true AS p95_close
+    FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(h) AS window_start, event_type AS step, value FROM events, (VALUES (0), (6), (12), (18)) t(h)) GROUP BY 1, 2""")
+def _(v):
+    out, state = fresh_path(v.spark, "panes"), fresh_path(v.spark, "stream_state")
+    jobs.write_updates(jobs.pane_metrics(event_stream(v, F.col("value") >= 100), "step", "6 hours"), out, state).awaitTermination()
+    jobs.compact(v.spark, out, ["pane_start", "step"])
+    rows = cut(jobs.windows_of(jobs.latest_updates(v.spark, out, ["pane_start", "step"]), "step", "1 day", "6 hours"))
+    # The share of the window's values below the sketch's answer, and up to it, must hold 0.95 between them.
+    every = v.table("events").select(
+        F.window(F.col("ts").cast("timestamp"), "1 day", "6 hours")["start"].alias("window_start"), F.col("event_type").alias("step"), "value"
+    )
+    ranks = every.join(rows.select("window_start", "step", "p95_latency_ms"), ["window_start", "step"]).groupBy("window_start", "step").agg(
+        F.avg((F.col("value") < F.col("p95_latency_ms")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("p95_latency_ms")).cast("int")).alias("upto")
+    )
+    close = (F.col("below") <= 0.97) & (F.col("upto") >= 0.93)
+    return rounded(rows.join(ranks, ["window_start", "step"]).select(
+        "window_start", "step", "n", "avg_latency_ms", "error_rate", close.alias("p95_close")
+    ), "avg_latency_ms", "error_rate")
+
+
 _FIRST = upsert_sql("target", "(SELECT * FROM staging WHERE _ingested_at < TIMESTAMP '2001-08-01')")
 _SECOND = upsert_sql("v1", "(SELECT * FROM staging WHERE _ingested_at > TIMESTAMP '2001-08-01')")
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,34 @@ def test_metrics_arrive_in_batches_and_late_rows_are_dropped(spark):
     assert rows[0].p95_latency_ms == 30.0
 
 
+def test_windows_of_panes_and_compaction(spark):
+    src, out, state = (fresh_path(spark, n) for n in ("src", "out", "state"))
+    draw = random.Random(4)
+    rows = [(at(draw.randrange(1, 4), draw.randrange(24)), f"/{k % 2}", float(draw.randrange(1009)), k % 5 == 0) for k in range(6000)]
+    keys = ["pane_start", "path"]
+    for part in range(3):
+        add(spark, [r for r in rows if r[0].day == part + 1], LOG, src)
+        jobs.write_updates(jobs.pane_metrics(stream(spark, LOG, src), "path", "3 hours"), out, state).awaitTermination()
+        if part == 1:
+            before = sorted(map(tuple, jobs.latest_updates(spark, out, keys).drop("sketch").collect()))
+            last = jobs.compact(spark, out, keys)
+            assert sorted(map(tuple, jobs.latest_updates(spark, out, keys).drop("sketch").collect())) == before
+            assert jobs.compact(spark, out, keys) == last
+            assert [n for n in commits.names(spark, out) if n.startswith("batch_id")] == []
+    panes = jobs.latest_updates(spark, out, keys)
+    assert len(commits.names(spark, f"{out}/_compacted")) == 1 and panes.count() == 3 * 8 * 2
+    files = {f.split("/")[-2] for f in panes.inputFiles()}
+    assert f"upto={last}" in files and len(files) > 1  # the compaction, and the batches since
+    got = jobs.windows_of(panes, "path", "1 day", "6 hours").collect()
+    hours = dt.timedelta(hours=24)
+    assert len(got) > 20
+    for r in got:
+        some = sorted(x[2] for x in rows if x[1] == r["path"] and r["window_start"] <= x[0] < r["window_start"] + hours)
+        assert r["n"] == len(some) and abs(r["avg_latency_ms"] - sum(some) / len(some)) < 1e-9
+        below, upto = sum(x < r["p95_latency_ms"] for x in some), sum(x <= r["p95_latency_ms"] for x in some)
+        assert below <= 0.96 * len(some) + 1 and upto >= 0.94 * len(some) - 1
+
+
 def test_stream_upsert_equals_batches(spark):
     src, path, state = (fresh_path(spark, n) for n in ("src", "table", "state"))
     target = spark.createDataFrame([(1, 10, "old", at(2), at(1)), (2, 11, "old", None, at(1))], CASE)
