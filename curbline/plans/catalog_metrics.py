@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curbline.operators import fairness, filters, metrics, ranking, requests
-from curbline.plans.catalog_tables import SLICE_SQL, half_filled_actions
+from curbline.operators import deltas, fairness, filters, maintain, metrics, ranking, requests
+from curbline.plans.catalog_tables import CORE, SLICE_SQL, half_filled_actions, upsert_sql
 from curbline.plans.registry import query
-from curbline.plans.views import AS_OF, DAY
+from curbline.plans.views import AS_OF, BATCH_ORDER, DAY
+from curbline.session import fresh_path
 
 LOCAL_WEEK = "CAST(date_trunc('week', CAST((open_dt AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE)) AS DATE)"
 
@@ -390,3 +391,48 @@ spans AS (SELECT cache_key AS k, min(sec) AS s FROM secs GROUP BY 1
   SELECT k, min(sec) FROM spans JOIN secs ON cache_key = k AND sec > s + 3600000000 GROUP BY k)""")
 def _(v):
     return requests.ttl_repeats(v.query_log)
+
+
+# --- serving tables kept up to date by signed changes ------------------------
+
+# The case table after two batches: the late cases first, then all rows of the second run.
+KEPT_COLS = [*CORE, "sla_target_dt", "department", "type", "reason", "source"]
+LATE = "on_time = 'OVERDUE'"
+KEPT_SQL = upsert_sql(f"({upsert_sql('target', f'(SELECT * FROM staging WHERE {LATE})', KEPT_COLS)})", "staging", KEPT_COLS)
+
+
+def kept(v, rollup):
+    cases, path = fresh_path(v.spark, "cases_by_month"), fresh_path(v.spark, "serving")
+    maintain.create_months(v.target.select(*KEPT_COLS), cases)
+    deltas.create(v.spark, cases, path, rollup)
+    for batch in (v.staging.where(LATE), v.staging):
+        maintain.upsert_months(v.spark, cases, batch, order=BATCH_ORDER)
+        deltas.refresh(v.spark, cases, path, rollup)
+    return deltas.read(v.spark, path, rollup)
+
+
+@query("a01_dashboard_maintained", """SELECT CAST(open_dt AS DATE) AS open_date, neighborhood, department, type, reason, case_status, count(*) AS case_count,
+    count(*) FILTER (on_time = 'ONTIME') AS on_time_count,
+    count(*) FILTER (lower(on_time) = 'true') AS on_time_count_parity FROM kept WHERE case_enquiry_id IS NOT NULL GROUP BY ALL""", f"kept AS ({KEPT_SQL})")
+def _(v):
+    return kept(v, deltas.dashboard())
+
+
+@query("a08_daily_maintained", """SELECT CAST(open_dt AS DATE) AS date, neighborhood, department, reason, source,
+    count(*) AS total_cases, count(*) FILTER (case_status <> 'Closed') AS open_cases, count(*) FILTER (case_status = 'Closed') AS closed_cases,
+    count(*) FILTER (sla_target_dt IS NOT NULL) AS sla_eligible_cases,
+    count(*) FILTER (sla_target_dt IS NOT NULL AND on_time = 'ONTIME') AS sla_met_cases,
+    round(avg(CASE WHEN case_status = 'Closed' AND closed_dt IS NOT NULL THEN (epoch_us(closed_dt) - epoch_us(open_dt)) / 3600000000.0 END), 6) AS avg_resolution_hrs,
+    round(count(*) FILTER (sla_target_dt IS NOT NULL AND on_time = 'ONTIME') * 100.0 / nullif(count(*) FILTER (sla_target_dt IS NOT NULL), 0), 6) AS sla_compliance_pct
+    FROM kept GROUP BY ALL""", f"kept AS ({KEPT_SQL})")
+def _(v):
+    return rounded(kept(v, deltas.daily()), "avg_resolution_hrs", "sla_compliance_pct")
+
+
+@query("a04_slices_maintained", f"""SELECT DATE '{DAY}' AS snapshot_date, slice_type, slice_group, count(*) AS total_cases,
+    round(count(*) FILTER (upper(trim(on_time)) = 'ONTIME') / count(*)::DOUBLE, 6) AS ontime_rate,
+    round(count(*) FILTER (lower(trim(case_status)) = 'closed') / count(*)::DOUBLE, 6) AS closed_rate
+    FROM (SELECT unnest(['neighborhood', 'department', 'source']) AS slice_type, unnest([neighborhood, department, source]) AS slice_group, * FROM kept)
+    WHERE slice_group IS NOT NULL AND _ingested_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1, 2, 3""", f"kept AS ({KEPT_SQL})")
+def _(v):
+    return rounded(deltas.slice_rates(kept(v, deltas.slices()), AS_OF), *RATES)

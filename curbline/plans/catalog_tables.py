@@ -343,13 +343,13 @@ def _(v):
     return maintain.latest_per_key(v.cases.unionByName(v.staging), order=BATCH_ORDER).select(*CORE)
 
 
-def upsert_sql(target: str, batch: str) -> str:
+def upsert_sql(target: str, batch: str, cols: list[str] = CORE) -> str:
     take = "(t.case_enquiry_id IS NULL OR (s.case_enquiry_id IS NOT NULL AND (t._ingested_at IS NULL OR s._ingested_at >= t._ingested_at)))"
     picks = [
         f"CASE WHEN t.case_enquiry_id IS NULL THEN s.{c} ELSE t.{c} END AS {c}"
         if c in ("_id", "case_enquiry_id")
         else f"CASE WHEN {take} THEN s.{c} ELSE t.{c} END AS {c}"
-        for c in CORE
+        for c in cols
     ]
     return (
         f"SELECT {', '.join(picks)} FROM {target} t FULL JOIN "
