@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curbline.functions import clock, labels, numeric, text
-from curbline.operators import filters, geo, prompts, questions, requests
+from curbline.operators import filters, geo, prompts, questions, requests, segments
 from curbline.operators.vocab import search, store_index, token_index
 from curbline.plans.registry import query
 from curbline.plans.views import AS_OF, CENTRE, DAY
@@ -253,6 +253,18 @@ def _(v):
     return search(index, "case_enquiry_id", ["MACHINERY", "1-urgent"])
 
 
+@query("v07_segment_search", """SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(CASE WHEN n_chars < 400 THEN concat_ws(' ', source, lang, text) ELSE text END), '\\s+') AS w FROM documents)
+    WHERE list_contains(w, 'the') AND list_contains(w, 'en')""")
+def _(v):
+    docs, path = v.table("documents").select("doc_id", "text", "source", "lang", F.col("n_chars") < 400), fresh_path(v.spark, "segments")
+    docs = docs.toDF("doc_id", "text", "source", "lang", "short")
+    segments.create(docs.where("short"), "doc_id", ["text"], path)
+    segments.add(docs.where("NOT short OR short IS NULL"), "doc_id", ["text"], path)
+    segments.add(docs.where("short"), "doc_id", ["source", "lang", "text"], path)  # the short ones again, with more words
+    segments.merge(v.spark, path, fan=3)
+    return segments.search(v.spark, path, ["The", "en"], "doc_id")
+
+
 @query("u03_common_columns", "SELECT department, latitude, longitude, neighborhood, open_dt, reason FROM cases")
 def _(v):
     left, _right = filters.common_features(v.cases, v.scores, {"case_enquiry_id"})
