@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.operators import boosting, fairness, features, filters, geo, maintain, metrics, model, ordered, ranking, vectors
+from curbline.operators import boosting, cover, fairness, features, filters, geo, maintain, metrics, model, ordered, ranking, vectors
 from curbline.operators.maintain import append_metrics
 from curbline.plans.catalog_cases import dist_sql
 from curbline.plans.catalog_metrics import rounded
@@ -288,6 +288,13 @@ def _(v):
     return geo.tag_polygon(v.cases, polygons).select("case_enquiry_id", "polygon_name")
 
 
+@query("j11_tag_by_cover", """SELECT case_enquiry_id, CASE WHEN k < 23 THEN 'CELL ' || k END AS polygon_name FROM (
+    SELECT case_enquiry_id, CASE WHEN latitude IS NOT NULL THEN (_id % 83) // 17 + 5 * ((_id % 79) // 16) END AS k FROM cases)""")
+def _(v):
+    polygons = geo.ref_neighborhoods(read_polygons(v))
+    return cover.tag(v.cases, cover.cover(polygons)).select("case_enquiry_id", "polygon_name")
+
+
 # --- model ------------------------------------------------------------------
 
 
