@@ -215,13 +215,18 @@ def first_words(text: Column, words: Column) -> Column:
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The mix per document; ``shards`` lists its copies as shard:epoch:words, empty if none is taken."""
     rows = cut(docs.select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words("text").alias("_size"),
         F.xxhash64("doc_id", whole("text")).alias("_draw"),
     ).withColumn("_row", F.monotonically_increasing_id()))
     known, drawn = mix(rows)
-    taken = drawn.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("_taken"))
+    # A document has REPEATS copies at most, so the list of its shards is short.
+    parts = F.array_sort(F.collect_list(F.struct("shard", "epoch", "words")))
+    taken = drawn.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("_taken"), parts.alias("_parts"))
+    shards = F.array_join(F.transform("_parts", lambda p: F.concat_ws(":", *[p[c].cast("string") for c in ("shard", "epoch", "words")])), ",")
     return known.join(taken, F.col("_row") == F.col("_r"), "left").select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_all").alias("source_size"),
         F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0).cast("bigint")).alias("taken"),
+        F.coalesce(shards, F.lit("")).alias("shards"),
     )

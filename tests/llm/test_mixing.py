@@ -45,6 +45,9 @@ def check(rows, got):
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
+        copies = [tuple(map(int, c.split(":"))) for c in r["shards"].split(",") if c]
+        assert sum(c[2] for c in copies) == r["taken"] and len({c[1] for c in copies}) == len(copies) <= 3
+        assert all(c[2] <= r["size"] and 0 <= c[0] < M.LEAST_SHARDS for c in copies)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 0.5 + 1e-6
 
@@ -69,7 +72,7 @@ def test_hot_source_of_many_sources(spark):
 def test_empty_table_and_no_words(spark):
     assert M.op6(spark, spark.createDataFrame([], SCHEMA)).collect() == []
     got = M.op6(spark, spark.createDataFrame([(1, " ", "s", "x", 1)], SCHEMA)).collect()
-    assert [tuple(r) for r in got] == [(1, 0, 0, 0.0, 0)]
+    assert [tuple(r) for r in got] == [(1, 0, 0, 0.0, 0, "")]
 
 
 def test_every_block_goes_to_one_shard(spark):
@@ -121,3 +124,23 @@ def test_many_sources_are_split_in_chunks(spark):
     by_source, given = np.array([3, 5, 9]), np.array([4, 4, 4, 5])
     drawn = M._tree(by_source, 4, [1, 2], given)
     assert (drawn.sum(axis=0) == by_source).all() and (drawn.sum(axis=1) == given).all()
+
+
+def test_shards_hold_what_the_tree_drew(spark):
+    draw = random.Random(8)
+    rows = [(i, " ".join(["w"] * draw.randrange(1, 60)), f"s{i % 5}" if i % 3 else "hot") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    stored = cut(docs.select(F.col("doc_id").alias("_row"), F.col("source").alias("_source"), M.n_words("text").alias("_size"), F.xxhash64("doc_id").alias("_draw")))
+    known, drawn = M.mix(stored, block_words=50, least_shards=8)
+    words, epochs = Counter(), defaultdict(set)
+    for r in drawn.join(known.select("_row", "_key"), "_row").collect():
+        words[r["_key"], r["shard"]] += r["words"]
+        assert r["epoch"] not in epochs[r["_row"]]  # a copy lies in one shard
+        epochs[r["_row"]].add(r["epoch"])
+    quotas = known.groupBy("_key").agg(F.ceil(F.floor(F.max("_target") + 0.5) / 50).alias("_blocks"))
+    blocks = Counter((r["_key"], r["shard"]) for r in M.allocate(quotas, 8).collect())
+    assert {k for k in words} <= {k for k in blocks}
+    for k, n in blocks.items():  # a document belongs to the block it begins in, so a block's words differ by a document
+        assert abs(words[k] - 50 * n) <= 60 * n + 50
+    whole = sum(words.values())
+    assert all(abs(sum(n for (_, s), n in words.items() if s == shard) - whole / 8) < 0.2 * whole / 8 for shard in range(8))
