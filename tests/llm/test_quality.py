@@ -83,3 +83,83 @@ def test_kernel_is_near_gaussian():
     z = Q._fourier(x, np.zeros(Q.N_STATISTICS), np.ones(Q.N_STATISTICS), 8192)[:, :-1]
     true = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * Q.KERNEL**2))
     assert np.abs(z @ z.T - true).max() < 0.1
+
+
+SPACES = b" \t\n\x0b\x0c\r"
+
+
+def plain_statistics(text):
+    """The statistics with loops over bytes and lists of words."""
+    import re
+    from collections import Counter
+
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    groups = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*+<=>@\\^_`{|}~/", b"!?.", b"\"'(),-:;[]"]
+    shares = [sum(b in g for b in data) for g in groups] + [sum(b > 127 for b in data)]
+    n, size = len(words), len(data)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / max(n, 1)
+    spread = max(sum(k * k for k in lengths) / max(n, 1) - mean * mean, 0) ** 0.5
+    loud = sum(sum(65 <= b <= 90 for b in w) > 1 and not any(97 <= b <= 122 for b in w) for w in words)
+    marked = sum(w[-1] in groups[3] for w in words)
+    counts = Counter(words)
+    lines = data.count(b"\n") + (size > 0)
+    # Lines are told apart by the words on them, in any order.
+    full = [tuple(sorted(ws)) for ws in (re.findall(rb"[^\x20\x09-\x0D]+", line) for line in data.split(b"\n")) if ws]
+    return [
+        np.log1p(size), np.log1p(n), *[s / max(size, 1) for s in shares], mean, spread, loud / max(n, 1), marked / max(n, 1),
+        len(counts) / max(n, 1), np.log1p(len(counts)) / np.log1p(max(n, 1)), max(counts.values(), default=0) / max(n, 1),
+        np.log1p(lines), (len(full) - len(set(full))) / max(len(full), 1), min(n / max(lines, 1), 200) / 200,
+    ]
+
+
+def test_statistics_equal_plain_loops():
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    draw = random.Random(4)
+    alphabet = "aB9 \n\t.!#/é漢\r\x0b\U0001f600-x"
+    texts = ["", None, "\n", "A\n\nb A\nA b", *["".join(draw.choices(alphabet, k=draw.randrange(200))) for _ in range(300)]]
+    texts += pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()[:150]
+    words = Words()
+    got = np.vstack([Q.statistics(words, d, o) for _, _, d, o in parts(pa.array([t or "" for t in texts]))])
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+def test_fit_and_score_equal_a_plain_fit(spark):
+    """Statistics in loops, one dense matrix, one solve, one curve over cells, without Spark."""
+    import random
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    draw, features = random.Random(2), 16
+    texts = {i: " ".join(draw.choices(["word", "Two", "##", "9", "END.", "é"], weights=[i % 5 + 1, 2, 5 - i % 5, 1, 1, 1], k=draw.randrange(3, 40))) for i in range(400)}
+    label = {i: int(draw.random() < (0.8 if i % 5 > 2 else 0.2)) for i in texts}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id bigint, quality int")
+    ids = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(Q.SEED)), F.lit(Q.CALIBRATE)) == 0).alias("part")).collect()
+    part = {r["doc_id"]: r["part"] for r in ids}
+    from curbline.llm.common import crc_mod
+
+    got = {r["doc_id"]: r["score"] for r in Q.classify(docs, labels, crc_mod("doc_id", 3) == 1, features=features).collect()}
+
+    x = np.array([plain_statistics(texts[i]) for i in texts])
+    y = np.array([label[i] for i in texts], float)
+    known = np.array([not held[i] for i in texts])
+    check = known & np.array([part[i] for i in texts])
+    fit = known & ~check
+    mean, std = x[known].mean(0), np.maximum(x[known].std(0), 1e-9)
+    z = Q._fourier(x, mean, std, features)
+    ridge = Q.RIDGE * fit.sum() * np.eye(features + 1)
+    ridge[-1, -1] = 1e-9
+    raw = z @ np.linalg.solve(z[fit].T @ z[fit] + ridge, z[fit].T @ y[fit])
+    cell = np.clip(np.floor((raw + 0.5) * Q.CELLS / 2), 0, Q.CELLS - 1)
+    cells = [(raw[check & (cell == c)].mean(), y[check & (cell == c)].mean(), (check & (cell == c)).sum()) for c in np.unique(cell[check])]
+    centre, height = Q.isotonic(*map(np.array, zip(*cells)))
+    want = 0.999 * np.interp(raw, centre, height) + 0.001 / (1 + np.exp(-raw))
+    assert np.allclose([got[i] for i in texts], np.clip(want, 0, 1), atol=1e-6)
