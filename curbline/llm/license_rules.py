@@ -10,8 +10,10 @@ its identifiers follow one another with at most MAX_GAP unknown sentences betwee
 two of them. An unknown sentence goes on to its stop or to a blank line; pieces
 without words and lone list marks are none. A match that lies within another one
 is dropped. All of it is a few expressions per row: nothing is shuffled, and a
-text of any length or a source of any size is handled where it lies. The SQL
-below looks for sentences within one piece only.
+text of any length or a source of any size is handled where it lies. Sentences
+and rules are literal arrays and maps, so the plan does not grow with their number:
+a run of pieces is walked along the known sentences' beginnings, and each found
+identifier is compared with the rules that begin with it.
 
 Defined results: a null or empty text has no match and comes back with counts of
 0; repeated rows come back as often; of equal spans the first rule in order
@@ -20,7 +22,8 @@ wins; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +81,107 @@ RULES = (
     ("cc0-1.0-line", "CC0-1.0", ("cc0-line",)),
     ("unlicense-line", "Unlicense", ("unlicense-line",)),
 )
+# Public licences by SPDX identifier, with the words by which a line names them.
+NAMES = {
+    "0BSD": "zero clause bsd license",
+    "AFL-3.0": "academic free license 3 0",
+    "AGPL-3.0-only": "gnu affero general public license 3",
+    "APSL-2.0": "apple public source license 2 0",
+    "Apache-1.1": "apache license 1 1",
+    "Apache-2.0": "apache license 2 0",
+    "Artistic-1.0": "artistic license 1 0",
+    "Artistic-2.0": "artistic license 2 0",
+    "BSD-1-Clause": "bsd 1 clause license",
+    "BSD-2-Clause": "bsd 2 clause license",
+    "BSD-3-Clause": "bsd 3 clause license",
+    "BSD-4-Clause": "bsd 4 clause license",
+    "BSL-1.0": "boost software license 1 0",
+    "BUSL-1.1": "business source license 1 1",
+    "Beerware": "beerware license",
+    "BlueOak-1.0.0": "blue oak model license 1 0 0",
+    "CAL-1.0": "cryptographic autonomy license 1 0",
+    "CC-BY-4.0": "creative commons attribution license 4 0",
+    "CC-BY-SA-4.0": "creative commons attribution sharealike license 4 0",
+    "CC-BY-NC-4.0": "creative commons attribution noncommercial license 4 0",
+    "CDDL-1.0": "common development and distribution license 1 0",
+    "CDDL-1.1": "common development and distribution license 1 1",
+    "CPAL-1.0": "common public attribution license 1 0",
+    "CPL-1.0": "common public license 1 0",
+    "ECL-2.0": "educational community license 2 0",
+    "EFL-2.0": "eiffel forum license 2 0",
+    "EPL-1.0": "eclipse public license 1 0",
+    "EPL-2.0": "eclipse public license 2 0",
+    "EUPL-1.1": "european union public license 1 1",
+    "EUPL-1.2": "european union public license 1 2",
+    "Elastic-2.0": "elastic license 2 0",
+    "FTL": "freetype project license",
+    "GFDL-1.3-only": "gnu free documentation license 1 3",
+    "GPL-2.0-only": "gnu general public license 2",
+    "GPL-3.0-only": "gnu general public license 3",
+    "ICU": "icu license",
+    "IPL-1.0": "ibm public license 1 0",
+    "ISC": "isc license",
+    "LGPL-2.1-only": "gnu lesser general public license 2 1",
+    "LGPL-3.0-only": "gnu lesser general public license 3",
+    "LPPL-1.3c": "latex project public license 1 3c",
+    "MIT": "mit license",
+    "MIT-0": "mit no attribution license",
+    "MPL-1.1": "mozilla public license 1 1",
+    "MPL-2.0": "mozilla public license 2 0",
+    "MS-PL": "microsoft public license",
+    "MS-RL": "microsoft reciprocal license",
+    "MulanPSL-2.0": "mulan permissive software license 2",
+    "NCSA": "university of illinois ncsa open source license",
+    "NPL-1.1": "netscape public license 1 1",
+    "ODbL-1.0": "open database license 1 0",
+    "OFL-1.1": "sil open font license 1 1",
+    "OSL-3.0": "open software license 3 0",
+    "OpenSSL": "openssl license",
+    "PHP-3.01": "php license 3 01",
+    "PSF-2.0": "python software foundation license 2",
+    "PostgreSQL": "postgresql license",
+    "QPL-1.0": "q public license 1 0",
+    "Ruby": "ruby license",
+    "SSPL-1.0": "server side public license 1",
+    "Sleepycat": "sleepycat license",
+    "UPL-1.0": "universal permissive license 1 0",
+    "Unlicense": "unlicense license",
+    "Vim": "vim license",
+    "W3C": "w3c software notice and license",
+    "WTFPL": "do what the fuck you want to public license",
+    "X11": "x11 license",
+    "ZPL-2.1": "zope public license 2 1",
+    "Zend-2.0": "zend license 2 0",
+    "Zlib": "zlib license",
+}
+# How a line says it.
+PHRASES = (
+    "licensed under the {}", "released under the {}", "distributed under the {}", "this project is licensed under the {}",
+    "this software is licensed under the {}", "this work is licensed under the {}",
+)
+
+
+def spoken(name: str) -> list[str]:
+    """A licence's name with its version as a bare number, after the word, and after a v."""
+    words = re.fullmatch(r"(.*?license)( [0-9].*)?", name)
+    version = words[2] or ""
+    return [name] if not version else [name, f"{words[1]} version{version}", f"{words[1]} v{version[1:]}"]
+
+
+def lines_of(names: Mapping[str, str], phrases: tuple = PHRASES, but: frozenset = frozenset()) -> dict[str, tuple[str, ...]]:
+    """Sentences, but those of ``but``, in which a line names a licence, by identifier ``line-<licence>``."""
+    out = {}
+    for licence, name in names.items():
+        said = [p.format(form) for p in phrases for form in spoken(name)]
+        said.append("spdx license identifier " + " ".join(re.findall("[a-z0-9]+", licence.lower())))
+        out[f"line-{licence}"] = tuple(s for s in said if s not in but)
+    return out
+
+
+LINES = lines_of(NAMES, but=frozenset(SENTENCES.values()))
+#: All sentences by identifier: one, or several that say the same.
+KNOWN: dict[str, str | tuple[str, ...]] = SENTENCES | LINES
+ALL_RULES = (*RULES, *((f"{licence.lower()}-named", licence, (f"line-{licence}",)) for licence in NAMES))
 #: Unknown sentences allowed between two sentences of a rule.
 MAX_GAP = 1
 #: A piece ends at . ! ? or ; before white space, and at a line's end.
@@ -89,9 +193,14 @@ _MARK = "(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})"
 MARKS = rf"^[^a-z0-9]*(?:{_MARK}[.)][ \t]+|(?:dnl|rem)(?![a-z0-9]))|(?<=:)[ \t]+\(?{_MARK}[.)]\s*$"
 
 
-def anchors(sentences: dict[str, str]) -> list[str]:
+def said(known: Mapping[str, str | tuple[str, ...]]) -> dict[str, str]:
+    """The identifier of each known sentence."""
+    return {s: name for name, some in known.items() for s in ((some,) if isinstance(some, str) else some)}
+
+
+def anchors(known: Mapping[str, str | tuple[str, ...]]) -> list[str]:
     """A few words of which every known sentence has one; other sentences need no look-up."""
-    left, out = [set(s.split()) for s in sentences.values()], []
+    left, out = [set(s.split()) for s in said(known)], []
     while left:
         words = sorted({w for s in left for w in s if len(w) > 4} or {w for s in left for w in s})
         best = max(words, key=lambda w: sum(w in s for s in left))
@@ -108,7 +217,7 @@ def normalise(piece: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(piece, MARKS, ""), "[^a-z0-9]+", " "))
 
 
-def pieces(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+def pieces(text: Column, known: Mapping = KNOWN) -> Column:
     """Pieces of the text that may hold a known sentence, else none: array of (at, s, stop)."""
     hint = "|".join(anchors(known))
     each = F.transform(sentences(text), lambda s, i: F.struct(i.alias("at"), normalise(s).alias("s"), s.rlike(STOP).alias("stop")))
@@ -126,33 +235,46 @@ def worded(cut: Column) -> Column:
     return F.filter(F.transform(cut, of), lambda x: x["s"] != "")
 
 
-def runs(lines: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """Known sentences in order, the longest from each piece: array of (j, end, id), places in ``lines``."""
-    table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    longest = max(len(s.split()) for s in known.values())
-    by_length = sorted(known.values(), key=len, reverse=True)
-    whole_run = "^(" + "|".join(s.replace(" ", "[ \n]") for s in by_length) + ")(?=\n|$)"
-    first_word = "^(?:" + "|".join(sorted({s.split()[0] for s in known.values()})) + ")(?: |$)"
+def beginnings(known: Mapping) -> list[str]:
+    """The first words of every known sentence, for any number of words."""
+    return sorted({" ".join(words[:n]) for words in map(str.split, said(known)) for n in range(1, len(words) + 1)})
+
 
-    def begins(s: Column) -> Column:
-        return s.rlike(first_word) & reduce(lambda a, b: a | b, [F.lit(k + " ").startswith(F.concat(s, F.lit(" "))) for k in by_length])
+def runs(lines: Column, known: Mapping = KNOWN) -> Column:
+    """Known sentences in order, the longest from each piece: array of (j, end, id), places in ``lines``."""
+    table = F.str_to_map(F.lit("\n".join(f"{s}={name}" for s, name in said(known).items())), F.lit("\n"), F.lit("="))
+    starts = F.split(F.lit("\n".join(beginnings(known))), "\n")
+    longest = max(len(s.split()) for s in said(known))
+    first_word = "^(?:" + "|".join(sorted({s.split()[0] for s in said(known)})) + ")(?: |$)"
+
+    def step(state: Column, y: Column) -> Column:
+        """One piece more: not alive once no known sentence begins so."""
+        said_so_far = F.when(state["n"] == 0, y["s"]).otherwise(F.concat_ws(" ", state["acc"], y["s"]))
+        ahead = F.when(state["alive"] & F.array_contains(starts, said_so_far), said_so_far)
+        return F.struct(
+            F.coalesce(ahead, F.lit("")).alias("acc"), (state["n"] + 1).alias("n"), ahead.isNotNull().alias("alive"),
+            F.when(ahead.isNotNull(), F.coalesce(F.when(F.map_contains_key(table, ahead), state["n"] + 1), state["len"])).otherwise(state["len"]).alias("len"),
+        )
 
     def run(x: Column) -> Column:  # a sentence of n words has n pieces at most
-        ahead = F.array_join(F.transform(F.slice(lines, x["j"] + 1, F.lit(longest)), lambda y: y["s"]), "\n")
-        return F.struct(x["j"].alias("j"), F.regexp_extract(ahead, whole_run, 1).alias("s"))
+        none = F.struct(F.lit("").alias("acc"), F.lit(0).alias("n"), F.lit(True).alias("alive"), F.lit(0).alias("len"))
+        walked = F.aggregate(F.slice(lines, x["j"] + 1, F.lit(longest)), none, step, lambda state: state["len"])
+        return F.struct(x["j"].alias("j"), (x["j"] + walked - 1).alias("end"))
 
     numbered = F.transform(lines, lambda x, j: F.struct(j.alias("j"), x["s"].alias("s")))
-    found = F.filter(F.transform(F.filter(numbered, lambda x: begins(x["s"])), run), lambda x: x["s"] != "")
-    return F.transform(found, lambda x: F.struct(
-        x["j"].alias("j"),
-        (x["j"] + F.regexp_count(x["s"], F.lit("\n"))).alias("end"),
-        F.try_element_at(table, F.translate(x["s"], "\n", " ")).alias("id"),
-    ))
+    begun = F.filter(numbered, lambda x: x["s"].rlike(first_word) & F.array_contains(starts, x["s"]))
+    found = F.filter(F.transform(begun, run), lambda x: x["end"] >= x["j"])
 
+    def named(x: Column) -> Column:
+        words = F.array_join(F.transform(F.slice(lines, x["j"] + 1, x["end"] - x["j"] + 1), lambda y: y["s"]), " ")
+        return F.struct(x["j"].alias("j"), x["end"].alias("end"), F.try_element_at(table, words).alias("id"))
 
-def alone(found: Column, known: dict[str, str] = SENTENCES) -> Column:
+    return F.transform(found, named)
+
+
+def alone(found: Column, known: Mapping = KNOWN) -> Column:
     """Runs that do not lie within an earlier one."""
-    longest = max(len(s.split()) for s in known.values())
+    longest = max(len(s.split()) for s in said(known))
 
     def held(x: Column, i: Column) -> Column:
         near = F.slice(found, F.greatest(i + 1 - longest, F.lit(1)), F.least(i, F.lit(longest)))
@@ -176,29 +298,29 @@ def placed(found: Column, lines: Column) -> Column:
     return F.transform(found, of)
 
 
-def matches(ids: Column, rules: tuple = RULES, max_gap: int = MAX_GAP) -> Column:
+def matches(ids: Column, rules: tuple = ALL_RULES, max_gap: int = MAX_GAP) -> Column:
     """Matches of the rules in an array of (at, last, gap, id): array of (first, last, order, rule, licence)."""
+    table = F.array(*[
+        F.struct(F.lit(k).alias("order"), F.lit(name).alias("rule"), F.lit(licence).alias("licence"), F.array(*map(F.lit, seq)).alias("seq"))
+        for k, (name, licence, seq) in enumerate(rules)
+    ])
 
-    def of(order: int, rule: tuple) -> Column:
-        name, licence, sequence = rule
-        n = len(sequence)
-
-        def fits(start: Column) -> Column:
-            here = [F.get(ids, start + k) for k in range(n)]
-            tests = [h["id"] == F.lit(s) for h, s in zip(here, sequence)]
-            tests += [h["gap"] <= max_gap for h in here[1:]]
-            return F.coalesce(reduce(lambda x, y: x & y, tests), F.lit(False))
-
-        starts = F.filter(F.transform(ids, lambda _, i: i), fits)
-        return F.transform(starts, lambda i: F.struct(
-            F.get(ids, i)["at"].alias("first"), F.get(ids, i + (n - 1))["last"].alias("last"),
-            F.lit(order).alias("order"), F.lit(name).alias("rule"), F.lit(licence).alias("licence"),
+    def of(x: Column, i: Column) -> Column:
+        def follows(s: Column, k: Column) -> Column:
+            here = F.get(ids, i + k)
+            return F.coalesce((here["id"] == s) & ((k == 0) | (here["gap"] <= max_gap)), F.lit(False))
+
+        begun = F.filter(table, lambda r: F.get(r["seq"], F.lit(0)) == x["id"])
+        held = F.filter(begun, lambda r: F.forall(F.transform(r["seq"], follows), lambda b: b))
+        return F.transform(held, lambda r: F.struct(
+            x["at"].alias("first"), F.get(ids, i + F.size(r["seq"]) - 1)["last"].alias("last"),
+            r["order"].alias("order"), r["rule"].alias("rule"), r["licence"].alias("licence"),
         ))
 
-    return F.array_sort(F.concat(*[of(k, r) for k, r in enumerate(rules)]))
+    return F.array_sort(F.flatten(F.transform(ids, of)))
 
 
-def outermost(found: Column, rules: tuple = RULES) -> Column:
+def outermost(found: Column, rules: tuple = ALL_RULES) -> Column:
     """Matches that do not lie within another; of equal spans the first rule's.
 
     Matches are in order, and a rule spans a bounded number of known sentences, so
@@ -220,7 +342,7 @@ def outermost(found: Column, rules: tuple = RULES) -> Column:
     return F.filter(found, lambda x, i: ~held(x, i))
 
 
-def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES, rules: tuple = RULES, max_gap: int = MAX_GAP) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", known: Mapping = KNOWN, rules: tuple = ALL_RULES, max_gap: int = MAX_GAP) -> DataFrame:
     """Docs with ``license_ids`` (array of at, last, gap, id) and ``license_matches`` added."""
     has = docs.withColumn("license_ids", pieces(whole(text), known))
     for step in (worded, lambda c: F.struct(c.alias("lines"), runs(c, known).alias("found"))):
@@ -251,30 +373,64 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def sql() -> str:
     """The same scan in SQL, over the documents table."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(n)}, {quoted(s)})" for n, s in SENTENCES.items())
+    known = ", ".join(f"({quoted(n)}, {quoted(s)})" for s, n in said(KNOWN).items())
     steps = ", ".join(
         f"({k}, {quoted(name)}, {quoted(licence)}, {len(seq)}, [{', '.join(map(quoted, seq))}])"
-        for k, (name, licence, seq) in enumerate(RULES)
+        for k, (name, licence, seq) in enumerate(ALL_RULES)
     )
+    # The list marks of MARKS without looking around, which this dialect cannot.
+    listed = rf"^[^a-z0-9]*{_MARK}[.)][ \t]+"
+    comment, colon = "^[^a-z0-9]*(?:dnl|rem)([^a-z0-9]|$)", rf":[ \t]+\(?{_MARK}[.)][ \t\x0b\f\r]*$"
+    stop = STOP.replace("'", "''").replace(r"\s", r"[ \t\x0b\f\r]")
     return rf"""
-WITH known(id, s) AS (VALUES {known}),
+WITH RECURSIVE known(id, s) AS (VALUES {known}),
 rules(ord, rule, licence, n, seq) AS (VALUES {steps}),
+starts AS (
+    SELECT DISTINCT array_to_string(list_slice(w, 1, k), ' ') AS p
+    FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT string_split(s, ' ') AS w FROM known))
+),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (
     SELECT r, string_split(regexp_replace(lower(text), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d
-), s AS (
-    SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS at FROM cut
+), part AS (
+    SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS place FROM cut
+), bare AS (
+    SELECT r, place, part, CASE WHEN regexp_matches(part, '{listed}') THEN regexp_replace(part, '{listed}', '')
+        ELSE regexp_replace(part, '{comment}', ' ') END AS body FROM part
+), piece AS (
+    SELECT r, place, regexp_matches(part, '{stop}') AS stop,
+           trim(regexp_replace(regexp_replace(body, '{colon}', ':'), '[^a-z0-9]+', ' ', 'g')) AS s FROM bare
+), seen AS (
+    SELECT *, regexp_matches(s, '^{_MARK}$') AS mark, lag(stop) OVER w AS stopped, lag(s) OVER w AS before
+    FROM piece WINDOW w AS (PARTITION BY r ORDER BY place)
+), line AS (
+    SELECT r, place, s, mark, coalesce(stopped OR before = '' OR regexp_matches(before, '^{_MARK}$'), true) AS new,
+           row_number() OVER (PARTITION BY r ORDER BY place) - 1 AS j
+    FROM seen WHERE s <> ''
+), walk(r, j, k, acc) AS (
+    SELECT r, j, j, s FROM line WHERE s IN (SELECT p FROM starts)
+    UNION ALL
+    SELECT w.r, w.j, l.j, w.acc || ' ' || l.s FROM walk w JOIN line l ON l.r = w.r AND l.j = w.k + 1
+    WHERE w.acc || ' ' || l.s IN (SELECT p FROM starts)
+), longest AS (
+    SELECT w.r, w.j, max(w.k) AS k, arg_max(n.id, w.k) AS id FROM walk w JOIN known n ON n.s = w.acc GROUP BY w.r, w.j
+), apart AS (
+    SELECT * FROM longest QUALIFY coalesce(max(k) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < k
+), spaced AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY j) AS pos, coalesce(lag(k) OVER (PARTITION BY r ORDER BY j), -1) AS prev FROM apart
+), gaps AS (
+    SELECT x.r, x.pos, count(*) FILTER (NOT l.mark AND (l.new OR l.j = x.prev + 1)) AS gap
+    FROM spaced x JOIN line l ON l.r = x.r AND l.j > x.prev AND l.j < x.j GROUP BY x.r, x.pos
 ), i AS (
-    SELECT s.r, s.at, k.id, row_number() OVER (PARTITION BY s.r ORDER BY s.at) AS pos
-    FROM s JOIN known k ON trim(regexp_replace(s.part, '[^a-z0-9]+', ' ', 'g')) = k.s
+    SELECT x.r, x.pos, x.id, a.place, b.place AS last, coalesce(g.gap, 0) AS gap
+    FROM spaced x JOIN line a ON a.r = x.r AND a.j = x.j JOIN line b ON b.r = x.r AND b.j = x.k
+    LEFT JOIN gaps g ON g.r = x.r AND g.pos = x.pos
 ), m AS (
-    SELECT a.r, ru.ord, ru.rule, ru.licence, a.at AS first, max(b.at) AS last
+    SELECT a.r, ru.ord, ru.rule, ru.licence, a.place AS first, max(b.last) AS last
     FROM i a JOIN rules ru ON ru.seq[1] = a.id
     JOIN i b ON b.r = a.r AND b.pos >= a.pos AND b.pos < a.pos + ru.n
-    LEFT JOIN i p ON p.r = b.r AND p.pos = b.pos - 1 AND b.pos > a.pos
-    GROUP BY a.r, a.pos, a.at, ru.ord, ru.rule, ru.licence, ru.n
-    HAVING count(*) = max(ru.n) AND bool_and(b.id = ru.seq[b.pos - a.pos + 1])
-       AND bool_and(p.at IS NULL OR b.at - p.at <= {MAX_GAP + 1})
+    GROUP BY a.r, a.pos, a.place, ru.ord, ru.rule, ru.licence, ru.n
+    HAVING count(*) = max(ru.n) AND bool_and(b.id = ru.seq[b.pos - a.pos + 1]) AND bool_and(b.pos = a.pos OR b.gap <= {MAX_GAP})
 ), o AS (
     SELECT x.* FROM m x WHERE NOT EXISTS (
         SELECT 1 FROM m y WHERE y.r = x.r AND y.first <= x.first AND y.last >= x.last

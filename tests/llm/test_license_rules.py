@@ -164,3 +164,48 @@ def test_wrapped_lines_count_as_one_unknown_sentence(spark):
     assert [got[i]["licenses"] for i in range(3)] == ["MIT", "", "MIT"]
     flat = run(spark, [". ".join(["conditions are met: 1", "2"]).join(["", ""]), BSD_TEXT[BSD_TEXT.index("Redistribution"):].replace("\n", " ")])
     assert flat[0]["n_matches"] == 0 and flat[1]["licenses"] == "BSD-3-Clause"
+
+
+def test_named_licences_in_every_phrase(spark):
+    import re
+
+    spoken = {
+        "This project is licensed under the Mozilla Public License v2.0.": "MPL-2.0",
+        "# SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only",
+        "Distributed under the\n * ISC License.": "ISC",
+        "Released under the Eclipse Public License, version 2.0.": "EPL-2.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "We licensed under the table.": "",
+    }
+    got = run(spark, list(spoken))
+    assert [got[i]["licenses"] for i in range(len(spoken))] == list(spoken.values())
+    every = [(licence, s) for licence in R.NAMES for s in R.LINES[f"line-{licence}"]]
+    got = run(spark, [s.capitalize() + "." for _, s in every])
+    assert [got[i]["licenses"] for i in range(len(every))] == [licence for licence, _ in every]
+    assert len(R.NAMES) > 60 and not re.search("[^a-z0-9 ]", " ".join(R.NAMES.values()))
+
+
+def test_sql_agrees_on_wrapped_marked_and_broken_notices(spark):
+    import random
+
+    import duckdb
+
+    draw = random.Random(12)
+    notices = [MIT_TEXT, BSD_TEXT, GPL_TEXT, APACHE_TEXT, "Licensed under the MIT License.", "SPDX-License-Identifier: Zlib", "An unknown sentence here;"]
+    texts = [None, "", *notices]
+    for _ in range(250):
+        lines = "\n".join(draw.choices(notices, k=draw.randrange(1, 4))).split("\n")
+        mark = draw.choice(["", "# ", "// ", " * ", "dnl ", "rem ", "a) ", "1. "])
+        for _ in range(draw.randrange(4)):
+            k = draw.randrange(len(lines))
+            lines[k] = draw.choice(["", "iv)", "See: (b)", "remark one.", lines[k] + " more words", lines[k][: len(lines[k]) // 2], "Licensed under the"])
+        texts.append(draw.choice(["\n", "\r\n", " \n", " "]).join(mark + line for line in lines))
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in R.op3(spark, frame).collect())
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert got == sorted(con.execute(R.sql()).fetchall())
+    assert sum(r[2] for r in got) > 200
