@@ -34,8 +34,8 @@ WEIGHTS, REPEATS = (1, 2, 3), 3
 #: Words of a block and of a shard; shards number LEAST_SHARDS at least.
 BLOCK_WORDS, SHARD_WORDS, LEAST_SHARDS = 1 << 14, 1 << 26, 16
 SEED = 20260101
-#: Sources whose blocks one task splits, about.
-SOURCES_AT_ONCE = 4096
+#: Sources whose blocks one task splits, about, and halvings of the shards that it does.
+SOURCES_AT_ONCE, DEPTH = 4096, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,86 +74,120 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS)
     return table.select("_key", "_all", "_n", F.least(cap, F.col("_weight") * F.lit(level)).alias("_target"))
 
 
-def _tree(quotas: np.ndarray, shards: int, seed: int | list[int], sizes: np.ndarray | None = None) -> np.ndarray:
-    """Blocks of each source (columns) for each shard (rows); ``sizes`` are the blocks of the shards, else about equal."""
+def _leaves(low: int, high: int, depth: int) -> list[tuple[int, int]]:
+    """Ranges of shards below a node after ``depth`` halvings, or where one shard is left."""
+    if not depth or high - low == 1:
+        return [(low, high)]
+    middle = (low + high) // 2
+    return _leaves(low, middle, depth - 1) + _leaves(middle, high, depth - 1)
+
+
+def _tree(
+    quotas: np.ndarray, shards: int, seed: int | list[int], sizes: np.ndarray | None = None, low: int = 0, depth: int = 64
+) -> np.ndarray:
+    """Blocks of each source (columns) for each range of :func:`_leaves` (rows) of the node of ``shards`` from ``low``.
+
+    ``sizes`` are the blocks of the ranges; without them each range gets about as many as it has shards.
+    """
+    leaves = _leaves(low, low + shards, depth)
     if sizes is None:
-        sizes = _even(int(quotas.sum()), shards)
-    out = np.zeros((shards, len(quotas)), np.int64)
-    todo = [(0, shards, quotas)]
+        sizes = _even(int(quotas.sum()), low, low + shards, depth)
+    begins = np.array([a for a, _ in leaves])
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros((len(leaves), len(quotas)), np.int64)
+    todo = [(0, len(leaves), quotas)]  # ranges and what they hold together
     while todo:
-        low, high, here = todo.pop()
-        if high - low == 1:
-            out[low] = here
+        first, last, here = todo.pop()
+        if last - first == 1:
+            out[first] = here
             continue
-        middle = (low + high) // 2
-        draw = np.random.default_rng([*np.atleast_1d(seed), low, high])
-        left = draw.multivariate_hypergeometric(here, int(sizes[low:middle].sum()), method="marginals")
-        todo += [(low, middle, left), (middle, high, here - left)]
+        a, b = leaves[first][0], leaves[last - 1][1]
+        half = int(np.searchsorted(begins, (a + b) // 2))
+        draw = np.random.default_rng([*np.atleast_1d(seed), a, b])
+        left = draw.multivariate_hypergeometric(here, int(sums[half] - sums[first]), method="marginals")
+        todo += [(first, half, left), (half, last, here - left)]
     return out
 
 
-def _even(blocks: int, shards: int) -> np.ndarray:
-    """Blocks of each shard, halved down the tree."""
-    out, todo = np.zeros(shards, np.int64), [(0, shards, blocks)]
-    while todo:
-        low, high, here = todo.pop()
-        if high - low == 1:
-            out[low] = here
-            continue
-        middle = (low + high) // 2
-        n = here * (middle - low) // (high - low)
-        todo += [(low, middle, n), (middle, high, here - n)]
-    return out
+def _even(blocks: int, low: int, high: int, depth: int = 64) -> np.ndarray:
+    """Blocks of each range of :func:`_leaves`, halved down the tree."""
+    if not depth or high - low == 1:
+        return np.array([blocks], np.int64)
+    middle = (low + high) // 2
+    left = blocks * (middle - low) // (high - low)
+    return np.concatenate([_even(left, low, middle, depth - 1), _even(blocks - left, middle, high, depth - 1)])
+
 
+def _permuted(seed: int):
+    """Adds the order of a source's blocks: block b is at b * step + start modulo their number; back is the inverse of step."""
 
-def allocate(quotas: DataFrame, shards: int, seed: int = SEED, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back, start = [], []
+            for key, n in zip(batch.column("_key").to_pylist(), batch.column("_blocks").to_pylist()):
+                draw = np.random.default_rng([seed, *key.encode()])
+                step = max(1, int(n * draw.uniform(0.3, 0.7)))
+                while gcd(step, n) != 1:
+                    step += 1
+                back.append(pow(step, -1, n) if n > 1 else 0)
+                start.append(int(draw.integers(0, n)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(back, pa.int64()), pa.array(start, pa.int64())], names=[*batch.schema.names, "_back", "_start"]
+            )
+
+    return add
+
+
+def allocate(quotas: DataFrame, shards: int, seed: int = SEED, at_once: int = SOURCES_AT_ONCE, depth: int = DEPTH) -> DataFrame:
     """``_key, _block, shard`` of every block of ``_key, _blocks``, which has one row per source.
 
-    Sources are dealt by hash into chunks of about ``at_once``. A first tree splits
-    the totals of the chunks, then each chunk's own tree splits its sources with
-    the sizes drawn for it: together one draw over all sources.
+    The tree over the shards is drawn in tiers of ``depth`` halvings. A tier takes rows (node, source, blocks),
+    with no row where a source has no block, and gives those of the next one, so a task holds the blocks of
+    2^depth nodes for about ``at_once`` sources, however many shards and sources there are. Sources are dealt by
+    hash into chunks of about that many; in each node a first tree splits the totals of the chunks, then each
+    chunk's own tree splits its sources with the sizes drawn for it: together one draw over all sources.
     """
     wanted = quotas.where("_blocks > 0").select("_key", "_blocks")
     chunks = max(1, -(-wanted.count() // at_once))
-    dealt = wanted.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(chunks)))
+    rows = (
+        wanted.mapInArrow(_permuted(seed), "_key string, _blocks bigint, _back bigint, _start bigint")
+        .withColumns({
+            "_chunk": F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(chunks)), "_n": F.col("_blocks"),
+            "_from": F.lit(0).cast("bigint"), "_low": F.lit(0).cast("bigint"), "_high": F.lit(shards).cast("bigint"),
+        })
+    )
+    columns = ["_key", "_blocks", "_back", "_start", "_chunk", "_n", "_from", "_low", "_high"]
+    kinds = ", ".join(f"{c} {'string' if c == '_key' else 'bigint'}" for c in columns)
 
     def first(table: pa.Table) -> pa.Table:
         table = table.sort_by("_chunk")
-        blocks = table.column("_blocks").to_numpy()
-        by_shard = _tree(blocks, shards, seed)
-        return pa.table({"_chunk": table.column("_chunk"), "_sizes": pa.array(by_shard.T.tolist(), pa.list_(pa.int64()))})
+        low, high = table.column("_low")[0].as_py(), table.column("_high")[0].as_py()
+        drawn = _tree(table.column("_blocks").to_numpy(), high - low, seed, None, low, depth)
+        lists = pa.array(drawn.T.tolist(), pa.list_(pa.int64()))
+        return pa.table({"_low": table.column("_low"), "_chunk": table.column("_chunk"), "_sizes": lists})
 
     def split(table: pa.Table, drawn: pa.Table) -> pa.Table:
         table = table.sort_by("_key")
-        chunk = table.column("_chunk")[0].as_py()
-        blocks = table.column("_blocks").to_numpy()
-        by_shard = _tree(blocks, shards, [seed, chunk], np.array(drawn.column("_sizes")[0].as_py(), np.int64))
-        ends = np.cumsum(by_shard, axis=0)
-        # The place of block b is b * step + start modulo the source's blocks; back is the inverse of step.
-        draw = np.random.default_rng([seed, shards, chunk])
-        steps = []
-        for n in blocks.tolist():
-            step = max(1, int(n * draw.uniform(0.3, 0.7)))
-            while gcd(step, n) != 1:
-                step += 1
-            steps.append((pow(step, -1, n) if n > 1 else 0, int(draw.integers(0, n))))
-        s, k = np.nonzero(by_shard)
-        return pa.table({
-            "_key": table.column("_key").take(pa.array(k)),
-            "shard": pa.array(s, pa.int32()),
-            "_from": pa.array((ends - by_shard)[s, k]),
-            "_to": pa.array(ends[s, k]),
-            "_n": pa.array(blocks[k]),
-            "_back": pa.array([steps[i][0] for i in k], pa.int64()),
-            "_start": pa.array([steps[i][1] for i in k], pa.int64()),
-        })
-
-    sums = dealt.groupBy("_chunk").agg(F.sum("_blocks").alias("_blocks"))
-    drawn = sums.groupBy().applyInArrow(first, "_chunk bigint, _sizes array<bigint>")
-    ranges = dealt.groupBy("_chunk").cogroup(drawn.groupBy("_chunk")).applyInArrow(
-        split, "_key string, shard int, _from bigint, _to bigint, _n bigint, _back bigint, _start bigint"
+        low, high, chunk = [table.column(c)[0].as_py() for c in ("_low", "_high", "_chunk")]
+        sizes = np.array(drawn.column("_sizes")[0].as_py(), np.int64)
+        parts = _tree(table.column("_blocks").to_numpy(), high - low, [seed, chunk], sizes, low, depth)
+        begin = table.column("_from").to_numpy() + np.cumsum(parts, axis=0) - parts
+        s, k = np.nonzero(parts)
+        leaves = np.array(_leaves(low, high, depth), np.int64)
+        taken = table.take(pa.array(k))
+        new = {"_blocks": parts[s, k], "_from": begin[s, k], "_low": leaves[s, 0], "_high": leaves[s, 1]}
+        return pa.table({c: pa.array(new[c]) if c in new else taken.column(c) for c in columns})
+
+    for left in range((max(shards - 1, 0)).bit_length(), 0, -depth):
+        totals = rows.groupBy("_low", "_high", "_chunk").agg(F.sum("_blocks").alias("_blocks"))
+        drawn = totals.groupBy("_low").applyInArrow(first, "_low bigint, _chunk bigint, _sizes array<bigint>")
+        rows = rows.groupBy("_low", "_chunk").cogroup(drawn.groupBy("_low", "_chunk")).applyInArrow(split, kinds)
+        if left > depth:
+            rows = cut(rows)
+    place = rows.select(
+        "_key", F.col("_low").cast("int").alias("shard"), "_n", "_back", "_start",
+        F.explode(F.sequence("_from", F.col("_from") + F.col("_blocks") - 1)).alias("_place"),
     )
-    place = ranges.select("_key", "shard", "_n", "_back", "_start", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_place"))
     return place.select("_key", "shard", F.pmod((F.col("_place") - F.col("_start")) * F.col("_back"), F.col("_n")).alias("_block"))
 
 

@@ -144,3 +144,33 @@ def test_shards_hold_what_the_tree_drew(spark):
         assert abs(words[k] - 50 * n) <= 60 * n + 50
     whole = sum(words.values())
     assert all(abs(sum(n for (_, s), n in words.items() if s == shard) - whole / 8) < 0.2 * whole / 8 for shard in range(8))
+
+
+def test_many_shards_are_drawn_in_tiers(spark):
+    shards = 100_000
+    blocks = {f"={k:02}": 1 + k * k * 10 for k in range(50)} | {"=hot": 200_000}
+    quotas = spark.createDataFrame(list(blocks.items()), "_key string, _blocks bigint")
+    rows = cut(M.allocate(quotas, shards))
+    held = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    want = M._even(sum(blocks.values()), 0, shards)
+    assert [held.get(s, 0) for s in range(shards)] == want.tolist()
+    got = {r["_key"]: (r["n"], r["d"], r["a"], r["z"]) for r in rows.groupBy("_key").agg(
+        F.count("*").alias("n"), F.count_distinct("_block").alias("d"), F.min("_block").alias("a"), F.max("_block").alias("z")
+    ).collect()}
+    assert got == {k: (n, n, 0, n - 1) for k, n in blocks.items()}
+    # The hot source fills its share of any part of the shards.
+    part = rows.where("shard < 25000 AND _key = '=hot'").count()
+    assert abs(part - 50_000) < 1_000
+
+
+def test_tiers_draw_the_same_tree(spark):
+    quotas = np.array([600, 300, 0, 60, 41])
+    whole = M._tree(quotas, 37, 5)
+    top = M._tree(quotas, 37, 5, depth=3)
+    below = [M._tree(row, b - a, 5, None, a) for row, (a, b) in zip(top, M._leaves(0, 37, 3))]
+    assert (np.vstack(below) == whole).all() and (whole.sum(axis=1) == M._even(1001, 0, 37)).all()
+    frame = spark.createDataFrame([("=a", 700), ("=b", 41)], "_key string, _blocks bigint")
+    one, three = [sorted(map(tuple, M.allocate(frame, 37, depth=d).collect())) for d in (64, 2)]
+    assert [(k, s) for k, s, _ in one] != [] and len(one) == len(three) == 741
+    assert Counter(s for _, s, _ in one) == Counter(s for _, s, _ in three)
+    assert M.allocate(frame, 1).select("shard").distinct().collect()[0][0] == 0
