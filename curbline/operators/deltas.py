@@ -2,9 +2,9 @@
 
 The case table is a committed one (:mod:`curbline.sources.commits`). Between two of its
 versions only some folders differ: the rows of folders that went count -1, those of
-folders that came count +1. Summed by the keys of the serving table, rows that a
-rewrite merely copied cancel, in the tasks that read them, and what is left are the
-changes. They are added to the serving table as signed rows, so only keys that changed
+folders that came count +1. Both are summed by the keys of the serving table where they
+are read; when the sums meet, rows that a rewrite merely copied cancel, and what is left
+are the changes. They are added to the serving table as signed rows, so only keys that changed
 are written; a reader sums the rows of a key and leaves out keys without cases. A month
 of more than ``FOLDERS`` additions is summed anew when the next one arrives.
 
