@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbline.llm.common import attach, total_of
 from curbline.session import cut
 
+#: Links that one task takes at most, when no more are left.
+LAST = 1 << 12
+
+
+def _last(edges: DataFrame) -> DataFrame:
+    """``node, to`` of at most LAST links: the smallest node that each reaches, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.column_stack([batch.column(c).to_numpy() for c in "ab"]) for batch in batches]
+        node, at = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *ends]), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        to, before = np.arange(len(node)), None
+        while before is None or (to != before).any():
+            before = to.copy()
+            least = np.minimum(to[a], to[b])
+            for end in (a, b):
+                np.minimum.at(to, to[end], least)  # the whole group of the larger end moves
+                np.minimum.at(to, end, least)
+            to = to[to]
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[to])], names=["node", "to"])
+
+    return edges.coalesce(1).mapInArrow(run, "node bigint, to bigint")
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node it reaches) of every node of the links ``a, b`` (longs).
@@ -16,10 +43,15 @@ def components(links: DataFrame) -> DataFrame:
     what is left are kept, once each. A star, however large, takes one round: its
     links meet by partial aggregation, and its centre is a hot key of ``attach``.
     Nodes should be hashes: their order is then random and about half go each round.
+    The last LAST links are followed to their ends by one task: a round is half a dozen
+    jobs, whose plans and threads cost the driver the same however few links are left.
     """
     edges = cut(links.where("a <> b").select("a", "b").distinct())
     moved = []
-    while not edges.isEmpty():
+    while n_links := edges.count():
+        if n_links <= LAST:
+            moved.append(cut(_last(edges)))
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = cut(
             both.groupBy("a").agg(F.min("b").alias("to"), F.count("*").alias("n"))
@@ -41,4 +73,4 @@ def components(links: DataFrame) -> DataFrame:
         sizes = step.groupBy("to").agg(F.count("*").alias("n"))
         ends = cut(sizes.join(place, sizes["to"] == place["node"], "left").select("to", "n", F.coalesce("component", "to").alias("component")))
         place = attach(step, ends, "to", "n", total_of(ends, "n"), ["node"]).select("node", "component")
-    return cut(place)
+    return cut(place) if len(moved) > 1 else place

@@ -19,6 +19,7 @@ empty text in the held-out test; extra columns stay as they are.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -81,24 +82,36 @@ def features(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
         yield (x / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
+def fit_machine(x: np.ndarray | list[np.ndarray], y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps.
+
+    Rows may come as blocks, end to end; they are read where they lie and not copied.
+    """
+    blocks = x if isinstance(x, list) else [x]
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     weight = (share * c).astype(np.float32)
-    u = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), np.float32)
+    ends = np.cumsum([len(x) for x in blocks])
+    width = blocks[0].shape[1] + 1
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ w[:-1] for x in blocks]) + w[-1]
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.append(sum(x.T @ v[e - len(x) : e] for x, e in zip(blocks, ends)), v.sum())
+
+    u = np.full(width, 1 / np.sqrt(width), np.float32)
     size = 0.0
     for _ in range(10):  # largest curvature by power iteration
-        u = x.T @ (weight * (x @ u))
+        u = total(weight * margins(u))
         size = float(np.linalg.norm(u))
         u /= np.float32(max(size, 1e-12))
     step = np.float32(1.0 / (2.2 * size + 1e-3))
-    w = z = np.zeros(x.shape[1], np.float32)
+    w = z = np.zeros(width, np.float32)
     t = 1.0
     for _ in range(rounds):
-        gap = np.maximum(np.float32(0), 1 - y * (x @ z))
-        new = z - step * (np.float32(1e-3) * z - 2 * (x.T @ (weight * y * gap)))
+        gap = np.maximum(np.float32(0), 1 - y * margins(z))
+        new = z - step * (np.float32(1e-3) * z - 2 * total(weight * y * gap))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         z = new + np.float32((old - 1) / t) * (new - w)
         w = new
@@ -167,21 +180,27 @@ def _families(x: np.ndarray, labels: np.ndarray) -> dict[str, str]:
 
 
 def fit(x: np.ndarray, labels: np.ndarray) -> Hierarchy:
+    """The machines of the labelled rows; rows in order of their label are not copied."""
+    order = np.argsort(labels, kind="stable")
+    if (order[1:] < order[:-1]).any():
+        x, labels = x[order], labels[order]
+    names, first, count = np.unique(labels, return_index=True, return_counts=True)
+    rows = {lang: x[a : a + n] for lang, a, n in zip(names.tolist(), first.tolist(), count.tolist())}
     known = _families(x, labels)
     model = Hierarchy()
-    for lang in sorted(set(labels)):
+    for lang in rows:
         model.families.setdefault(known[lang], []).append(lang)
-    family = np.array([known[lang] for lang in labels], object)
 
-    def pair(names: np.ndarray, a: str, b: str) -> None:
-        rows = (names == a) | (names == b)
-        model.machines[a, b] = fit_machine(x[rows], np.where(names[rows] == a, 1.0, -1.0)).astype(np.float32)
+    def pair(a: str, b: str, own_a: list[str], own_b: list[str]) -> None:
+        blocks = [rows[lang] for lang in own_a + own_b]
+        y = np.repeat([1.0] * len(own_a) + [-1.0] * len(own_b), [len(block) for block in blocks])
+        model.machines[a, b] = fit_machine(blocks, y).astype(np.float32)
 
     for a, b in combinations(model.families, 2):
-        pair(family, a, b)
+        pair(a, b, model.families[a], model.families[b])
     for own in model.families.values():
         for a, b in combinations(own, 2):
-            pair(labels, a, b)
+            pair(a, b, [a], [b])
     return model
 
 
@@ -222,17 +241,18 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [row.tobytes() for block in features(batch.column("_text"), width) for row in block]
+            x = [zlib.compress(row.tobytes(), 1) for block in features(batch.column("_text"), width) for row in block]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_hash"), pa.array(x, pa.binary())], names=["_label", "_hash", "_x"])
 
-    got = chosen.mapInArrow(tidy(vectors), "_label string, _hash bigint, _x binary").toArrow().combine_chunks()
-    # the same fit whatever the order of rows
-    order = got.select(["_label", "_hash"]).append_column("_at", pa.array(range(len(got)))).sort_by([("_label", "ascending"), ("_hash", "ascending")])
-    order = order.column("_at").to_numpy()
-    labels = np.array(got.column("_label").to_pylist(), object)[order]
-    column = got.column("_x").chunk(0)
-    x = np.frombuffer(column.buffers()[2], np.float32).reshape(len(column), width)[order]
-    del got, column
+    # most features are zero, so packed rows are a fraction of the fit's matrix; the same fit whatever the order of rows
+    got = chosen.mapInArrow(tidy(vectors), "_label string, _hash bigint, _x binary").toArrow()
+    got = got.sort_by([("_label", "ascending"), ("_hash", "ascending")])
+    labels = np.array(got.column("_label").to_pylist(), object)
+    x = np.empty((len(got), width), np.float32)
+    for k, row in enumerate(got.column("_x")):
+        x[k] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float32)
+    del got
+    release()
     model = fit(x, labels)
     del x
     release()

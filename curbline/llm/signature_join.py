@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from curbline.llm.common import attach, bounded_batches, tidy, total_of, whole
 from curbline.llm.components import components
 from curbline.llm.text_arrays import LOWER, Words, mix, parts, shingles
-from curbline.session import cut
+from curbline.session import cut, settle
 
 #: Shingles in more than one document of HEAVY_SHARE (HEAVY_LEAST at least) come last in the order; the
 #: heaviest HEAVY_MOST of them are sent to all tasks. The order decides what a group costs, not what is found.
@@ -599,6 +599,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
         return found, cut(inside)
 
     links = None
+    settle(docs.sparkSession)
     inside = cut(members.select("token", "pivot", "key", "n_group", "weight", F.col("key").alias("component")))
     for turn in range(STARS + 1):
         if inside.isEmpty():
@@ -608,6 +609,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = R
             more = cut(_links(cut(likely), texts, nodes, rule))
             links = more if links is None else links.unionByName(more)
             found, inside = place(links)
+            settle(docs.sparkSession)
         else:  # the links between components that the trees leave possible
             links = links.unionByName(cut(_across(inside, texts, nodes, rule)))
             found = components(links)

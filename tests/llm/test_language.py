@@ -133,6 +133,29 @@ def test_machine_reaches_the_least_loss():
     assert loss(L.fit_machine(x, y, rounds=600)) < loss(w) * 1.01 + 1e-4
 
 
+def test_machine_of_blocks_equals_that_of_all_rows():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(90, 6)).astype(np.float32)
+    y = np.where(x[:, 0] > 0, 1.0, -1.0)
+    assert np.allclose(L.fit_machine(x, y), L.fit_machine([x[:10], x[10:11], x[11:]], y), atol=1e-4)
+
+
+def test_fit_does_not_copy_its_rows():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    labels = np.repeat(np.array(["de", "en", "es", "fr"], object), 500)
+    x = draw.random((2000, L.WIDTH), np.float32)
+    tracemalloc.start()
+    model = L.fit(x, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 4  # twice x.nbytes before
+    back = np.arange(len(x))[::-1]
+    other = L.fit(x[back], labels[back])
+    assert other.families == model.families and set(other.machines) == set(model.machines)
+
+
 def test_many_labels_and_their_families(spark):
     draw = np.random.default_rng(9)
     centre = {f"q{k:03d}": draw.normal(size=40) + 8 * np.eye(40)[k % 12] for k in range(100)}

@@ -135,6 +135,26 @@ def test_components_of_random_links(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+@pytest.mark.parametrize("last", [0, 20])
+def test_components_by_rounds_and_a_last_task(spark, monkeypatch, last):
+    from curbline.llm import components as C
+
+    links = [(k, k + 1) for k in range(0, 60)] + [(500, 500 + k) for k in range(1, 30)] + [(7, 7), (900, 901)]
+    monkeypatch.setattr(C, "LAST", last)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: 0 for k in range(61)} | {500 + k: 500 for k in range(30)} | {900: 900, 901: 900}
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    from curbline.llm import components as C
+
+    stored = []
+    monkeypatch.setattr(C, "cut", lambda frame, cut=C.cut: stored.append(1) or cut(frame))
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint")
+    assert {r["component"] for r in components(links).collect()} == {0}
+    assert len(stored) <= 3  # two for each round of halving before
+
+
 def test_overlaps_are_exact(monkeypatch):
     draw = np.random.default_rng(2)
     sets = [np.unique(draw.integers(0, 400, draw.integers(1, 300)).astype(np.uint64)) for _ in range(30)]
