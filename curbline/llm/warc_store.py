@@ -37,6 +37,10 @@ _LINE = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
 #: Records a file holds at most, which bounds what one task reads.
 FILE_RECORDS = 20_000
+#: Shuffles of many small partitions are merged into files of about so many bytes before compression, but not below one file a core.
+FILE_BYTES = 4 << 20
+#: What a record's header counts as in that.
+HEADER_BYTES = 1 << 10
 
 
 def base32_sha1(data: bytes) -> str:
@@ -109,19 +113,20 @@ def write(
         whole(payload).alias("_payload"),
     ).mapInArrow(_digests, f"_id {kind}, _url string, _sha string, _sha1 string, _bytes bigint, _packed binary")
     meta = cut(rows.drop("_packed").withColumn("_row", F.monotonically_increasing_id()))
+    total, volume = meta.agg(F.count("*"), F.sum(F.col("_bytes") + HEADER_BYTES)).first()
+    files = max(spark.sparkContext.defaultParallelism, -(-(volume or 0) // FILE_BYTES))
     groups = cut(
         meta.groupBy("_sha").agg(
             F.max(F.struct("_id", "_row", "_url")).alias("_first"), F.max("_sha1").alias("_sha1"), F.max("_bytes").alias("_bytes"), F.count("*").alias("_n")
-        )
+        ).coalesce(files)
     )
-    total = total_of(groups, "_n")
 
     # One row of each group brings the payload into the store; the key holds one row but for repeated rows.
     keyed = lambda sha, key: F.concat_ws(":", sha, F.coalesce(key.cast("string"), F.lit("")))
     holders = groups.select(keyed(F.col("_sha"), F.col("_first._id")).alias("_k"))
     rows.select(keyed(F.col("_sha"), F.col("_id")).alias("_k"), "_sha", "_bytes", "_packed").join(holders, "_k", "left_semi").dropDuplicates(
         ["_k"]
-    ).drop("_k").write.option("compression", "none").parquet(f"{path}/payloads")
+    ).drop("_k").coalesce(files).write.option("compression", "none").parquet(f"{path}/payloads")
 
     first = groups.select("_sha", "_first", "_n")
     urn = _urn(F.col("_id"), F.col("_row"), F.col("_url"))
@@ -159,8 +164,8 @@ def write(
         F.col("_id").alias("id"), "_urn", "_sha", "_is_response",
         F.when(F.col("_bytes") < least_bytes, F.col("_n")).otherwise(1).alias("_n"),
         header.alias("header"), http.alias("http"),
-    ).write.parquet(f"{path}/headers")
-    records(spark, path).select("record").write.option("lineSep", RECORD_END).option("compression", "gzip").option(
+    ).coalesce(files).write.parquet(f"{path}/headers")
+    records(spark, path).select("record").coalesce(files).write.option("lineSep", RECORD_END).option("compression", "gzip").option(
         "maxRecordsPerFile", FILE_RECORDS
     ).text(f"{path}/warc")
 

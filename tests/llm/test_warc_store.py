@@ -95,3 +95,31 @@ def test_archives_with_a_member_for_each_record(spark, tmp_path):
 
 def test_empty_table(spark):
     assert A.op4(spark, frame(spark).where("false")).collect() == []
+
+
+def test_files_follow_the_bytes_and_not_the_shuffle_partitions(spark, monkeypatch):
+    rows = [(k, f"http://h/{k}", f"<p>{k % 300}</p>") for k in range(600)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < 20
+
+    def files():
+        path = fresh_path(spark, "archive")
+        A.write(frame(spark, rows), path)
+        got = A.read(spark, path).collect()
+        assert sorted((int(r["id"]), r["refers_to"]) for r in got) == [(k, str(k + 300) if k < 300 else None) for k in range(600)]
+        return [spark.read.format("binaryFile").load(f"{path}/{part}").select("path").count() for part in ("payloads", "headers", "warc")]
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        few = files()
+        assert all(n <= cores for n in few), few
+        volume = sum(len(h) + A.HEADER_BYTES for *_, h in rows)
+        monkeypatch.setattr(A, "FILE_BYTES", -(-volume // 30))
+        many = files()
+        assert cores < many[0] <= 30 and all(n <= 30 for n in many), many
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
