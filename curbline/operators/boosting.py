@@ -4,10 +4,14 @@ Columns become bins once: numbers by quantiles, categories by their place among
 sorted values, where a split asks for one value against the rest. Rows are stored as
 blocks of small integers with label, weight and raw score. A level of a tree is one
 job: each task sums gradients and Hessians of its rows per node and bin, the sums of
-a node meet in one small group, and the driver sees one histogram per node. Of the
-splits found, level by level, the best are taken first until the tree has its leaves.
-Every few trees the raw scores are stored anew, so a job never follows more trees
-than that. Rows held back by a hash of their key tell when more trees stop helping.
+a node meet in one small group, and the driver sees one histogram per node. Of two
+siblings only the smaller one is summed, the other one is what its parent has left. Of
+the splits found, level by level, the best are taken first until the tree has its leaves;
+a node that those taken so far push out of the tree is not followed. The gradients are
+worked out once for each tree and kept by the executors for its levels. Every few trees the
+raw scores are stored anew, so a tree never follows more trees than that. So few rows that
+jobs would take longer than their sums (``HERE_ROWS``) are grown on in one task.
+Rows held back by a hash of their key tell when more trees stop helping.
 
 Defined results: a missing number is in the lowest bin; a category not seen in
 training equals no value; with one class the score is its share; without rows it is
@@ -23,17 +27,21 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.session import cut
+from curbline.session import cut, discard
 
 #: Trees after which raw scores are stored anew; rows of a block; values of a category that are told apart.
 REFRESH, BLOCK_ROWS, MOST_VALUES = 10, 1 << 16, 4096
+#: Gains that differ by less than this share are equal.
+SAME = 1e-9
 #: Sums of all tasks that the driver adds up itself; more meet in a group for each node first.
 DIRECT_BYTES = 1 << 26
-#: Rows worth a task of their own.
-TASK_ROWS = 1 << 14
+#: Rows worth a task of their own; rows up to which one task grows all trees.
+TASK_ROWS, HERE_ROWS = 1 << 14, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -86,27 +94,62 @@ class Model:
     def columns(self) -> list[str]:
         return self.numbers + self.categories
 
+    @property
+    def sizes(self) -> list[int]:
+        """Bins of each column."""
+        return [len(x) + 1 for x in (*self.edges, *self.values)]
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if max(self.sizes, default=0) <= 256 else np.uint16
+
     def encode(self, batch: list[pa.Array]) -> np.ndarray:
         """Bins of the model's columns, in their order."""
-        out = np.zeros((len(batch[0]), len(self.columns)), np.uint16)
+        out = np.zeros((len(batch[0]), len(self.columns)), self.kind, order="F")  # a column lies together
         for k, edges in enumerate(self.edges):
             x = np.asarray(batch[k].cast(pa.float64()).to_numpy(zero_copy_only=False), float)
             out[:, k] = np.searchsorted(edges, np.where(np.isnan(x), -np.inf, x), "left")
         for k, values in enumerate(self.values, len(self.numbers)):
-            place = {v: i + 1 for i, v in enumerate(values)}  # 0: not seen
-            out[:, k] = [place.get(v, 0) for v in batch[k].to_pylist()]
+            place = pc.index_in(batch[k].cast(pa.string()), value_set=pa.array(values, pa.string()))
+            out[:, k] = pc.fill_null(place, -1).to_numpy(zero_copy_only=False) + 1  # 0: not seen
         return out
 
     def goes_left(self, tree: Tree, node: int, bins: np.ndarray) -> np.ndarray:
         c = tree.column[node]
         return bins[:, c] == tree.cut[node] if c >= len(self.numbers) else bins[:, c] <= tree.cut[node]
 
+    def parted(self, tree: Tree, node: int, bins: np.ndarray, rows: np.ndarray | None, asked=None) -> list[tuple[int, np.ndarray]]:
+        """The children of a node, or those asked for, with their shares of its rows."""
+        x = bins[:, tree.column[node]]
+        if rows is not None:
+            x = x[rows]
+        left = x == tree.cut[node] if tree.column[node] >= len(self.numbers) else x <= tree.cut[node]
+        sides = [(child, here) for child, here in ((tree.left[node], left), (tree.right[node], ~left)) if asked is None or asked[child]]
+        return [(child, np.flatnonzero(here) if rows is None else rows.compress(here)) for child, here in sides]
+
+    def rows_at(self, tree: Tree, bins: np.ndarray, wanted: list[int] | None = None) -> Iterator[tuple[int, np.ndarray | None]]:
+        """Each leaf with its rows (None: all), or of the leaves only those wanted."""
+        asked = np.ones(len(tree.step), bool)
+        if wanted is not None:
+            asked[:] = False
+            asked[wanted] = True
+            for node in range(len(tree.step) - 1, -1, -1):  # children come after their parent
+                if tree.left[node] >= 0:
+                    asked[node] = asked[tree.left[node]] | asked[tree.right[node]]
+        stack: list[tuple[int, np.ndarray | None]] = [(0, None)]
+        while stack:
+            node, rows = stack.pop()
+            if not asked[node]:
+                continue
+            if tree.left[node] < 0:
+                yield node, rows
+                continue
+            stack += self.parted(tree, node, bins, rows, asked)[::-1]
+
     def leaf_of(self, tree: Tree, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(len(bins), np.int64)
-        for node in range(len(tree.step)):  # children come after their parent
-            if tree.left[node] >= 0:
-                here = np.flatnonzero(at == node)
-                at[here] = np.where(self.goes_left(tree, node, bins[here]), tree.left[node], tree.right[node])
+        for node, rows in self.rows_at(tree, bins):
+            at[slice(None) if rows is None else rows] = node
         return at
 
     def raw(self, bins: np.ndarray, trees: list[Tree] | None = None) -> np.ndarray:
@@ -153,7 +196,8 @@ def prepared(df: DataFrame, numbers: list[str], categories: list[str], bins: int
     return Model(numbers, categories, edges, values)
 
 
-_BLOCK = "bins binary, y binary, w binary, h binary, raw binary"
+_COLUMNS = ["bins", "y", "w", "h", "raw"]
+_BLOCK = ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def _blocks(df: DataFrame, model: Model, label: str, weight: str | None, key: str, n_rows: int) -> DataFrame:
@@ -167,8 +211,7 @@ def _blocks(df: DataFrame, model: Model, label: str, weight: str | None, key: st
                 y, w = [np.asarray(part.column(c).to_numpy(zero_copy_only=False), float) for c in ("_y", "_w")]
                 h = part.column("_h").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in (bins, y, w, h, np.full(len(y), model.start))],
-                    names=["bins", "y", "w", "h", "raw"],
+                    [pa.array([x.tobytes()], pa.binary()) for x in (bins.T, y, w, h, np.full(len(y), model.start))], names=_COLUMNS
                 )
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -179,76 +222,194 @@ def _blocks(df: DataFrame, model: Model, label: str, weight: str | None, key: st
     return cut(rows.mapInArrow(run, _BLOCK))
 
 
-def _unpacked(rows, n_columns: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for row in rows:
+def _unpacked(rows, model: Model) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins, label, weight, hash and raw score of each block."""
+    for bins, y, w, h, raw in rows:
         yield (
-            np.frombuffer(row["bins"], np.uint16).reshape(-1, n_columns),
-            *[np.frombuffer(row[c], np.float64) for c in ("y", "w")], np.frombuffer(row["h"], np.int64), np.frombuffer(row["raw"], np.float64),
+            np.frombuffer(bins, model.kind).reshape(len(model.columns), -1).T,
+            *[np.frombuffer(x, np.float64) for x in (y, w)], np.frombuffer(h, np.int64), np.frombuffer(raw, np.float64),
         )
 
 
 def _refreshed(blocks: DataFrame, model: Model, trees: list[Tree]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(raw + model.raw(bins, trees)).tobytes() for bins, _, _, _, raw in _unpacked(batch.to_pylist(), len(model.columns))]
+            rows = zip(*[batch.column(c).to_pylist() for c in _COLUMNS])
+            raw = [(raw + model.raw(bins, trees)).tobytes() for bins, _, _, _, raw in _unpacked(rows, model)]
             yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(raw, pa.binary()))
 
     return cut(blocks.mapInArrow(run, _BLOCK))
 
 
-def _sums(blocks: DataFrame, model: Model, recent: list[Tree], tree: Tree, nodes: list[int], number: int, settings: Settings, tasks: int) -> dict[int, np.ndarray]:
-    """For each node: gradient, Hessian, weight and rows of every bin, over all rows; under -1 loss and weight of those held back."""
-    sizes = [len(e) + 1 for e in model.edges] + [len(v) + 1 for v in model.values]
-    first = np.cumsum([0, *sizes])
-    total = int(first[-1])
-
-    def tally(rows) -> list[tuple[int, bytes]]:
-        hist, loss, some = np.zeros((len(nodes), 4, total)), np.zeros(2), False
-        place = np.full(len(tree.step), -1)
-        place[nodes] = np.arange(len(nodes))
-        for bins, y, w, h, raw in _unpacked(rows, len(model.columns)):
-            some = True
-            raw = raw + model.raw(bins, recent)
-            p = _sigmoid(raw)
-            held = (_chance(h, 1) * settings.held_back < 1) if settings.stop else np.zeros(len(y), bool)
-            loss += [(w * (np.logaddexp(0, raw) - y * raw))[held].sum(), w[held].sum()]
-            at = model.leaf_of(tree, bins)
-            use = ~held & (place[at] >= 0)
-            if settings.rows_share < 1:
-                use &= _chance(h, 1000 + number) < settings.rows_share
-            k = place[at[use]] * total
-            g, hh, ww = (w * (p - y))[use], (w * p * (1 - p))[use], w[use]
-            for c in range(len(sizes)):
-                cell = k + first[c] + bins[use, c]
-                for j, x in enumerate((g, hh, ww, None)):
-                    hist[:, j, first[c] : first[c + 1]] += np.bincount(cell, x, len(nodes) * total).reshape(len(nodes), total)[:, first[c] : first[c + 1]]
-        return [*zip(nodes, [x.tobytes() for x in hist]), (-1, loss.tobytes())] if some else []
-
-    def added(parts: list[bytes]) -> np.ndarray:
-        return np.sum([np.frombuffer(x) for x in sorted(parts)], axis=0)  # one order, one result
+def _used(h: np.ndarray, number: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Rows held back, and rows that the tree of this number is grown on."""
+    held = (_chance(h, 1) * settings.held_back < 1) if settings.stop else np.zeros(len(h), bool)
+    use = ~held
+    if settings.rows_share < 1:
+        use &= _chance(h, 1000 + number) < settings.rows_share
+    return held, use
+
+
+def _steps(block: tuple[np.ndarray, ...], number: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows the tree is grown on bins, gradient and Hessian; loss and weight of those held back."""
+    bins, y, w, h, raw = block
+    held, use = _used(h, number, settings)
+    yh, wh, rh = y[held], w[held], raw[held]
+    loss = np.array([(wh * (np.logaddexp(0, rh) - yh * rh)).sum(), wh.sum()])
+    use = np.flatnonzero(use)
+    w, p = w[use], _sigmoid(raw[use])
+    return bins.T.take(use, axis=1).T, w * (p - y[use]), w * p * (1 - p), loss
+
+
+def _tally(bins: np.ndarray, g: np.ndarray, h: np.ndarray, model: Model, found: list[np.ndarray | None], hist: np.ndarray) -> None:
+    """Add gradient, Hessian and rows of every bin of each node; ``found``: the rows of each."""
+    n, first = len(found), 0
+    rows, of = slice(None), 0
+    if found[0] is not None:  # not the root
+        rows, of = np.concatenate(found), np.repeat(np.arange(n), [len(r) for r in found])
+        g, h = g[rows], h[rows]
+    for c, size in enumerate(model.sizes):
+        cell = bins[:, c][rows].astype(np.intp)
+        if n > 1:
+            cell += of * size
+        for j, x in enumerate((g, h, None)):
+            hist[:, j, first : first + size] += np.bincount(cell, x, n * size).reshape(n, size)
+        first += size
+
+
+class _Here:
+    """Rows of one task."""
+
+    def __init__(self, rows, model: Model, settings: Settings):
+        self.model, self.settings, got = model, settings, list(_unpacked(rows, model))
+        bins, (y, w, h, raw) = np.concatenate([b.T for b, *_ in got], axis=1), [np.concatenate(x) for x in list(zip(*got))[1:]]
+        order = np.lexsort((y, w, h))  # one order, one result
+        bins, y, w, h, raw = bins[:, order], y[order], w[order], h[order], raw[order]
+        self.blocks = [(bins[:, a:b].T, y[a:b], w[a:b], h[a:b], raw[a:b]) for a in range(0, len(y), BLOCK_ROWS) for b in [a + BLOCK_ROWS]]
+
+    def begin(self, number: int) -> None:
+        self.steps = [_steps(b, number, self.settings) for b in self.blocks]
+        self.found: list[dict[int, np.ndarray | None]] = [{0: None} for _ in self.blocks]
+
+    def sums(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        hist = np.zeros((len(nodes), 3, sum(self.model.sizes)))
+        parents = [p for p in range(len(tree.step)) if not {tree.left[p], tree.right[p]}.isdisjoint(nodes)]
+        for (bins, g, h, _), found in zip(self.steps, self.found):
+            for p in parents:
+                found |= self.model.parted(tree, p, bins, found.pop(p))
+            _tally(bins, g, h, self.model, [found[n] for n in nodes], hist)
+        return hist, np.sum([b[3] for b in self.steps], axis=0)
+
+    def add(self, tree: Tree) -> None:
+        for bins, _, _, _, raw in self.blocks:
+            raw += self.model.raw(bins, [tree])
+
+    def covers(self) -> dict[int, list[np.ndarray]]:
+        return {0: [_leaf_weights(b, self.model, self.settings) for b in self.blocks]}
+
+
+class _Spread:
+    """Rows of all tasks. The executors keep the blocks, and for the tree that grows its gradients; both are made anew from the stored blocks where they are lost."""
+
+    def __init__(self, blocks: DataFrame, model: Model, settings: Settings):
+        self.model, self.settings, self.kept, self.steps = model, settings, None, None
+        self._keep(blocks)
+
+    def _keep(self, blocks: DataFrame) -> None:
+        self.blocks, self.recent = blocks, []
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept = blocks.rdd.map(lambda r: tuple(bytes(x) for x in r)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = self.kept.getNumPartitions()
+
+    def begin(self, number: int) -> None:
+        if len(self.recent) == REFRESH:
+            before = self.blocks
+            self._keep(_refreshed(before, self.model, self.recent))
+            discard(before)
+        model, settings, recent = _bare(self.model), self.settings, list(self.recent)
+
+        def steps(rows):
+            for bins, y, w, h, raw in _unpacked(rows, model):
+                if recent:
+                    raw = raw + model.raw(bins, recent)
+                bins, g, h, loss = _steps((bins, y, w, h, raw), number, settings)
+                yield bins.T.tobytes(), g.tobytes(), h.tobytes(), loss.tobytes()
+
+        if self.steps is not None:
+            self.steps.unpersist()
+        self.steps = self.kept.mapPartitions(steps).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray | None, np.ndarray]:
+        model, total = _bare(self.model), sum(self.model.sizes)
+
+        def run(rows) -> list[tuple[int, bytes]]:
+            hist, loss, some = np.zeros((len(nodes), 3, total)), np.zeros(2), False
+            for bins, g, h, lost in rows:
+                some = True
+                loss += np.frombuffer(lost)
+                bins = np.frombuffer(bins, model.kind).reshape(len(model.columns), -1).T
+                found = dict(model.rows_at(tree, bins, nodes))
+                _tally(bins, np.frombuffer(g), np.frombuffer(h), model, [found[n] for n in nodes], hist)
+            return [*((k, x.tobytes()) for k, x in enumerate(hist)), (-1, loss.tobytes())] if some else []
+
+        got = _met(self.steps.mapPartitions(run), self.tasks * len(nodes) * 24 * total)
+        if not got:
+            return None, np.zeros(2)
+        return np.stack([got[k].reshape(3, total) for k in range(len(nodes))]), got[-1]
+
+    def add(self, tree: Tree) -> None:
+        self.recent.append(tree)
+
+    def covers(self) -> dict[int, list[np.ndarray]]:
+        model, settings = self.model, self.settings
+
+        def run(rows) -> list[tuple[int, bytes]]:
+            return [(k % 64, x.tobytes()) for k, x in enumerate(_leaf_weights(b, model, settings) for b in _unpacked(rows, model))]
+
+        nodes = sum(len(t.step) for t in model.trees)
+        return {k: [x] for k, x in _met(self.kept.mapPartitions(run), self.tasks * 64 * 8 * nodes).items()}
+
+    def end(self) -> None:
+        for x in (self.steps, self.kept):
+            if x is not None:
+                x.unpersist()
+        discard(self.blocks)
 
-    if tasks * len(nodes) * 32 * total <= DIRECT_BYTES:
-        # So few that the driver adds them. A job a level is short: as partitions of one plan, it is planned once.
-        by_node: dict[int, list[bytes]] = {}
-        for node, x in blocks.rdd.mapPartitions(tally).collect():
-            by_node.setdefault(node, []).append(x)
-        rows = [(node, added(parts)) for node, parts in by_node.items()]
-    else:
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = tally(row for batch in batches for row in batch.to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["node", "sums"])
+def _bare(model: Model) -> Model:
+    """The model without its trees, for tasks that do not need them."""
+    return Model(model.numbers, model.categories, model.edges, model.values, model.start)
+
+
+def _met(parts, size: int) -> dict[int, np.ndarray]:
+    """The sums of (number, part) by number: few enough for the driver, or each in a group first."""
+
+    def added(parts) -> np.ndarray:
+        return np.sum([np.frombuffer(x) for x in sorted(parts)], axis=0)  # one order, one result
+
+    if size > DIRECT_BYTES:
+        return {k: np.frombuffer(x) for k, x in parts.groupByKey().mapValues(lambda x: added(x).tobytes()).collect()}
+    by: dict[int, list[bytes]] = {}
+    for k, x in parts.collect():
+        by.setdefault(k, []).append(x)
+    return {k: added(x) for k, x in by.items()}
 
-        def add(table: pa.Table) -> pa.Table:
-            return pa.table({"node": table.column("node")[:1], "sums": pa.array([added(table.column("sums").to_pylist()).tobytes()], pa.binary())})
 
-        parts = blocks.mapInArrow(run, "node int, sums binary").groupBy("node").applyInArrow(add, "node int, sums binary")
-        rows = [(r["node"], np.frombuffer(r["sums"])) for r in parts.collect()]
-    return {n: x if n < 0 else x.reshape(4, total) for n, x in rows}
+def _leaf_weights(block: tuple[np.ndarray, ...], model: Model, settings: Settings) -> np.ndarray:
+    """Weight of the rows that each tree was grown on, by leaf; the nodes of all trees in one row."""
+    bins, _, w, h, _ = block
+    out = []
+    for number, tree in enumerate(model.trees):
+        if number == 0 or settings.rows_share < 1:
+            _, use = _used(h, number, settings)
+            some, weight = bins.T.compress(use, axis=1).T, w.compress(use)
+        out.append(np.bincount(model.leaf_of(tree, some), weight, len(tree.step)))
+    return np.concatenate(out)
 
 
 def best_splits(hist: np.ndarray, first: np.ndarray, n_numbers: int, allowed: list[int], settings: Settings) -> list[tuple | None]:
-    """For each node: gain, column, cut, and (gradient, Hessian, weight, rows) left and right of its best split, if there is one."""
+    """For each node: gain, column, cut, and (gradient, Hessian, rows) left and right of its best split, if there is one."""
     whole = hist[:, :, first[0] : first[1]].sum(axis=2)[:, :, None]
 
     def worth(s):
@@ -262,68 +423,115 @@ def best_splits(hist: np.ndarray, first: np.ndarray, n_numbers: int, allowed: li
         if not left.shape[2]:
             continue
         right = whole - left
-        ok = (left[:, 3] >= settings.leaf_rows - 0.5) & (right[:, 3] >= settings.leaf_rows - 0.5)
+        ok = (left[:, 2] >= settings.leaf_rows - 0.5) & (right[:, 2] >= settings.leaf_rows - 0.5)
         ok &= (left[:, 1] >= settings.leaf_weight) & (right[:, 1] >= settings.leaf_weight)
         gain = np.where(ok, (worth(left) + worth(right) - worth(whole)) / 2, -np.inf)
-        k = gain.argmax(axis=1)
+        # The first of equals: which of them rounding makes the largest depends on the order of the sums.
+        k = (gain >= gain.max(axis=1, keepdims=True) * (1 - SAME)).argmax(axis=1)
         gain = gain[n, k]
-        for node in np.flatnonzero(gain > best + 1e-12).tolist():
+        for node in np.flatnonzero(gain > best * (1 + SAME) + 1e-12).tolist():
             at = int(k[node])
             chosen[node] = (float(gain[node]), c, at if c < n_numbers else at + 1, left[node, :, at], right[node, :, at])
             best[node] = gain[node]
     return chosen
 
 
-def _grow(blocks: DataFrame, model: Model, recent: list[Tree], number: int, settings: Settings, seed: int, tasks: int) -> tuple[Tree | None, float | None]:
+def _best_first(tree: Tree, found: dict[int, tuple], leaves: int) -> list[int]:
+    """The nodes to split, the best first, until the tree has its leaves."""
+    out, queue = [], [(-found[0][0], 0)] if 0 in found else []
+    while queue and len(out) < leaves - 1:
+        _, node = heapq.heappop(queue)
+        out.append(node)
+        for child in (tree.left[node], tree.right[node]):
+            if child in found:
+                heapq.heappush(queue, (-found[child][0], child))
+    return out
+
+
+def _grow(rows: _Here | _Spread, model: Model, number: int, settings: Settings, seed: int) -> tuple[Tree | None, float | None]:
     """The next tree (None: no split is left), and the loss before it on the rows held back."""
-    sizes = [len(e) + 1 for e in model.edges] + [len(v) + 1 for v in model.values]
+    sizes = model.sizes
     first, n_numbers = np.cumsum([0, *sizes]), len(model.numbers)
     draw = np.random.default_rng([seed, number])
     keep = max(1, round(settings.columns_share * len(sizes)))
     allowed = sorted(draw.choice(len(sizes), keep, replace=False).tolist()) if keep < len(sizes) else list(range(len(sizes)))
+    rows.begin(number)
     full, loss = Tree(), None
     full.add(0.0, 0.0)
     found: dict[int, tuple] = {}
+    hists: dict[int, np.ndarray] = {}
     nodes = [0]
     for _ in range(settings.depth):
-        sums = _sums(blocks, model, recent, full, nodes, number, settings, tasks)
-        if loss is None and sums and sums[-1][1] > 0:
-            loss = float(sums[-1][0] / sums[-1][1])
-        here = [node for node in nodes if node in sums]
-        nodes = []
-        if not here:
+        # Of two siblings the one with fewer rows is summed; what the parent has more is the other's.
+        asked, other = nodes, {}
+        if nodes != [0]:
+            pairs = [(p, full.left[p], full.right[p]) for p in found if not {full.left[p], full.right[p]}.isdisjoint(nodes)]
+            less = {p: i if found[p][3][2] <= found[p][4][2] else j for p, i, j in pairs}
+            asked = list(less.values())
+            other = {less[p]: (p, i + j - less[p]) for p, i, j in pairs}
+        sums, lost = rows.sums(full, asked)
+        if sums is None:
             break
-        hist = np.stack([sums[node] for node in here])
-        if here == [0]:
-            full.cover[0] = float(hist[0, 2, first[0] : first[1]].sum())
-        for node, split in zip(here, best_splits(hist, first, n_numbers, allowed, settings)):
+        if nodes == [0] and lost[1] > 0:
+            loss = float(lost[0] / lost[1])
+        here = dict(zip(asked, sums))
+        for one, (parent, rest) in other.items():
+            left = hists[parent] - here[one]
+            here[rest] = np.where(left[2] > 0.5, left, 0.0)  # no rows, no sums
+        hists = {node: here[node] for node in nodes}
+        for node, split in zip(nodes, best_splits(np.stack([hists[n] for n in nodes]), first, n_numbers, allowed, settings)):
             if split is None:
                 continue
             found[node] = split
             _, full.column[node], full.cut[node], left, right = split
-            full.left[node], full.right[node] = [full.add(-settings.rate * s[0] / (s[1] + settings.l2), float(s[2])) for s in (left, right)]
-            nodes += [full.left[node], full.right[node]]
+            full.left[node], full.right[node] = [full.add(-settings.rate * s[0] / (s[1] + settings.l2), 0.0) for s in (left, right)]
+        # Nodes further down only push others out: what is not taken now never is.
+        taken = [n for n in _best_first(full, found, settings.leaves) if n in hists]
+        nodes = sorted(
+            child for n in taken for child, s in zip((full.left[n], full.right[n]), found[n][3:]) if s[2] >= 2 * settings.leaf_rows - 0.5
+        )
         if not nodes:
             break
     if 0 not in found:
         return None, loss
-    # The best splits first, until the tree has its leaves.
-    tree, leaves = Tree(), 1
-    tree.add(full.step[0], full.cover[0])
-    queue = [(-found[0][0], 0, 0)]
-    while queue and leaves < settings.leaves:
-        gain, node, at = heapq.heappop(queue)
-        tree.column[at], tree.cut[at], tree.gain[at] = full.column[node], full.cut[node], -gain
+    tree, place = Tree(), {0: 0}
+    tree.add(full.step[0], 0.0)
+    for node in _best_first(full, found, settings.leaves):
+        at = place[node]
+        tree.column[at], tree.cut[at], tree.gain[at] = full.column[node], full.cut[node], found[node][0]
         for side in ("left", "right"):
             child = getattr(full, side)[node]
-            new = tree.add(full.step[child], full.cover[child])
-            getattr(tree, side)[at] = new
-            if child in found:
-                heapq.heappush(queue, (-found[child][0], child, new))
-        leaves += 1
+            place[child] = tree.add(full.step[child], 0.0)
+            getattr(tree, side)[at] = place[child]
     return tree, loss
 
 
+def _boosted(rows: _Here | _Spread, model: Model, settings: Settings, seed: int) -> Model:
+    """The model with its trees."""
+    best = (np.inf, 0)
+    for number in range(settings.trees):
+        tree, loss = _grow(rows, model, number, settings, seed)
+        if loss is not None:
+            model.losses.append(loss)
+            if loss < best[0] - 1e-7:
+                best = (loss, number)
+            elif settings.stop and number - best[1] >= settings.stop:
+                break  # as many trees were grown in vain
+        if tree is None:
+            break
+        model.trees.append(tree)
+        rows.add(tree)
+    if model.trees:
+        weights = np.sum([x for parts in sorted(rows.covers().items()) for x in parts[1]], axis=0)
+        for tree in model.trees:
+            own, weights = weights[: len(tree.step)], weights[len(tree.step) :]
+            tree.cover = own.tolist()
+            for node in range(len(own) - 1, -1, -1):  # children come after their parent
+                if tree.left[node] >= 0:
+                    tree.cover[node] = tree.cover[tree.left[node]] + tree.cover[tree.right[node]]
+    return model
+
+
 def fit(
     df: DataFrame, numbers: list[str], categories: list[str], label: str, key: str, settings: Settings = Settings(),
     weight: str | None = None, seed: int = 42,
@@ -334,25 +542,22 @@ def fit(
     base = df.where(F.col(label).isNotNull()).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("y"), F.count("*").alias("rows")).first()
     share = base["y"] / base["n"] if base["n"] else 0.5
     model.start = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))) if 0 < share < 1 else float(np.sign(share - 0.5) * 20 * (share != 0.5))
-    if not 0 < share < 1:
+    if not 0 < share < 1 or not base["rows"]:
         return model
     blocks = _blocks(df, model, label, weight, key, base["rows"])
-    best, recent, tasks = (np.inf, 0), [], blocks.rdd.getNumPartitions()
-    for number in range(settings.trees):
-        if len(recent) == REFRESH:
-            blocks, recent = _refreshed(blocks, model, recent), []
-            tasks = blocks.rdd.getNumPartitions()
-        tree, loss = _grow(blocks, model, recent, number, settings, seed, tasks)
-        if loss is not None:
-            model.losses.append(loss)
-            if loss < best[0] - 1e-7:
-                best = (loss, number)
-            elif settings.stop and number - best[1] >= settings.stop:
-                break  # as many trees were grown in vain
-        if tree is None:
-            break
-        model.trees.append(tree)
-        recent.append(tree)
+    if base["rows"] > HERE_ROWS:
+        rows = _Spread(blocks, model, settings)
+        model = _boosted(rows, model, settings, seed)
+        rows.end()
+        return model
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in _COLUMNS])]
+        grown = _boosted(_Here(got, model, settings), model, settings, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([grown.to_json()])], names=["model"])
+
+    model = Model.of_json(blocks.coalesce(1).mapInArrow(here, "model string").collect()[0][0])
+    discard(blocks)
     return model
 
 

@@ -131,6 +131,77 @@ def test_attributions_equal_the_sum_over_all_subsets(spark):
     assert sum(B.gains(model).values()) == pytest.approx(1)
 
 
+SETTINGS = [
+    B.Settings(trees=23, depth=4, leaves=7, rate=0.3, stop=0, leaf_rows=5),
+    B.Settings(trees=12, depth=6, leaves=31, rate=0.2, l2=0.5, stop=4, rows_share=0.8, columns_share=0.7),
+]
+
+
+@pytest.mark.parametrize("s", SETTINGS)
+def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch, s):
+    rows = data(2500, 5)
+    here = fitted(spark, rows, s, seed=3)
+    monkeypatch.setattr(B, "HERE_ROWS", 0)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 300)
+    spread = fitted(spark, rows, s, seed=3)
+    monkeypatch.setattr(B, "DIRECT_BYTES", 0)
+    assert fitted(spark, rows, s, seed=3) == spread
+    assert len(here.trees) == len(spread.trees) and np.allclose(here.losses, spread.losses)
+    for a, b in zip(here.trees, spread.trees):
+        assert (a.column, a.cut, a.left, a.right) == (b.column, b.cut, b.left, b.right)
+        assert np.allclose(a.step, b.step) and np.allclose(a.gain, b.gain) and np.allclose(a.cover, b.cover)
+    if s.rows_share == 1 and not s.stop:
+        bins = encoded(spread, rows)
+        assert np.allclose(spread.raw(bins), plain(rows, spread, s), atol=1e-9)
+        for t in spread.trees:  # the weight of the rows below each node
+            at = spread.leaf_of(t, bins)
+            assert t.cover[0] == pytest.approx(sum(r[5] for r in rows))
+            assert all(t.cover[n] == pytest.approx(sum(r[5] for r, k in zip(rows, at) if k == n)) for n in set(at.tolist()))
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_trees_of_a_few_rows(spark):
+    """One task grows them; a job a level took 8 a tree before."""
+    frame = spark.createDataFrame(data(600), SCHEMA)
+    n = [jobs_of(spark, f"trees {t}", lambda t=t: B.fit(frame, ["a", "b"], ["c"], "y", "id", B.Settings(trees=t, stop=0), "w")) for t in (2, 30)]
+    assert n[0] == n[1]
+
+
+def test_nodes_that_cannot_be_taken_are_not_summed(spark, monkeypatch):
+    """A tree of four leaves asks for the smaller child of three splits at most on a level, not for all of its nodes."""
+    asked, sums = [], B._Spread.sums
+
+    def counted(self, tree, nodes):
+        asked.append(len(nodes))
+        return sums(self, tree, nodes)
+
+    monkeypatch.setattr(B, "HERE_ROWS", 0)
+    monkeypatch.setattr(B._Spread, "sums", counted)
+    model = fitted(spark, data(3000, 6), B.Settings(trees=2, depth=6, leaves=4, stop=0, leaf_rows=1))
+    assert all(sum(n < 0 for n in t.left) == 4 for t in model.trees)
+    assert max(asked) <= 3
+
+
+def test_equal_gains_take_the_first_cut():
+    """Two values of a category left: each against the rest is the same split; rounding does not choose."""
+    hist = np.zeros((1, 3, 4))
+    hist[0, :, 1], hist[0, :, 2] = (3.0, 5.0, 40), (-2.0, 4.0, 40)
+    for noise in (1e-12, -1e-12):
+        h = hist.copy()
+        h[0, 0, 2] += noise
+        h[0, 0, 1] -= 3 * noise
+        (split,) = B.best_splits(h, np.array([0, 4]), 0, [0], B.Settings())
+        assert split[1:3] == (0, 1)
+
+
 def test_early_stop_and_samples(spark):
     rows = data(3000, 2)
     model = fitted(spark, rows, B.Settings(trees=60, depth=4, rate=0.5, stop=3))
