@@ -36,6 +36,8 @@ from curbline.session import cut, discard
 
 #: Trees after which raw scores are stored anew; rows of a block; values of a category that are told apart.
 REFRESH, BLOCK_ROWS, MOST_VALUES = 10, 1 << 16, 4096
+#: Rows whose Shapley values are worked out at once; columns of a path of which all cases are; cases of all leaves that are sent to the tasks.
+SHAPLEY_ROWS, MOST_KNOWN, KEPT_CASES = 1 << 14, 10, 1 << 21
 #: Gains that differ by less than this share are equal.
 SAME = 1e-9
 #: Sums of all tasks that the driver adds up itself; more meet in a group for each node first.
@@ -616,40 +618,85 @@ def _paths(tree: Tree) -> Iterator[tuple[int, list[tuple[int, bool]]]]:
             stack += [(tree.right[node], [*path, (node, False)]), (tree.left[node], [*path, (node, True)])]
 
 
-def attributions(model: Model, bins: np.ndarray) -> np.ndarray:
+def _shares(model: Model, tree: Tree) -> Iterator[tuple[list[int], list[tuple], np.ndarray]]:
+    """For each leaf: the split columns on its path, for each the bins that agree with the path
+    (column; above, up to; or the value it must or must not have), and by column and case
+    (bit k: column k agrees) what the leaf adds to the column's Shapley value; with many
+    columns as a function of the cases that occur."""
+    for leaf, path in _paths(tree):
+        if not path:
+            continue
+        columns = sorted({_split_column(model, tree, n) for n, _ in path})
+        d = len(columns)
+        share, agrees = np.ones(d), [(-1, 1 << 16, None, None)] * d
+        for n, goes in path:
+            k = columns.index(_split_column(model, tree, n))
+            child = tree.left[n] if goes else tree.right[n]
+            share[k] *= tree.cover[child] / max(tree.cover[n], 1e-300)
+            low, high, value, is_value = agrees[k]
+            if tree.column[n] < len(model.numbers):
+                low, high = (low, min(high, tree.cut[n])) if goes else (max(low, tree.cut[n]), high)
+            elif value is None or is_value == goes:
+                value, is_value = tree.cut[n], goes
+            else:
+                low = high  # nothing is and is not a value
+            agrees[k] = (low, high, value, is_value)
+        source = {k: tree.column[n] for n, _ in path for k in [columns.index(_split_column(model, tree, n))]}
+
+        def worth(case: np.ndarray, share=share, step=tree.step[leaf]) -> np.ndarray:
+            return np.ascontiguousarray(step * _worth(case, share).T)
+
+        every = worth(np.arange(1 << d)) if d <= MOST_KNOWN else worth
+        yield columns, [(source[k], *agrees[k]) for k in range(d)], every
+
+
+def _worth(case: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each case (bit k: column k agrees) and column its share of a leaf's step."""
+    d = len(share)
+    bits = ((case[:, None] >> np.arange(d).astype(case.dtype)) & 1).astype(float)
+    poly = np.zeros((len(case), d, d))  # for each case and column: coefficients by number of known columns among the others
+    poly[:, :, 0] = 1
+    for k in range(d):
+        more = poly * share[k]
+        more[:, :, 1:] += poly[:, :, :-1] * bits[:, k, None, None]
+        more[:, k] = poly[:, k]
+        poly = more
+    return (poly @ _orders(d)) * (bits - share)
+
+
+def attributions(model: Model, bins: np.ndarray, shares: list | None = None) -> np.ndarray:
     """Shapley values of each row's raw score, a column for each of ``split_columns``.
 
     A leaf counts for a set of known columns by the share of its weight that the unknown
     ones leave (path-dependent). A path of d columns has 2^d cases of columns the row
-    agrees with at most; each case that occurs is worked out once.
+    agrees with at most; each is worked out once, and a row looks its case up (of more than
+    ``MOST_KNOWN`` columns those that occur). ``shares`` are :func:`_shares` of all trees,
+    for callers with several blocks of rows.
     """
-    out = np.zeros((len(bins), len(split_columns(model))))
-    for tree in model.trees:
-        left = {n: model.goes_left(tree, n, bins) for n in range(len(tree.step)) if tree.left[n] >= 0}
-        for leaf, path in _paths(tree):
-            if not path:
-                continue
-            columns = sorted({_split_column(model, tree, n) for n, _ in path})
-            d = len(columns)
-            share, agrees = np.ones(d), np.ones((len(bins), d), bool)
-            for n, goes in path:
-                k = columns.index(_split_column(model, tree, n))
-                child = tree.left[n] if goes else tree.right[n]
-                share[k] *= tree.cover[child] / max(tree.cover[n], 1e-300)
-                agrees[:, k] &= left[n] == goes
-            case, at = np.unique(agrees @ (1 << np.arange(d)), return_inverse=True)
-            one = (case[:, None] >> np.arange(d)) & 1
-            worth = np.zeros((len(case), d))
-            for j in range(d):
-                # coefficients by number of known columns among the others
-                poly = np.zeros((len(case), d))
-                poly[:, 0] = 1
-                for m, k in enumerate([k for k in range(d) if k != j], 1):
-                    poly[:, 1 : m + 1] = poly[:, 1 : m + 1] * share[k] + poly[:, :m] * one[:, k : k + 1]
-                    poly[:, 0] *= share[k]
-                worth[:, j] = (poly * _orders(d)).sum(axis=1) * (one[:, j] - share[j])
-            out[:, columns] += tree.step[leaf] * worth[at]
-    return out
+    out = np.zeros((len(split_columns(model)), len(bins)))
+    by_column = [np.ascontiguousarray(bins[:, c]) for c in range(len(model.columns))]
+    for leaves in shares if shares is not None else (_shares(model, t) for t in model.trees):
+        for columns, agrees, worth in leaves:
+            case = np.zeros(len(bins), np.uint8 if len(columns) <= 8 else np.uint64)
+            for k, (c, low, high, value, is_value) in enumerate(agrees):
+                x = by_column[c]
+                if low >= high:
+                    continue
+                if value is not None:
+                    fits = x == value if is_value else x != value
+                elif low < 0:
+                    fits = x <= high
+                else:
+                    fits = x > low if high > np.iinfo(x.dtype).max else (x > low) & (x <= high)
+                case |= fits.astype(case.dtype) << case.dtype.type(k)
+            if callable(worth):
+                some, at = np.unique(case, return_inverse=True)
+                worth = worth(some)
+            else:
+                at = case.astype(np.intp)
+            for column, gain in zip(columns, worth):
+                out[column] += gain.take(at, mode="clip")
+    return out.T
 
 
 def _orders(d: int) -> np.ndarray:
@@ -663,12 +710,17 @@ def attributed(model: Model, df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, raw score, and attributions (in the order of ``split_columns``) of each row."""
     others = df.select(*keep).schema
 
+    few = sum(1 << min(len(path), MOST_KNOWN) for t in model.trees for _, path in _paths(t)) <= KEPT_CASES
+    shares = [list(_shares(model, t)) for t in model.trees] if few else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            for a in range(0, batch.num_rows, SHAPLEY_ROWS):
+                part = batch.slice(a, SHAPLEY_ROWS)
                 bins = model.encode([part.column(f"_{k}") for k in range(len(model.columns))])
-                rows = pa.array(list(attributions(model, bins)), pa.list_(pa.float64()))
+                got = attributions(model, bins, shares)
+                ends = pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], pa.int32())
+                rows = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(got).ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(model.raw(bins)), rows], names=[*keep, "raw", "attributions"])
 
     inputs = [F.col(c).cast("double" if k < len(model.numbers) else "string").alias(f"_{k}") for k, c in enumerate(model.columns)]

@@ -159,6 +159,26 @@ def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch, s):
             assert all(t.cover[n] == pytest.approx(sum(r[5] for r, k in zip(rows, at) if k == n)) for n in set(at.tolist()))
 
 
+def test_attributions_work_out_each_case_once(spark, monkeypatch):
+    """A leaf's cases are known before the rows: no more of them with more rows, by table or by occurrence, sent along or not."""
+    rows = data(400, 8)
+    model = fitted(spark, rows, B.Settings(trees=4, depth=5, leaves=12, rate=0.5, stop=0, leaf_rows=5))
+    bins = encoded(model, rows)
+    want, asked, worth = B.attributions(model, bins), [], B._worth
+    shares = [list(B._shares(model, t)) for t in model.trees]
+    monkeypatch.setattr(B, "_worth", lambda case, share: asked.append(len(case)) or worth(case, share))
+    assert (B.attributions(model, np.concatenate([bins] * 3), shares)[: len(bins)] == want).all() and not asked
+    assert np.allclose(B.attributions(model, bins), want) and max(asked) <= 1 << 5
+    monkeypatch.setattr(B, "MOST_KNOWN", 0)
+    assert np.allclose(B.attributions(model, bins), want)
+    monkeypatch.undo()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for kept in (0, B.KEPT_CASES):
+        monkeypatch.setattr(B, "KEPT_CASES", kept)
+        got = sorted(B.attributed(model, frame, ["id"]).collect())
+        assert np.allclose([r["attributions"] for r in got], want)
+
+
 def jobs_of(spark, group, run):
     spark.sparkContext.setJobGroup(group, group)
     try:
